@@ -12,6 +12,17 @@ SPREAD_MODULUS = 1 << 31
 SPREAD_FACTOR = 1_327_217_885
 
 
+# A shard that one task sorts, writes or reads.
+ROWS_PER_SHARD = 1_000_000
+# A shard that one task trains on, streaming.
+ROWS_PER_TRAINING_SHARD = 10_000_000
+
+
+def shard_count(rows: int, at_least: int, rows_per_shard: int = ROWS_PER_SHARD) -> int:
+    """Shards so that none outgrows a task, however large the table."""
+    return max(at_least, -(-rows // rows_per_shard))
+
+
 def spread(row_id: Column, n: int) -> Column:
     """Row number to 0..n-1, evenly."""
     mixed = F.pmod(F.pmod(row_id, F.lit(SPREAD_MODULUS)) * F.lit(SPREAD_FACTOR), F.lit(SPREAD_MODULUS))

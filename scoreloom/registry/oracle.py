@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from scoreloom.registry import datasets as D
 from scoreloom.registry.patterns import pattern_model
-from scoreloom.registry.spark_queries import BATCH, BATCH_SHARDS, EPOCH_BATCH, MANY_SHARDS, SHARDS
+from scoreloom.registry.spark_queries import BATCH, BATCH_SHARDS, EPOCH_BATCH, EPOCH_SHARDS, MANY_SHARDS, SHARDS
+from scoreloom.operators.sharding import ROWS_PER_SHARD, ROWS_PER_TRAINING_SHARD
 
 
-def _spread(row_id: str, n: int) -> str:
+def _count(table: str, at_least: int, rows_per_shard: int = ROWS_PER_SHARD) -> str:
+    return f"(SELECT greatest({at_least}, (count(*) + {rows_per_shard - 1}) // {rows_per_shard})::BIGINT FROM {table})"
+
+
+def _spread(row_id: str, n) -> str:
     return f"(((({row_id} % 2147483648) * 1327217885 % 2147483648) * {n}) >> 31)::INTEGER"
 
 
@@ -40,11 +45,12 @@ def _scored(source: str, model, name: str = "scored") -> str:
     list_transform(logits, lambda v: exp(v - top) / total) AS p FROM {name}_e)"""
 
 
-EMB = "emb AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
-EMB_W = """counted AS (SELECT label AS k, count(*) AS n FROM embeddings GROUP BY label),
-emb AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x,
+PLACED = "(SELECT *, row_number() OVER () - 1 AS row_id FROM embeddings)"
+EMB = f"emb AS (SELECT row_id, vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM {PLACED})"
+EMB_W = f"""counted AS (SELECT label AS k, count(*) AS n FROM embeddings GROUP BY label),
+emb AS (SELECT row_id, vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x,
     (SELECT count(*) FROM embeddings) / (10.0 * n) AS weight
-  FROM embeddings JOIN counted ON label = k)"""
+  FROM {PLACED} JOIN counted ON label = k)"""
 EMB_SCORED = EMB + "," + _scored("emb", D.EMBEDDING_MODEL)
 
 _STATS = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(D.LINEITEM_COLUMNS))
@@ -100,7 +106,7 @@ def _split(key: str) -> str:
     return f"CASE WHEN {key} % 10 < 7 THEN 'train' WHEN {key} % 10 = 7 THEN 'val' ELSE 'test' END"
 
 
-def _manifest(numbered: str, n: int) -> str:
+def _manifest(numbered: str, n) -> str:
     return f"""
 slots AS (SELECT i::INTEGER AS shard FROM range({n}) t(i)),
 held AS (SELECT {_spread('row_id', n)} AS shard, count(*) AS n_rows FROM ({numbered}) GROUP BY 1),
@@ -108,9 +114,10 @@ manifest AS (SELECT shard, coalesce(n_rows, 0) AS n_rows FROM slots LEFT JOIN he
 
 
 LINE_ROWS = "SELECT row_number() OVER () - 1 AS row_id FROM lineitem"
-EMB_ROWS = "SELECT vec_id AS row_id FROM embeddings"
-BATCHED = f"""placed AS (SELECT *, {_spread('vec_id', BATCH_SHARDS)} AS shard FROM emb),
-batched AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY vec_id) - 1) // {BATCH} AS batch_id FROM placed)"""
+EMB_ROWS = "SELECT row_number() OVER () - 1 AS row_id FROM embeddings"
+EMB_SHARD = _spread("row_id", _count("embeddings", SHARDS))
+BATCHED = f"""placed AS (SELECT *, {_spread('row_id', _count('embeddings', BATCH_SHARDS))} AS shard FROM emb),
+batched AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY row_id) - 1) // {BATCH} AS batch_id FROM placed)"""
 EVENT_LABELS = """kinds AS (SELECT event_type, count(*) AS n,
     (row_number() OVER (ORDER BY count(*) DESC, event_type) - 1)::INTEGER AS label
   FROM events GROUP BY event_type)"""
@@ -219,9 +226,9 @@ ORACLE = {
   first(len(embedding))::INTEGER AS first_width FROM embeddings""",
     "scan_split": f"""SELECT {_split('vec_id')} AS split, label, count(*) AS n_rows, sum(vec_id)::BIGINT AS key_sum,
   round(sum(embedding[1]::DOUBLE), 6) AS f0_sum FROM embeddings GROUP BY 1, 2""",
-    "write_shards": f"""SELECT {_spread('vec_id', SHARDS)} AS shard, count(*) AS n_rows, sum(vec_id)::BIGINT AS key_sum,
-  sum(label)::BIGINT AS label_sum, round(sum(embedding[64]::DOUBLE), 6) AS f63_sum FROM embeddings GROUP BY 1""",
-    "read_shard": f"SELECT {_spread('vec_id', SHARDS)} AS shard, vec_id, label, {_spell('embedding', 4, 'f')} FROM embeddings",
+    "write_shards": f"""SELECT {EMB_SHARD} AS shard, count(*) AS n_rows, sum(vec_id)::BIGINT AS key_sum,
+  sum(label)::BIGINT AS label_sum, round(sum(embedding[64]::DOUBLE), 6) AS f63_sum FROM {PLACED} GROUP BY 1""",
+    "read_shard": f"SELECT {EMB_SHARD} AS shard, vec_id, label, {_spell('embedding', 4, 'f')} FROM {PLACED}",
     "report_sink": _CLASS_REPORT,
     "model_sink": f"""WITH {_DATA_SHAPE},
 mats AS (SELECT 'input_projection' AS name, h AS rows, f AS cols FROM shape
@@ -232,7 +239,7 @@ SELECT 'run' AS run_id, 1::INTEGER AS epoch, name, rows::INTEGER AS rows, cols::
     "model_source": f"WITH {EMB_SCORED} SELECT vec_id, pred, round(loss, 6) AS loss FROM scored",
     "prediction_sink": f"""WITH {EMB_SCORED}
 SELECT vec_id, label, pred, round(loss, 6) AS loss, {_spell('p', 10, 'p')} FROM scored""",
-    "prepare_shards": f"WITH {_manifest(LINE_ROWS, SHARDS)} SELECT * FROM manifest",
+    "prepare_shards": f"WITH {_manifest(LINE_ROWS, _count('lineitem', SHARDS))} SELECT * FROM manifest",
     "vector_to_array": f"SELECT vec_id, {_spell('embedding', 64, 'f')} FROM embeddings",
     "to_sample": f"""SELECT l_orderkey, l_linenumber, trunc(l_quantity / 7)::INTEGER AS label,
   round(l_discount, 6) AS weight, {', '.join(f'round({c}::FLOAT::DOUBLE, 6) AS f{i}' for i, c in enumerate(D.LINEITEM_COLUMNS))}
@@ -241,20 +248,20 @@ SELECT vec_id, label, pred, round(loss, 6) AS loss, {_spell('p', 10, 'p')} FROM
   round(sum(weight), 6) AS weight_sum FROM judged WHERE reason = 'ok' GROUP BY 1""",
     "reject_counts": f"WITH {DAMAGED} SELECT reason, count(*) AS n FROM judged GROUP BY reason",
     "drop_empty_shards": f"WITH {_manifest(EMB_ROWS, MANY_SHARDS)} SELECT * FROM manifest WHERE n_rows > 0",
-    "shard_id_from_path": f"SELECT {_spread('vec_id', SHARDS)} AS shard, count(*) AS n_rows FROM embeddings GROUP BY 1",
+    "shard_id_from_path": f"SELECT {EMB_SHARD} AS shard, count(*) AS n_rows FROM {PLACED} GROUP BY 1",
     "run_stamp": """SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp,
   event_type || '_' || strftime(ts, '%Y%m%d_%H%M%S') AS output_dir FROM events""",
     "format_metric": """SELECT l_orderkey, l_linenumber, printf('%.4f', l_discount * l_tax) AS rate_4,
   printf('%.2f', l_extendedprice / l_quantity) AS price_2 FROM lineitem""",
-    "repartition_shards": f"""SELECT vec_id, {_spread('vec_id', SHARDS)} AS shard,
-  {_spread('vec_id', SHARDS)} AS partition FROM embeddings""",
+    "repartition_shards": f"""SELECT vec_id, {EMB_SHARD} AS shard,
+  {EMB_SHARD} AS partition FROM {PLACED}""",
     "shard_manifest": f"WITH {_manifest(LINE_ROWS, MANY_SHARDS)} SELECT * FROM manifest",
     "minibatches": f"WITH {EMB}, {BATCHED} SELECT shard, {_KEPT}",
     "minibatches_sliced": f"WITH {EMB}, {BATCHED} SELECT shard, {_KEPT}",
     "minibatches_shuffled": f"""WITH {EMB}, {BATCHED}
 SELECT shard, batch_id, count(*) AS n_rows FROM batched GROUP BY shard, batch_id""",
-    "shard_totals": f"""WITH held AS (SELECT {_split('vec_id')} AS split, {_spread('vec_id', MANY_SHARDS)} AS shard, count(*) AS n
-  FROM embeddings GROUP BY 1, 2)
+    "shard_totals": f"""WITH held AS (SELECT {_split('vec_id')} AS split, {_spread('row_id', MANY_SHARDS)} AS shard, count(*) AS n
+  FROM {PLACED} GROUP BY 1, 2)
 SELECT split, sum(n)::BIGINT AS total_rows, count(*) AS valid_shards, {MANY_SHARDS}::BIGINT AS num_shards
 FROM held GROUP BY split""",
     "data_statistics": f"""WITH {EVENT_LABELS} SELECT (SELECT count(*) FROM events) AS total_samples,
@@ -308,7 +315,7 @@ SELECT run_id, epoch, val_acc, train_s FROM history JOIN lasts USING (run_id) WH
     "softmax_probs": f"WITH {EMB_SCORED} SELECT vec_id, {_spell('p', 10, 'p')} FROM scored",
     "cross_entropy": f"WITH {EMB_SCORED} SELECT vec_id, round(loss, 6) AS loss FROM scored",
     "evaluate_test": _CLASS_REPORT,
-    "train_epoch": f"""WITH held AS (SELECT {_spread('row_id', 8)} AS shard, count(*) AS n FROM ({LINE_ROWS}) GROUP BY 1)
+    "train_epoch": f"""WITH held AS (SELECT {_spread('row_id', _count('lineitem', EPOCH_SHARDS, ROWS_PER_TRAINING_SHARD))} AS shard, count(*) AS n FROM ({LINE_ROWS}) GROUP BY 1)
 SELECT shard, n, ceil(n / {EPOCH_BATCH}.0)::BIGINT AS steps, true AS sound FROM held""",
     "batch_gradient": _gradient(),
     "run_status": f"""WITH {_manifest(EMB_ROWS, MANY_SHARDS)},

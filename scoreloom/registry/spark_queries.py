@@ -22,8 +22,10 @@ from scoreloom.registry.patterns import pattern_model
 from scoreloom.sources import features, labels, models, outputs, shards
 from scoreloom.sources.scratch import scratch_path
 
+# Least shard counts; larger tables get more, see ``_shards``.
 SHARDS = 5
 BATCH_SHARDS = 3
+EPOCH_SHARDS = 8
 BATCH = 32
 MANY_SHARDS = 600
 EPOCH_BATCH = 64
@@ -38,6 +40,11 @@ def _spell(array: str, size: int, prefix: str) -> list[Column]:
     return [_r6(F.col(array)[i].cast("double")).alias(f"{prefix}{i}") for i in range(size)]
 
 
+def _shards(spark, sf, name: str, at_least: int, rows_per_shard: int = sharding.ROWS_PER_SHARD) -> int:
+    """Shard count for a table, from its row count (Parquet footers only)."""
+    return sharding.shard_count(D.table(spark, sf, name).count(), at_least, rows_per_shard)
+
+
 def _logits(spark, sf):
     df = D.embedding_samples(spark, sf)
     return df.withColumn("logits", scoring.score_logits(D.EMBEDDING_MODEL, "features"))
@@ -91,8 +98,9 @@ def scan_split(spark, sf):
 
 
 def _embedding_shards(spark, sf, tasks_per_shard=1):
-    samples = sharding.assign_shards(D.embedding_samples(spark, sf), SHARDS)
-    return shards.write_shards(samples, scratch_path(spark, "shards"), SHARDS, tasks_per_shard)
+    n = _shards(spark, sf, "embeddings", SHARDS)
+    samples = sharding.assign_shards(D.embedding_samples(spark, sf), n)
+    return shards.write_shards(samples, scratch_path(spark, "shards"), n, tasks_per_shard)
 
 
 def write_shards(spark, sf):
@@ -106,11 +114,10 @@ def write_shards(spark, sf):
 
 
 def read_shard(spark, sf):
+    """One shard and the rest, each read by partition pruning."""
     path = _embedding_shards(spark, sf)
-    parts = [shards.read_shard(spark, path, k) for k in range(SHARDS)]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
+    others = shards.read_shard(spark, path).where(F.col("shard") > 0)
+    whole = shards.read_shard(spark, path, 0).unionByName(others)
     return whole.select("shard", F.col("key").alias("vec_id"), "label", *_spell("features", 4, "f"))
 
 
@@ -132,8 +139,9 @@ def _data_shape(spark, sf) -> ModelShape:
 def model_sink(spark, sf):
     """Weights after an epoch over the table, stored and read back."""
     shape, path = _data_shape(spark, sf), scratch_path(spark, "model")
-    placed = sharding.repartition_shards(D.embedding_samples(spark, sf), BATCH_SHARDS)
-    state, _ = training.train_epoch(placed, BATCH_SHARDS, TrainState.start(init_model(shape)), shape, BATCH, 0.002, 1)
+    n = _shards(spark, sf, "embeddings", BATCH_SHARDS, sharding.ROWS_PER_TRAINING_SHARD)
+    placed = sharding.repartition_shards(D.embedding_samples(spark, sf), n)
+    state, _ = training.train_epoch(placed, n, TrainState.start(init_model(shape)), shape, BATCH, 0.002, 1)
     models.write_model(spark, state.model(shape), path, "run", 1)
     stored = spark.read.schema(models.MODEL_SCHEMA).parquet(path)
     return stored.select("run_id", "epoch", "name", "rows", "cols", F.size("values").alias("n_values"))
@@ -162,7 +170,7 @@ def prepare(spark, sf):
     df, _ = D.lineitem_contract(spark, sf)
     source = scratch_path(spark, "train_df.parquet")
     df.select("scaled_features", "label", F.lit(1.0).alias("weight")).write.parquet(source)
-    prepared = prepare_shards(spark, source, SHARDS, scratch_path(spark, "prepared"))
+    prepared = prepare_shards(spark, source, _shards(spark, sf, "lineitem", SHARDS), scratch_path(spark, "prepared"))
     return prepared.manifest.select("shard", "n_rows")
 
 
@@ -241,7 +249,7 @@ def format_metric_query(spark, sf):
 
 
 def repartition_shards(spark, sf):
-    placed = sharding.repartition_shards(D.embedding_samples(spark, sf), SHARDS)
+    placed = sharding.repartition_shards(D.embedding_samples(spark, sf), _shards(spark, sf, "embeddings", SHARDS))
     return placed.select(F.col("key").alias("vec_id"), "shard", F.spark_partition_id().alias("partition"))
 
 
@@ -252,7 +260,8 @@ def shard_manifest(spark, sf):
 
 
 def _batched(spark, sf, **options):
-    df = sharding.assign_shards(D.embedding_samples(spark, sf, weighted=True), BATCH_SHARDS)
+    n = _shards(spark, sf, "embeddings", BATCH_SHARDS)
+    df = sharding.assign_shards(D.embedding_samples(spark, sf, weighted=True), n)
     return batches.minibatches(df, BATCH, **options)
 
 
@@ -449,7 +458,8 @@ def evaluate_test_query(spark, sf):
 def train_epoch(spark, sf):
     """An epoch over all of ``lineitem``; rows and updates per shard are what SQL can state."""
     samples, _ = D.lineitem_samples(spark, sf, weighted=True)
-    placed = sharding.repartition_shards(samples, 8)
+    n = _shards(spark, sf, "lineitem", EPOCH_SHARDS, sharding.ROWS_PER_TRAINING_SHARD)
+    placed = sharding.repartition_shards(samples, n)
     state = TrainState.start(init_model(D.LINEITEM_SHAPE))
     parts = training.epoch_parts(placed, state, D.LINEITEM_SHAPE, EPOCH_BATCH, 0.002, epoch=1, seed=0)
     sound = (F.col("loss_sum") > 0) & (F.size("vector") == 3 * D.LINEITEM_SHAPE.num_parameters())
@@ -464,8 +474,9 @@ def batch_gradient(spark, sf):
 def train_model_query(spark, sf):
     samples = D.embedding_samples(spark, sf, weighted=True)
     split = contract.split_of(F.col("key"))
+    n = _shards(spark, sf, "embeddings", 2, sharding.ROWS_PER_TRAINING_SHARD)
     config = RunConfig(
-        "", "", "", "", num_shards=2, epochs=3, batch_size=BATCH, hidden_size=16, num_features=64, num_classes=10
+        "", "", "", "", num_shards=n, epochs=3, batch_size=BATCH, hidden_size=16, num_features=64, num_classes=10
     )
     result = train_model(spark, samples.where(split != "val"), samples.where(split == "val"), config, "run")
     return result.history.select("run_id", "epoch", "train_loss", "train_acc", "val_loss", "val_acc")
