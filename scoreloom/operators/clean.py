@@ -20,9 +20,20 @@ def reject_reason(df: DataFrame) -> Column:
     )
 
 
+def usable(df: DataFrame) -> Column:
+    """True where ``reject_reason`` is NULL, as a conjunction whose null checks reach the scan."""
+    return (
+        F.col("features").isNotNull()
+        & F.col("label").isNotNull()
+        & F.col("weight").isNotNull()
+        & sample_label(F.col("label")).isNotNull()
+        & F.col("weight").try_cast("double").isNotNull()
+    )
+
+
 def drop_malformed(df: DataFrame) -> DataFrame:
     """The usable rows in sample form. A projection and a filter: no extra pass over the data."""
-    return to_sample(df.where(reject_reason(df).isNull()))
+    return to_sample(df.where(usable(df)))
 
 
 def reject_counts(df: DataFrame) -> DataFrame:

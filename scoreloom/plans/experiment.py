@@ -39,7 +39,7 @@ def run_experiment(spark: SparkSession, config: RunConfig, started: datetime.dat
     shape = model_shape(config)
 
     train = load_samples(spark, config.train_path)
-    val = load_samples(spark, config.val_path or split_path(config.train_path, "val"))
+    val = load_samples(spark, config.val_path or split_path(config.train_path, "val"), numbered=False)
     trained = train_model(
         spark, train, val, config, stamp, model_path=f"{out}/best_model", history_path=f"{out}/training_history"
     )
@@ -48,7 +48,7 @@ def run_experiment(spark: SparkSession, config: RunConfig, started: datetime.dat
     info = model_info(model_table(spark, trained.best_model, stamp, trained.best_epoch), shape)
     write_report(info, f"{out}/model_info")
 
-    test = load_samples(spark, config.test_path)
+    test = load_samples(spark, config.test_path, numbered=False)
     evaluation = evaluate_test(test, f"{out}/best_model", shape, stamp, names, out)
     whole = evaluation.overall.first()
     training_row = spark.createDataFrame(

@@ -31,28 +31,31 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def embedding_samples(spark: SparkSession, sf: str, weighted: bool = False) -> DataFrame:
-    df = load_samples(spark, f"{sf}/embeddings.parquet", features="embedding", weight=None, key="vec_id")
+def embedding_samples(spark: SparkSession, sf: str, weighted: bool = False, numbered: bool = False) -> DataFrame:
+    path = f"{sf}/embeddings.parquet"
+    df = load_samples(spark, path, features="embedding", weight=None, key="vec_id", numbered=numbered)
     return with_class_weights(df, EMBEDDING_SHAPE.num_classes) if weighted else df
 
 
 def lineitem_contract(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    """``(row_id, scaled_features vector, label double)`` and the class names."""
-    df = read_numbered(spark, f"{sf}/lineitem.parquet")
+    """``(scaled_features vector, label double)`` and the class names."""
+    df = table(spark, sf, "lineitem")
     scaler = fit_scaler(df, LINEITEM_COLUMNS)
     indexer = fit_label_indexer(df, "l_returnflag")
     labelled = index_labels(df, "l_returnflag", indexer)
-    return labelled.select("row_id", scaler.as_vector().alias("scaled_features"), "label"), list(indexer.labels)
+    return labelled.select(scaler.as_vector().alias("scaled_features"), "label"), list(indexer.labels)
 
 
-def lineitem_samples(spark: SparkSession, sf: str, weighted: bool = False) -> tuple[DataFrame, list[str]]:
-    """``(row_id, features array<float>, label int, weight double)`` without going through vectors."""
-    df = read_numbered(spark, f"{sf}/lineitem.parquet")
+def lineitem_samples(
+    spark: SparkSession, sf: str, weighted: bool = False, numbered: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """``([row_id,] features array<float>, label int, weight double)`` without going through vectors."""
+    df = read_numbered(spark, f"{sf}/lineitem.parquet") if numbered else table(spark, sf, "lineitem")
     scaler = fit_scaler(df, LINEITEM_COLUMNS)
     indexer = fit_label_indexer(df, "l_returnflag")
     labelled = index_labels(df, "l_returnflag", indexer)
     samples = to_sample(
-        labelled.select("row_id", scaler.as_array().alias("features"), "label", F.lit(1.0).alias("weight"))
+        labelled.select(*(["row_id"] if numbered else []), scaler.as_array().alias("features"), "label", F.lit(1.0).alias("weight"))
     )
     names = list(indexer.labels)
     return (with_class_weights(samples, len(names)) if weighted else samples), names

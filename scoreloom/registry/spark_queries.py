@@ -63,7 +63,9 @@ def _label_tallies(spark, sf):
 
 
 def scan_features(spark: SparkSession, sf: str) -> DataFrame:
-    df = features.scan_features(spark, f"{sf}/embeddings.parquet", features="embedding", weight=None, key="vec_id")
+    df = features.scan_features(
+        spark, f"{sf}/embeddings.parquet", features="embedding", weight=None, key="vec_id", numbered=False
+    )
     return df.select(F.col("key").alias("vec_id"), "label", "weight", *_spell("features", 64, "f"))
 
 
@@ -74,7 +76,9 @@ def label_dictionary(spark, sf):
 
 
 def feature_width(spark, sf):
-    df = features.scan_features(spark, f"{sf}/embeddings.parquet", features="embedding", weight=None, key="vec_id")
+    df = features.scan_features(
+        spark, f"{sf}/embeddings.parquet", features="embedding", weight=None, key="vec_id", numbered=False
+    )
     width = features.feature_width(df)
     return features.feature_width_range(df).withColumn("first_width", F.lit(width))
 
@@ -83,10 +87,12 @@ def scan_split(spark, sf):
     folder = scratch_path(spark, "splits")
     df = D.embedding_samples(spark, sf).withColumn("split", contract.split_of(F.col("key")))
     for split in ("train", "val", "test"):
-        df.where(F.col("split") == split).drop("split", "row_id").write.parquet(f"{folder}/{split}_df.parquet")
+        df.where(F.col("split") == split).drop("split").write.parquet(f"{folder}/{split}_df.parquet")
     train_path = f"{folder}/train_df.parquet"
     parts = [
-        features.scan_split(spark, train_path, split, features="features", key="key").withColumn("split", F.lit(split))
+        features.scan_split(spark, train_path, split, features="features", key="key", numbered=False).withColumn(
+            "split", F.lit(split)
+        )
         for split in ("train", "val", "test")
     ]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -99,7 +105,7 @@ def scan_split(spark, sf):
 
 def _embedding_shards(spark, sf, tasks_per_shard=1):
     n = _shards(spark, sf, "embeddings", SHARDS)
-    samples = sharding.assign_shards(D.embedding_samples(spark, sf), n)
+    samples = sharding.assign_shards(D.embedding_samples(spark, sf, numbered=True), n)
     return shards.write_shards(samples, scratch_path(spark, "shards"), n, tasks_per_shard)
 
 
@@ -140,7 +146,7 @@ def model_sink(spark, sf):
     """Weights after an epoch over the table, stored and read back."""
     shape, path = _data_shape(spark, sf), scratch_path(spark, "model")
     n = _shards(spark, sf, "embeddings", BATCH_SHARDS, sharding.ROWS_PER_TRAINING_SHARD)
-    placed = sharding.repartition_shards(D.embedding_samples(spark, sf), n)
+    placed = sharding.repartition_shards(D.embedding_samples(spark, sf, numbered=True), n)
     state, _ = training.train_epoch(placed, n, TrainState.start(init_model(shape)), shape, BATCH, 0.002, 1)
     models.write_model(spark, state.model(shape), path, "run", 1)
     stored = spark.read.schema(models.MODEL_SCHEMA).parquet(path)
@@ -219,7 +225,7 @@ def reject_counts(spark, sf):
 
 
 def drop_empty_shards(spark, sf):
-    df = sharding.assign_shards(D.embedding_samples(spark, sf), MANY_SHARDS)
+    df = sharding.assign_shards(D.embedding_samples(spark, sf, numbered=True), MANY_SHARDS)
     manifest = sharding.shard_manifest(df, MANY_SHARDS)
     return sharding.drop_empty_shards(manifest).select("shard", "n_rows")
 
@@ -249,7 +255,7 @@ def format_metric_query(spark, sf):
 
 
 def repartition_shards(spark, sf):
-    placed = sharding.repartition_shards(D.embedding_samples(spark, sf), _shards(spark, sf, "embeddings", SHARDS))
+    placed = sharding.repartition_shards(D.embedding_samples(spark, sf, numbered=True), _shards(spark, sf, "embeddings", SHARDS))
     return placed.select(F.col("key").alias("vec_id"), "shard", F.spark_partition_id().alias("partition"))
 
 
@@ -261,7 +267,7 @@ def shard_manifest(spark, sf):
 
 def _batched(spark, sf, **options):
     n = _shards(spark, sf, "embeddings", BATCH_SHARDS)
-    df = sharding.assign_shards(D.embedding_samples(spark, sf, weighted=True), n)
+    df = sharding.assign_shards(D.embedding_samples(spark, sf, weighted=True, numbered=True), n)
     return batches.minibatches(df, BATCH, **options)
 
 
@@ -457,7 +463,7 @@ def evaluate_test_query(spark, sf):
 
 def train_epoch(spark, sf):
     """An epoch over all of ``lineitem``; rows and updates per shard are what SQL can state."""
-    samples, _ = D.lineitem_samples(spark, sf, weighted=True)
+    samples, _ = D.lineitem_samples(spark, sf, weighted=True, numbered=True)
     n = _shards(spark, sf, "lineitem", EPOCH_SHARDS, sharding.ROWS_PER_TRAINING_SHARD)
     placed = sharding.repartition_shards(samples, n)
     state = TrainState.start(init_model(D.LINEITEM_SHAPE))
@@ -472,7 +478,7 @@ def batch_gradient(spark, sf):
 
 
 def train_model_query(spark, sf):
-    samples = D.embedding_samples(spark, sf, weighted=True)
+    samples = D.embedding_samples(spark, sf, weighted=True, numbered=True)
     split = contract.split_of(F.col("key"))
     n = _shards(spark, sf, "embeddings", 2, sharding.ROWS_PER_TRAINING_SHARD)
     config = RunConfig(
@@ -484,7 +490,7 @@ def train_model_query(spark, sf):
 
 def run_status(spark, sf):
     """Every seventh shard reports a row less than its manifest."""
-    df = sharding.assign_shards(D.embedding_samples(spark, sf), MANY_SHARDS)
+    df = sharding.assign_shards(D.embedding_samples(spark, sf, numbered=True), MANY_SHARDS)
     manifest = settle(sharding.shard_manifest(df, MANY_SHARDS))
     trained = manifest.where(F.col("n_rows") > 0).select(
         "shard",

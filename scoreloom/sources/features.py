@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# One (path, offset) pair is about 200 bytes, so this bounds the broadcast at some 20 MB.
-MAX_BROADCAST_FILES = 100_000
+# A (hash, offset) pair takes some 64 bytes in a broadcast table, so this bounds it at 128 MB.
+MAX_BROADCAST_FILES = 2_000_000
 
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -26,14 +26,22 @@ def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     placed = df.select("*", F.col("_metadata.row_index").alias("row_id"))
     if num_files <= 1:
         return placed
-    per_file = df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").count()
+    # Two paths with one hash would share an offset: still one row each, only numbered less evenly.
+    path = F.col("_metadata.file_path")
+    per_file = (
+        df.select(path.alias("_path"))
+        .groupBy("_path")
+        .agg(F.count("*").alias("_n"))
+        .groupBy(F.xxhash64("_path").alias("_file"))
+        .agg(F.min("_path").alias("_path"), F.sum("_n").alias("_n"))
+    )
     # One row per file; the driver already holds that list to plan the scan.
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_file.select("_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_file.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     if num_files <= MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
     return (
-        placed.withColumn("_file", F.col("_metadata.file_path"))
+        placed.withColumn("_file", F.xxhash64("_metadata.file_path"))
         .join(offsets, "_file")
         .withColumn("row_id", F.col("row_id") + F.col("_offset"))
         .drop("_file", "_offset")
@@ -47,20 +55,22 @@ def scan_features(
     label: str = "label",
     weight: str | None = "weight",
     key: str | None = None,
+    numbered: bool = True,
 ) -> DataFrame:
     """``(row_id, key, features, label, weight)`` as stored, only these columns read.
 
     ``features`` may be a vector or an array of floats. Without a weight column
-    every row weighs 1; without a key column ``row_id`` is the key.
+    every row weighs 1. ``row_id`` is needed for shards and batches only;
+    ``numbered=False`` leaves it out, and ``key`` is there if named.
     """
-    df = read_numbered(spark, path)
+    df = read_numbered(spark, path) if numbered else spark.read.parquet(path)
     kind = df.schema[features].dataType
     is_array = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
     if not (is_array or isinstance(kind, VectorUDT)):
         raise TypeError(f"column {features!r} is {kind.simpleString()}, expected a vector or array of floats")
     return df.select(
-        "row_id",
-        F.col(key if key else "row_id").alias("key"),
+        *(["row_id"] if numbered else []),
+        *([F.col(key).alias("key")] if key else []),
         F.col(features).alias("features"),
         F.col(label).alias("label"),
         (F.col(weight) if weight else F.lit(1.0)).alias("weight"),
