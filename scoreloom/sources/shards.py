@@ -44,7 +44,7 @@ def read_shard(spark: SparkSession, path: str, shard: int | None = None) -> Data
 
 def shard_id_from_path(path: Column) -> Column:
     """Shard id of ``.../name_<id>.ext`` or ``.../shard=<id>/...``; NULL when there is none."""
-    digits = F.regexp_extract(path, r"(?:shard=|_)(\d+)(?:/[^/]*|\.[^/]*)?$", 1)
+    digits = F.regexp_extract(path, r"(?:shard=|_(?=\d+\.[^/]*$))(\d+)", 1)
     return F.when(digits != "", digits).cast("int")
 
 
