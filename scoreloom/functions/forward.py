@@ -35,20 +35,28 @@ def logits_of(model: Model, x: np.ndarray) -> np.ndarray:
     return hidden_state(model, x)[3] @ model.used_blocks()[3].T
 
 
-def softmax_of(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
 def check_labels(label: np.ndarray, num_classes: int) -> None:
     if label.size and (label.min() < 0 or label.max() >= num_classes):
         raise ValueError(f"label outside 0..{num_classes - 1}")
 
 
-def cross_entropy_of(logits: np.ndarray, label: np.ndarray) -> np.ndarray:
+def loss_and_softmax(logits: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy and class probabilities of every row, from one exponential."""
     top = logits.max(axis=1)
-    total = np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top
-    return total - logits[np.arange(len(label)), label]
+    e = np.exp(logits - top[:, None])
+    total = e.sum(axis=1)
+    return np.log(total) + top - logits[np.arange(len(label)), label], e / total[:, None]
+
+
+def tally_pairs(label: np.ndarray, pred: np.ndarray, loss: np.ndarray, classes: int):
+    """Distinct (label, pred) pairs of a batch with their row counts and loss sums."""
+    code = label * classes + pred
+    if classes * classes <= max(len(code), 1024):
+        n = np.bincount(code, minlength=classes * classes)
+        found = np.flatnonzero(n)
+        return found // classes, found % classes, n[found], np.bincount(code, loss, classes * classes)[found]
+    found, where, n = np.unique(code, return_inverse=True, return_counts=True)
+    return found // classes, found % classes, n, np.bincount(where, loss)
 
 
 def list_column(matrix: np.ndarray) -> pa.ListArray:

@@ -74,12 +74,9 @@ def score_rows(df: DataFrame, model: Model, features: str = "features", label: s
         logits = forward.logits_of(model, forward.feature_matrix(x, width))
         truth = y.to_numpy(zero_copy_only=False).astype(np.int64)
         forward.check_labels(truth, classes)
+        loss, probabilities = forward.loss_and_softmax(logits, truth)
         return pa.StructArray.from_arrays(
-            [
-                pa.array(logits.argmax(axis=1).astype(np.int32)),
-                pa.array(forward.cross_entropy_of(logits, truth)),
-                forward.list_column(forward.softmax_of(logits)),
-            ],
+            [pa.array(logits.argmax(axis=1).astype(np.int32)), pa.array(loss), forward.list_column(probabilities)],
             names=["pred", "loss", "probabilities"],
         )
 
@@ -112,14 +109,15 @@ def tally_models(
                 classes = model.shape.num_classes
                 forward.check_labels(truth, classes)
                 logits = forward.logits_of(model, x)
-                pairs, where = np.unique(truth * classes + logits.argmax(axis=1), return_inverse=True)
+                loss, _ = forward.loss_and_softmax(logits, truth)
+                labels, preds, n, sums = forward.tally_pairs(truth, logits.argmax(axis=1), loss, classes)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(pairs)),
-                        pa.array((pairs // classes).astype(np.int32)),
-                        pa.array((pairs % classes).astype(np.int32)),
-                        pa.array(np.bincount(where).astype(np.int64)),
-                        pa.array(np.bincount(where, weights=forward.cross_entropy_of(logits, truth))),
+                        pa.array([name] * len(n)),
+                        pa.array(labels.astype(np.int32)),
+                        pa.array(preds.astype(np.int32)),
+                        pa.array(n.astype(np.int64)),
+                        pa.array(sums),
                     ],
                     names=["model", "label", "pred", "n", "loss_sum"],
                 )

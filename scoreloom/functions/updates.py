@@ -65,9 +65,8 @@ def loss_and_gradient(model: Model, x: np.ndarray, label: np.ndarray, scale: np.
     p, keep, cand, h = forward.hidden_state(model, x)
     seen = h if mask is None else h * mask
     logits = seen @ w_c.T
-    losses = forward.cross_entropy_of(logits, label)
+    losses, d_logits = forward.loss_and_softmax(logits, label)
 
-    d_logits = forward.softmax_of(logits)
     d_logits[np.arange(len(label)), label] -= 1.0
     d_logits *= scale[:, None]
     d_h = d_logits @ w_c

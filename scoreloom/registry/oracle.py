@@ -242,7 +242,7 @@ SELECT vec_id, label, pred, round(loss, 6) AS loss, {_spell('p', 10, 'p')} FROM
     "prepare_shards": f"WITH {_manifest(LINE_ROWS, _count('lineitem', SHARDS))} SELECT * FROM manifest",
     "vector_to_array": f"SELECT vec_id, {_spell('embedding', 64, 'f')} FROM embeddings",
     "to_sample": f"""SELECT l_orderkey, l_linenumber, trunc(l_quantity / 7)::INTEGER AS label,
-  round(l_discount, 6) AS weight, {', '.join(f'round({c}::FLOAT::DOUBLE, 6) AS f{i}' for i, c in enumerate(D.LINEITEM_COLUMNS))}
+  l_discount AS weight, {', '.join(f'{c}::FLOAT::DOUBLE AS f{i}' for i, c in enumerate(D.LINEITEM_COLUMNS))}
   FROM lineitem""",
     "drop_malformed": f"""WITH {DAMAGED} SELECT trunc(label)::INTEGER AS label, count(*) AS n_rows,
   round(sum(weight), 6) AS weight_sum FROM judged WHERE reason = 'ok' GROUP BY 1""",

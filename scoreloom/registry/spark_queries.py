@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.config import RunConfig
-from scoreloom.functions import scoring
-from scoreloom.functions.samples import vector_to_array
+from scoreloom.functions import samples, scoring
 from scoreloom.functions.text import format_metric, run_stamp, stamped_output
 from scoreloom.functions.updates import TrainState
 from scoreloom.model import ModelShape, init_model
@@ -185,7 +184,7 @@ def prepare(spark, sf):
 
 def vector_to_array_query(spark, sf):
     df = D.table(spark, sf, "embeddings").withColumn("embedding", array_to_vector(F.col("embedding").cast("array<double>")))
-    return vector_to_array(df, "embedding").select("vec_id", *_spell("embedding", 64, "f"))
+    return samples.vector_to_array(df, "embedding").select("vec_id", *_spell("embedding", 64, "f"))
 
 
 def to_sample(spark, sf):
@@ -196,9 +195,8 @@ def to_sample(spark, sf):
         (F.col("l_quantity") / 7).alias("label"),
         F.col("l_discount").alias("weight"),
     )
-    from scoreloom.functions.samples import to_sample as convert
-
-    return convert(raw).select("l_orderkey", "l_linenumber", "label", _r6(F.col("weight")).alias("weight"), *_spell("features", 4, "f"))
+    values = [F.col("features")[i].cast("double").alias(f"f{i}") for i in range(4)]
+    return samples.to_sample(raw).select("l_orderkey", "l_linenumber", "label", "weight", *values)
 
 
 def _with_damage(spark, sf):
