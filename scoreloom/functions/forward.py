@@ -8,10 +8,12 @@ import pyarrow as pa
 from scoreloom.model import Model
 
 
+# Values converted to float64 at a time (32 MB), so wide vectors need no smaller Arrow batches.
+CHUNK_VALUES = 4_000_000
+
+
 def feature_matrix(column: pa.Array, width: int) -> np.ndarray:
     """A list column as a (rows, width) float64 matrix; unequal widths are an error."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     if column.null_count:
         raise ValueError("null feature vector: reject malformed rows before scoring")
     lengths = np.diff(column.offsets.to_numpy(zero_copy_only=False))
@@ -22,6 +24,15 @@ def feature_matrix(column: pa.Array, width: int) -> np.ndarray:
     return values.astype(np.float64).reshape(len(column), width)
 
 
+def feature_chunks(column: pa.Array, width: int):
+    """``(start, matrix)`` pieces of a list column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    step = max(1, CHUNK_VALUES // max(1, width))
+    for start in range(0, len(column), step):
+        yield start, feature_matrix(column.slice(start, step), width)
+
+
 def hidden_state(model: Model, x: np.ndarray):
     """Projection, update-gate complement, candidate and hidden state of every row."""
     w_p, w_z, w_n, _ = model.used_blocks()
@@ -40,6 +51,15 @@ def check_labels(label: np.ndarray, num_classes: int) -> None:
         raise ValueError(f"label outside 0..{num_classes - 1}")
 
 
+def logits_of_column(models: list[Model], column: pa.Array, width: int) -> list[np.ndarray]:
+    """Logits of every row for each of the models, the features converted once."""
+    pieces = [[np.empty((0, m.shape.num_classes))] for m in models]
+    for _, x in feature_chunks(column, width):
+        for model, piece in zip(models, pieces):
+            piece.append(logits_of(model, x))
+    return [np.concatenate(piece) for piece in pieces]
+
+
 def loss_and_softmax(logits: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy and class probabilities of every row, from one exponential."""
     top = logits.max(axis=1)

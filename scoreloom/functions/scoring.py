@@ -34,7 +34,7 @@ def score_logits(model: Model, features: str | Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def logits(x: pa.Array) -> pa.Array:
-        return forward.list_column(forward.logits_of(model, forward.feature_matrix(x, width)))
+        return forward.list_column(forward.logits_of_column([model], x, width)[0])
 
     return logits(features)
 
@@ -71,7 +71,7 @@ def score_rows(df: DataFrame, model: Model, features: str = "features", label: s
 
     @F.arrow_udf(SCORE_TYPE)
     def score(x: pa.Array, y: pa.Array) -> pa.Array:
-        logits = forward.logits_of(model, forward.feature_matrix(x, width))
+        logits = forward.logits_of_column([model], x, width)[0]
         truth = y.to_numpy(zero_copy_only=False).astype(np.int64)
         forward.check_labels(truth, classes)
         loss, probabilities = forward.loss_and_softmax(logits, truth)
@@ -103,12 +103,11 @@ def tally_models(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = forward.feature_matrix(batch.column(0), width)
+            scored = forward.logits_of_column([m for _, m in named], batch.column(0), width)
             truth = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for name, model in named:
+            for (name, model), logits in zip(named, scored):
                 classes = model.shape.num_classes
                 forward.check_labels(truth, classes)
-                logits = forward.logits_of(model, x)
                 loss, _ = forward.loss_and_softmax(logits, truth)
                 labels, preds, n, sums = forward.tally_pairs(truth, logits.argmax(axis=1), loss, classes)
                 yield pa.RecordBatch.from_arrays(

@@ -51,12 +51,20 @@ class TrainState:
         return TrainState(params, mean, var, int(steps))
 
 
-def dropout_mask(rate: float, rows: int, hidden: int, key: tuple[int, ...]) -> np.ndarray | None:
-    """Scaled keep mask from a key (seed, epoch, shard, step), the same on a retried task."""
+def dropout_source(key: tuple[int, ...], skip: int = 0) -> np.random.Generator:
+    """Random stream of a shard in an epoch, keyed (seed, epoch, shard), so a retried task repeats it.
+
+    ``skip`` jumps over the values that earlier batches used.
+    """
+    bits = np.random.PCG64(np.random.SeedSequence(list(key)))
+    return np.random.Generator(bits.advance(skip) if skip else bits)
+
+
+def dropout_mask(rate: float, rows: int, hidden: int, source: np.random.Generator) -> np.ndarray | None:
+    """Zero with probability ``rate``, else ``1 / (1 - rate)``."""
     if rate <= 0.0:
         return None
-    keep = np.random.default_rng(list(key)).random((rows, hidden)) >= rate
-    return keep / (1.0 - rate)
+    return (source.random((rows, hidden)) >= rate) * (1.0 / (1.0 - rate))
 
 
 def loss_and_gradient(model: Model, x: np.ndarray, label: np.ndarray, scale: np.ndarray, mask=None):
@@ -75,17 +83,21 @@ def loss_and_gradient(model: Model, x: np.ndarray, label: np.ndarray, scale: np.
     d_update = -d_h * cand * keep * (1.0 - keep)
     d_cand = d_h * keep * (1.0 - cand * cand)
     d_p = d_update @ w_z + d_cand @ w_n
-    hidden = model.shape.hidden_size
-    gates = np.zeros((3 * hidden, hidden))
-    gates[hidden : 2 * hidden] = d_update.T @ p
-    gates[2 * hidden :] = d_cand.T @ p
-    gradient = {
-        "input_projection": d_p.T @ x,
-        "gru_input": gates,
-        "gru_hidden": np.zeros((3 * hidden, hidden)),
-        "classifier": d_logits.T @ seen,
-    }
-    return losses, logits.argmax(axis=1), Model(model.shape, gradient).flatten()
+    unused = np.zeros(h.shape[1] ** 2)
+    # Storage order of the weights: projection, reset, update, candidate, hidden-to-hidden, classifier.
+    gradient = np.concatenate(
+        [
+            (d_p.T @ x).ravel(),
+            unused,
+            (d_update.T @ p).ravel(),
+            (d_cand.T @ p).ravel(),
+            unused,
+            unused,
+            unused,
+            (d_logits.T @ seen).ravel(),
+        ]
+    )
+    return losses, logits.argmax(axis=1), gradient
 
 
 def adamw_step(state: TrainState, gradient: np.ndarray, learning_rate: float) -> None:

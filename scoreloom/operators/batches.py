@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def batch_order(epoch: int, seed: int) -> Column:
-    """Shuffle order of an epoch: a hash of the row, so a retried task repeats it."""
+    """Shuffle order of an epoch: a hash of the row number, so a retried task repeats it.
+
+    For a given seed the hash maps 64-bit numbers one to one, so it orders rows
+    without ties, and a single long is the cheapest thing to sort by.
+    """
     return F.xxhash64(F.lit(seed), F.lit(epoch), F.col("row_id"))
 
 
@@ -29,7 +33,7 @@ def minibatches(df: DataFrame, batch_size: int, shuffle: tuple[int, int] | None
         part = F.floor((F.shiftright(order, 32) + F.lit(1 << 31)) * F.lit(slices) / F.lit(1 << 32))
     ordered = df.withColumns({"_part": part.cast("int"), "_order": order})
     if slices == 1:
-        within = Window.partitionBy("shard").orderBy("_order", "row_id")
+        within = Window.partitionBy("shard").orderBy("_order")
         index = F.row_number().over(within) - 1
     else:
         before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,7 +43,7 @@ def minibatches(df: DataFrame, batch_size: int, shuffle: tuple[int, int] | None
             .select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
         )
         ordered = ordered.join(starts, ["shard", "_part"])
-        within = Window.partitionBy("shard", "_part").orderBy("_order", "row_id")
+        within = Window.partitionBy("shard", "_part").orderBy("_order")
         index = F.col("_start") + F.row_number().over(within) - 1
     return ordered.withColumn("batch_id", F.floor(index / batch_size).cast("bigint")).select(*df.columns, "batch_id")
 

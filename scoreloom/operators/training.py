@@ -68,10 +68,12 @@ class ShardTrainer:
     """Mini-batch updates over the rows of one shard, fed in any chunking."""
 
     def __init__(self, shard: int, state: TrainState, shape: ModelShape, batch_size: int, rate: float, key: tuple):
-        self.shard, self.shape, self.batch_size, self.rate, self.key = shard, shape, batch_size, rate, key
+        self.shard, self.shape, self.batch_size, self.rate = shard, shape, batch_size, rate
         self.state = state.copy()
+        self.model = self.state.model(shape)  # views: updates in place show through
+        self.source = updates.dropout_source((*key, shard))
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held_rows = self.rows = self.correct = self.local_steps = 0
+        self.held_rows = self.rows = self.correct = 0
         self.loss_sum = 0.0
 
     def feed(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
@@ -87,12 +89,9 @@ class ShardTrainer:
         self.held_rows = len(y) - full
 
     def _update(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        mask = updates.dropout_mask(
-            self.shape.dropout, len(y), self.shape.hidden_size, (*self.key, self.shard, self.local_steps)
-        )
-        losses, guess, gradient = updates.loss_and_gradient(self.state.model(self.shape), x, y, w / len(y), mask)
+        mask = updates.dropout_mask(self.shape.dropout, len(y), self.shape.hidden_size, self.source)
+        losses, guess, gradient = updates.loss_and_gradient(self.model, x, y, w / len(y), mask)
         updates.adamw_step(self.state, gradient, self.rate)
-        self.local_steps += 1
         self.rows += len(y)
         self.loss_sum += float((losses * w).sum())
         self.correct += int((guess == y).sum())
@@ -114,10 +113,11 @@ def shard_runs(batches, shape: ModelShape):
         y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         forward.check_labels(y, shape.num_classes)
         w = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-        x = forward.feature_matrix(batch.column(3), shape.num_features)
-        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-        for a, b in zip(cuts, cuts[1:]):
-            yield int(shards[a]), x[a:b], y[a:b], w[a:b]
+        for start, x in forward.feature_chunks(batch.column(3), shape.num_features):
+            part = shards[start : start + len(x)]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield int(part[a]), x[a:b], y[start + a : start + b], w[start + a : start + b]
 
 
 def combine_parts(parts: DataFrame, num_shards: int) -> ShardPart | None:
@@ -160,23 +160,24 @@ def epoch_parts(
     """One pass over every shard; one row per shard with its weights after the pass.
 
     The epoch's order is a sort inside each partition (it spills), so no rows
-    cross the network after the shards were placed.
+    cross the network after the shards were placed. One shard per partition
+    means the sort needs no second column.
     """
 
     def train(batches):
         worker = None
         for shard, x, y, w in shard_runs(batches, shape):
-            if worker is None or worker.shard != shard:
-                if worker is not None:
-                    yield worker.finish().as_batch()
+            if worker is None:
                 worker = ShardTrainer(shard, state, shape, batch_size, learning_rate, (seed, epoch))
+            if worker.shard != shard:
+                raise ValueError("a partition holds several shards: place rows with repartition_shards")
             worker.feed(x, y, w)
         if worker is not None:
             yield worker.finish().as_batch()
 
     return (
         shards.withColumn("_order", batch_order(epoch, seed))
-        .sortWithinPartitions("shard", "_order", "row_id")
+        .sortWithinPartitions("_order")
         .select("shard", "label", "weight", "features")
         .mapInArrow(train, PART_SCHEMA)
     )
@@ -199,7 +200,9 @@ def train_epoch(
     return TrainState.unpack(total.vector, total.steps), total
 
 
-def step_parts(batch: DataFrame, state: TrainState, shape: ModelShape, epoch: int, seed: int, step: int) -> DataFrame:
+def step_parts(
+    batch: DataFrame, state: TrainState, shape: ModelShape, batch_size: int, epoch: int, seed: int, step: int
+) -> DataFrame:
     """Gradient of the mean weighted loss of each shard's rows in one global batch."""
 
     def gradient(batches):
@@ -208,14 +211,16 @@ def step_parts(batch: DataFrame, state: TrainState, shape: ModelShape, epoch: in
             held.setdefault(shard, []).append((x, y, w))
         for shard, runs in held.items():  # one mini-batch
             x, y, w = (np.concatenate(parts) for parts in zip(*runs))
-            mask = updates.dropout_mask(shape.dropout, len(y), shape.hidden_size, (seed, epoch, shard, step))
+            used = step * batch_size * shape.hidden_size
+            source = updates.dropout_source((seed, epoch, shard), used)
+            mask = updates.dropout_mask(shape.dropout, len(y), shape.hidden_size, source)
             losses, guess, flat = updates.loss_and_gradient(state.model(shape), x, y, w / len(y), mask)
             yield ShardPart(
                 shard, 1.0, len(y), state.steps, float((losses * w).sum()), int((guess == y).sum()), flat
             ).as_batch()
 
     return (
-        batch.sortWithinPartitions("shard", "_order", "row_id")
+        batch.sortWithinPartitions("shard", "_order")
         .select("shard", "label", "weight", "features")
         .mapInArrow(gradient, PART_SCHEMA)
     )
@@ -226,13 +231,14 @@ def train_step(
     num_shards: int,
     state: TrainState,
     shape: ModelShape,
+    batch_size: int,
     learning_rate: float,
     epoch: int,
     step: int,
     seed: int = 0,
 ) -> tuple[TrainState, ShardPart]:
     """One update from the mean gradient over shards, as an all-reduce would give: one job per batch."""
-    total = combine_parts(step_parts(batch, state, shape, epoch, seed, step), num_shards)
+    total = combine_parts(step_parts(batch, state, shape, batch_size, epoch, seed, step), num_shards)
     if total is None:
         raise ValueError(f"no rows in batch {step}")
     after = state.copy()
@@ -256,9 +262,11 @@ def batch_gradient(samples: DataFrame, model: Model) -> DataFrame:
             y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             forward.check_labels(y, shape.num_classes)
             w = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            x = forward.feature_matrix(batch.column(2), shape.num_features)
-            flat = updates.loss_and_gradient(model, x, y, w)[2]
-            total, n = flat if total is None else total + flat, n + len(y)
+            for start, x in forward.feature_chunks(batch.column(2), shape.num_features):
+                rows = slice(start, start + len(x))
+                flat = updates.loss_and_gradient(model, x, y[rows], w[rows])[2]
+                total = flat if total is None else total + flat
+            n += len(y)
         if total is not None:
             # The row count travels as one more component of the vector.
             yield pa.RecordBatch.from_arrays([forward.list_column(np.append(total, float(n))[None, :])], names=["parts"])

@@ -63,7 +63,7 @@ def _epoch_by_steps(shards: DataFrame, config: RunConfig, state: TrainState, epo
     for step in range(last + 1):
         state, part = train_step(
             batched.where(F.col("batch_id") == step),
-            config.num_shards, state, shape, config.learning_rate, epoch, step, config.seed,
+            config.num_shards, state, shape, config.batch_size, config.learning_rate, epoch, step, config.seed,
         )
         total = part if total is None else dataclasses.replace(
             total, n=total.n + part.n, loss_sum=total.loss_sum + part.loss_sum, correct=total.correct + part.correct

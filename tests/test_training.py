@@ -99,6 +99,14 @@ def test_tally_equals_grouped_rows_under_any_partitioning(spark):
         assert {(r["label"], r["pred"]): (r["n"], r["loss_sum"]) for r in got} == want
 
 
+def test_wide_vectors_are_scored_in_pieces(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(25, 3))
+    column, model = forward.list_column(x), init_model(SHAPE)
+    monkeypatch.setattr(forward, "CHUNK_VALUES", 12)
+    assert [m.shape[0] for _, m in forward.feature_chunks(column, 3)] == [4] * 6 + [1]
+    assert np.allclose(forward.logits_of_column([model], column, 3)[0], forward.logits_of(model, x))
+
+
 @pytest.mark.parametrize("rows", [[([1.0, 2.0], 0)], [([1.0, 2.0, 3.0], 3)], [([1.0, 2.0, 3.0], -1)]])
 def test_wrong_width_or_label_is_an_error(spark, rows):
     df = spark.createDataFrame(rows, "features array<float>, label int")
@@ -123,7 +131,7 @@ def test_gradient_matches_differences():
     rng = np.random.default_rng(5)
     x, y, w = rng.normal(size=(20, 3)), rng.integers(0, 3, 20), rng.uniform(0.5, 2, 20)
     model = init_model(SHAPE, 6)
-    mask = updates.dropout_mask(0.3, 20, 5, (1, 2))
+    mask = updates.dropout_mask(0.3, 20, 5, updates.dropout_source((1, 2)))
     flat = model.flatten()
     _, _, gradient = updates.loss_and_gradient(model, x, y, w / 20, mask)
 
@@ -163,10 +171,11 @@ def test_step_decays_and_clips():
 
 
 def test_dropout_keeps_the_mean_and_repeats():
-    mask = updates.dropout_mask(0.2, 4000, 8, (1, 2, 3))
+    mask = updates.dropout_mask(0.2, 4000, 8, updates.dropout_source((1, 2, 3)))
     assert mask.mean() == pytest.approx(1.0, abs=0.02)
-    assert (mask == updates.dropout_mask(0.2, 4000, 8, (1, 2, 3))).all()
-    assert updates.dropout_mask(0.0, 4, 4, (1,)) is None
+    assert (mask == updates.dropout_mask(0.2, 4000, 8, updates.dropout_source((1, 2, 3)))).all()
+    assert (mask[3000:] == updates.dropout_mask(0.2, 1000, 8, updates.dropout_source((1, 2, 3), 3000 * 8))).all()
+    assert updates.dropout_mask(0.0, 4, 4, updates.dropout_source((1,))) is None
 
 
 def test_one_shard_epoch_equals_plain_loop(spark):
@@ -178,12 +187,12 @@ def test_one_shard_epoch_equals_plain_loop(spark):
     placed = sharding.repartition_shards(df, 1)
     got, part = training.train_epoch(placed, 1, state, SHAPE, 16, 0.01, epoch=2, seed=9)
     rows = df.withColumn("o", batch_order(2, 9)).orderBy("o", "row_id").collect()
-    want = state.copy()
-    for step, at in enumerate(range(0, 100, 16)):
+    want, source = state.copy(), updates.dropout_source((9, 2, 0))
+    for at in range(0, 100, 16):
         chunk = rows[at : at + 16]
         x = np.array([r["features"] for r in chunk], dtype=np.float64)
         y, w = np.array([r["label"] for r in chunk]), np.array([r["weight"] for r in chunk])
-        mask = updates.dropout_mask(0.2, len(y), 5, (9, 2, 0, step))
+        mask = updates.dropout_mask(0.2, len(y), 5, source)
         _, _, g = updates.loss_and_gradient(want.model(SHAPE), x, y, w / len(y), mask)
         updates.adamw_step(want, g, 0.01)
     assert np.allclose(got.params, want.params, atol=1e-13) and got.steps == want.steps == 7
@@ -203,7 +212,7 @@ def test_step_mode_averages_shard_gradients(spark):
     df = toy(spark, 60)
     sharded = sharding.repartition_shards(df, 3).withColumn("_order", F.col("row_id"))
     state, plain = TrainState.start(init_model(SHAPE, 1)), dataclasses.replace(SHAPE, dropout=0.0)
-    _, part = training.train_step(sharded, 3, state, plain, 0.01, 1, 0)
+    _, part = training.train_step(sharded, 3, state, plain, 64, 0.01, 1, 0)
     want = []
     for shard in range(3):
         rows = sharded.where(F.col("shard") == shard).collect()
