@@ -313,3 +313,13 @@ def test_whole_run(spark):
     assert info["total_parameters"] == 3 * 8 + 6 * 64 + 8 * 3
     for part in ("best_model", "training_history", "confusion_matrix"):
         assert spark.read.format("parquet" if part == "best_model" else "json").load(f"{done.output_dir}/{part}").count()
+
+
+def test_command_line_fills_the_config():
+    from scoreloom.__main__ import parse
+
+    given = ["--train_path", "a", "--test_path", "b", "--label_indexer_path", "c", "--output_dir", "d"]
+    default = parse(given)
+    assert (default.epochs, default.batch_size, default.learning_rate) == (3, 512, 0.002)
+    assert (default.hidden_size, default.dropout, default.num_shards, default.mode) == (64, 0.2, 1, "local")
+    assert parse([*given, "--num_processes", "7", "--sync", "step"]).num_shards == 7
