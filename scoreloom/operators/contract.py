@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Up to this many classes the per-class weights travel as one array literal (80 kB).
 MAX_LITERAL_CLASSES = 10_000
+# Up to this many they are broadcast (128 MB at 64 bytes an entry).
+MAX_BROADCAST_CLASSES = 2_000_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -62,10 +64,19 @@ def class_weights(df: DataFrame, num_classes: int) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, num_classes: int) -> DataFrame:
-    """Add ``weight`` by class, without shuffling the rows when the dictionary is small."""
+    """Add ``weight`` by class. Rows are shuffled only beyond MAX_BROADCAST_CLASSES, where no
+    class can be assumed small and adaptive execution splits the large ones."""
     weights = class_weights(df, num_classes).select("label", "weight")
     if num_classes > MAX_LITERAL_CLASSES:
-        return df.drop("weight").join(weights, "label", "left")
+        known = weights.where(F.col("label").between(0, num_classes - 1))  # at most num_classes rows
+        if num_classes <= MAX_BROADCAST_CLASSES:
+            known = F.broadcast(known)
+        outside = F.raise_error(F.concat(F.lit(f"label outside 0..{num_classes - 1}: "), F.col("label").cast("string")))
+        return (
+            df.drop("weight")
+            .join(known, "label", "left")
+            .withColumn("weight", F.coalesce("weight", outside.cast("double")))
+        )
     by_class = [None] * num_classes
     for row in weights.collect():  # one row per class
         if not 0 <= row["label"] < num_classes:

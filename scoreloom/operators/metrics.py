@@ -25,6 +25,12 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
+def _known(column: str, num_classes: int) -> Column:
+    """The class id itself; one outside the dictionary is an error, not a silently lost row."""
+    outside = F.raise_error(F.concat(F.lit(f"{column} outside 0..{num_classes - 1}: "), F.col(column).cast("string")))
+    return F.when(F.col(column).between(0, num_classes - 1), F.col(column)).otherwise(outside.cast("int")).alias(column)
+
+
 def _group_rows(spark: SparkSession, cells: int, by: tuple[str, ...], values: list[str] | None) -> DataFrame:
     """``cells`` numbered slots per value of the single ``by`` column (or one set without it)."""
     if not by:
@@ -67,7 +73,8 @@ def confusion_counts(
         (F.col("_cell") % num_classes).cast("int").alias("pred"),
         F.lit(0).cast("bigint").alias("n"),
     )
-    cells = grid.unionByName(tallies.select(*by, "label", "pred", "n"))
+    seen = tallies.select(*by, _known("label", num_classes), _known("pred", num_classes), "n")
+    cells = grid.unionByName(seen)
     return cells.groupBy(*by, "label", "pred").agg(F.sum("n").alias("n"))
 
 
@@ -99,7 +106,8 @@ def class_report(
     as_guess = F.struct(
         F.col("pred").alias("label"), zero.alias("support"), n.alias("predicted"), zero.alias("tp")
     )
-    pieces = tallies.select(*by, F.inline(F.array(as_truth, as_guess)))
+    seen = tallies.select(*by, _known("label", num_classes), _known("pred", num_classes), "n")
+    pieces = seen.select(*by, F.inline(F.array(as_truth, as_guess)))
     blank = _group_rows(tallies.sparkSession, num_classes, by, values).select(
         *by,
         F.col("_cell").cast("int").alias("label"),

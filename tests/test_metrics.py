@@ -34,6 +34,13 @@ def test_class_absent_from_truth(spark):
     assert all((r["pct"] is None) == (r["label"] == 2) for r in grid)
 
 
+def test_class_outside_the_dictionary_is_an_error(spark):
+    tallies, report = report_of(spark, [(0, 0), (1, 3)], ["a", "b", "c"])
+    for df in (report, metrics.confusion_counts(tallies, 3)):
+        with pytest.raises(Exception, match="outside"):
+            df.collect()
+
+
 def test_class_absent_everywhere_keeps_its_row(spark):
     _, report = report_of(spark, [(0, 0), (1, 0)], ["a", "b", "c"])
     assert {r["class_name"]: r["support"] for r in report.collect()} == {"a": 1, "b": 1, "c": 0}

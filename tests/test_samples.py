@@ -9,7 +9,7 @@ from scoreloom.functions.samples import vector_to_array
 from scoreloom.operators import clean, contract
 from scoreloom.plans.prepare import load_samples
 from scoreloom.sources import features, labels
-from scoreloom.sources.scratch import scratch_path
+from scoreloom.sources.scratch import scratch_path, shared_folder
 
 VECTOR_ROWS = T.StructType(
     [
@@ -130,10 +130,35 @@ def test_class_weights_by_literal_and_by_join_agree(spark, monkeypatch):
     df = spark.createDataFrame([(k,) for k in (0, 0, 0, 1)], "label int")
     literal = sorted(tuple(r) for r in contract.with_class_weights(df, 2).collect())
     monkeypatch.setattr(contract, "MAX_LITERAL_CLASSES", 1)
+    broadcast = sorted(tuple(r) for r in contract.with_class_weights(df, 2).collect())
+    monkeypatch.setattr(contract, "MAX_BROADCAST_CLASSES", 1)
     joined = sorted(tuple(r) for r in contract.with_class_weights(df, 2).collect())
-    assert literal == joined == [(0, pytest.approx(2 / 3))] * 3 + [(1, 2.0)]
+    assert literal == broadcast == joined == [(0, pytest.approx(2 / 3))] * 3 + [(1, 2.0)]
+
+
+@pytest.mark.parametrize("bound", [10_000, 1])
+def test_weights_for_unknown_labels_are_an_error(spark, monkeypatch, bound):
+    monkeypatch.setattr(contract, "MAX_LITERAL_CLASSES", bound)
+    df = spark.createDataFrame([(0,), (5,)], "label int")
+    with pytest.raises(Exception, match="outside"):
+        contract.with_class_weights(df, 2).collect()
 
 
 def test_split_shares(spark):
     df = spark.range(-50, 50).select(contract.split_of(F.col("id")).alias("s"))
     assert dict(df.groupBy("s").count().collect()) == {"train": 70, "val": 10, "test": 20}
+
+
+def test_without_a_setting_only_a_local_master_gets_a_folder(spark):
+    class Plain:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master, applicationId = "local[2]", "app-1"
+
+    first = shared_folder(Plain)
+    assert first == shared_folder(Plain) != shared_folder(spark)
+    Plain.sparkContext.master = "yarn"
+    with pytest.raises(RuntimeError):
+        shared_folder(Plain)

@@ -259,6 +259,16 @@ def test_training_learns_and_keeps_the_best(spark):
     assert {r["status"] for r in result.status.collect()} == {"SUCCESS"}
 
 
+def test_training_beats_the_majority_class_of_the_given_table(spark, sf):
+    from scoreloom.registry.datasets import embedding_samples
+
+    df = embedding_samples(spark, sf, numbered=True)
+    wide = config(num_features=64, num_classes=10, hidden_size=32, batch_size=32, epochs=15, learning_rate=0.01)
+    result = train_model(spark, df, df, wide, "r")
+    majority = df.groupBy("label").count().agg(F.max("count")).first()[0] / df.count()
+    assert result.best_val_acc > 2 * majority
+
+
 def test_no_validation_rows_means_no_best_model(spark):
     result = train_model(spark, toy(spark, 50), None, config(epochs=1), "r")
     assert result.best_model is None and result.best_val_acc == 0.0
