@@ -314,9 +314,11 @@ def mean_loss(spark, sf):
 
 
 def weighted_loss(spark, sf):
-    samples = _batched(spark, sf)
-    scored = scoring.score_rows(samples, D.EMBEDDING_MODEL)
-    out = batches.weighted_batch_loss(scored)
+    """Rows are scored where they lie; only their losses and weights move to be batched."""
+    n = _shards(spark, sf, "embeddings", BATCH_SHARDS)
+    df = sharding.assign_shards(D.embedding_samples(spark, sf, weighted=True, numbered=True), n)
+    scored = scoring.score_rows(df, D.EMBEDDING_MODEL).select("shard", "row_id", "loss", "weight")
+    out = batches.weighted_batch_loss(batches.minibatches(scored, BATCH))
     return out.select("shard", "batch_id", _r6(F.col("weighted_loss")).alias("weighted_loss"))
 
 
