@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array as ml_vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -513,7 +513,7 @@ def model_info(spark, sf):
 def scale_features(spark, sf):
     df = D.table(spark, sf, "lineitem")
     scaler = contract.fit_scaler(df, D.LINEITEM_COLUMNS)
-    scaled = df.select("l_orderkey", "l_linenumber", ml_vector_to_array(scaler.as_vector()).alias("z"))
+    scaled = df.select("l_orderkey", "l_linenumber", scaler.as_array().alias("z"))
     return scaled.select("l_orderkey", "l_linenumber", *_spell("z", 4, "z"))
 
 

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# The dictionary lives on the driver; a column with more names is no class label.
+MAX_CLASSES = 2_000_000
 
 
 def fit_label_indexer(df: DataFrame, column: str) -> StringIndexerModel:
-    """Most frequent name first, ties by name."""
-    return StringIndexer(inputCol=column, outputCol="label", stringOrderType="frequencyDesc").fit(df)
+    """Most frequent name first, ties by name; nulls are not names.
+
+    The counts come from a plain aggregation, combined before its shuffle, and
+    only the names return.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    rows = counts.orderBy(F.desc("n"), column).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"column {column!r} has more than {MAX_CLASSES} names")
+    return StringIndexerModel.from_labels([r[column] for r in rows], inputCol=column, outputCol="label")
 
 
 def load_class_names(path: str) -> list[str]:

@@ -114,6 +114,24 @@ def test_dictionary_order_is_frequency_then_name(spark):
     assert labels.load_class_names(path) == ["c", "a", "b", "d"]
 
 
+def test_dictionary_agrees_with_the_library_indexer(spark, sf, monkeypatch):
+    from pyspark.ml.feature import StringIndexer
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    want = StringIndexer(inputCol="event_type", outputCol="label").fit(events).labels
+    assert list(labels.fit_label_indexer(events, "event_type").labels) == list(want)
+    monkeypatch.setattr(labels, "MAX_CLASSES", 2)
+    with pytest.raises(ValueError):
+        labels.fit_label_indexer(events, "event_type")
+
+
+def test_scaled_vectors_equal_scaled_arrays(spark, sf):
+    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    scaler = contract.fit_scaler(df, ["l_quantity", "l_tax"])
+    both = df.select(scaler.as_vector().alias("features"), scaler.as_array().cast("array<float>").alias("a"))
+    assert vector_to_array(both).where("features <> a").count() == 0
+
+
 def test_metadata_failure_is_raised(spark):
     with pytest.raises(Exception):
         labels.load_metadata(spark, scratch_path(spark, "none"), scratch_path(spark, "none"))
