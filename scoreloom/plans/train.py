@@ -27,15 +27,30 @@ SNAPSHOT_EVERY = 10
 
 @dataclasses.dataclass(frozen=True)
 class TrainResult:
+    """``history`` holds the losses and accuracies of every epoch; the training ones are those met
+    while training, weighted and with dropout."""
+
     run_id: str
     history: DataFrame
-    status: DataFrame
+    shards: DataFrame
+    num_shards: int
     best_model: Model | None
     best_epoch: int | None
     best_val_acc: float
     last_model: Model
     seconds: float
 
+    def status(self) -> DataFrame:
+        """A status row per shard; counting the shards is left until somebody asks."""
+        manifest = settle(shard_manifest(self.shards, self.num_shards))
+        trained = manifest.where(F.col("n_rows") > 0).select(
+            "shard",
+            F.col("n_rows").alias("rows_trained"),
+            F.lit(self.seconds).alias("seconds"),
+            F.lit(self.best_val_acc).alias("val_acc"),
+        )
+        return run_status(manifest, trained)
+
 
 def model_shape(config: RunConfig) -> ModelShape:
     return ModelShape(config.num_features, config.num_classes, config.hidden_size, config.dropout)
@@ -93,10 +108,6 @@ def train_model(
     shards = settle(
         repartition_shards(train, n).select("shard", "row_id", "label", "weight", F.col("features"))
     )
-    manifest = settle(shard_manifest(shards, n))
-    if not manifest.where(F.col("n_rows") > 0).take(1):
-        raise ValueError("no training rows")
-
     state = TrainState.start(start or init_model(shape, config.seed))
     rows, best_acc, best_model, best_at = [], 0.0, None, None
     began = time.perf_counter()
@@ -121,17 +132,14 @@ def train_model(
                 write_model(spark, model, model_path, run_id, epoch)
         if history_path and (epoch % SNAPSHOT_EVERY == 0 or epoch == config.epochs):
             write_report(history_report(spark.createDataFrame(rows, HISTORY_SCHEMA)), history_path)
-    seconds = time.perf_counter() - began
-    trained = manifest.where(F.col("n_rows") > 0).select(
-        "shard", F.col("n_rows").alias("rows_trained"), F.lit(seconds).alias("seconds"), F.lit(best_acc).alias("val_acc")
-    )
     return TrainResult(
         run_id,
         spark.createDataFrame(rows, HISTORY_SCHEMA),
-        run_status(manifest, trained),
+        shards,
+        n,
         best_model,
         best_at,
         best_acc,
         state.model(shape),
-        seconds,
+        time.perf_counter() - began,
     )

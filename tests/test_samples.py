@@ -83,7 +83,9 @@ def test_wrong_feature_type_is_an_error(spark):
         features.scan_features(spark, path)
 
 
-def test_row_ids_are_dense_over_many_files(spark):
+@pytest.mark.parametrize("bound", [features.MAX_BROADCAST_FILES, 2])
+def test_row_ids_are_dense_over_many_files(spark, monkeypatch, bound):
+    monkeypatch.setattr(features, "MAX_BROADCAST_FILES", bound)
     path = scratch_path(spark, "many")
     spark.range(1000).repartition(13).write.parquet(path)
     ids = features.read_numbered(spark, path).agg(

@@ -256,7 +256,7 @@ def test_training_learns_and_keeps_the_best(spark):
     saved = models.read_model(spark, path, result.best_model.shape, "run")
     assert (saved.flatten() == result.best_model.flatten()).all()
     assert spark.read.json(seen).first()["epochs"] == 12
-    assert {r["status"] for r in result.status.collect()} == {"SUCCESS"}
+    assert {r["status"] for r in result.status().collect()} == {"SUCCESS"}
 
 
 def test_training_beats_the_majority_class_of_the_given_table(spark, sf):
@@ -276,7 +276,7 @@ def test_no_validation_rows_means_no_best_model(spark):
 
 def test_more_shards_than_rows(spark):
     result = train_model(spark, toy(spark, 5), None, config(epochs=1, num_shards=40), "r")
-    counts = dict(result.status.groupBy("status").count().collect())
+    counts = dict(result.status().groupBy("status").count().collect())
     assert counts["NO_DATA"] >= 35 and sum(counts.values()) == 40
 
 
