@@ -1,31 +1,22 @@
 """Shared folder for checkpoints and intermediate tables.
 
-Always the folder named by ``spark.checkpoint.dir``, which every executor can
-reach. Only a local master, where driver and executors share one disk, may fall
-back to a folder of its own.
+The folder named by ``spark.checkpoint.dir``; without that setting, a folder
+under ``spark.sql.warehouse.dir``. Both are places every executor can reach, and
+the rule is the same for every master.
 """
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-@functools.cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="scoreloom-")
-
-
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_folder(spark.sparkContext.applicationId)
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
