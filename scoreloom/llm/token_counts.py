@@ -56,6 +56,12 @@ class PrefixCounter:
         # A token that its own merges do not give is never the outcome of merges.
         self.tokens = {piece for piece in self.scores if len(piece) == 1 or self._merge(piece) == [piece]}
         self.apart: dict[tuple[str, str], bool] = {}
+        # Lengths of the tokens that end in given three characters, longest first.
+        self.lengths: dict[str, list[int]] = {}
+        for token in sorted(self.tokens, key=len, reverse=True):
+            if len(token) >= 3:
+                self.lengths.setdefault(token[-3:], []).append(len(token))
+        self.lengths = {suffix: list(dict.fromkeys(found)) + [2, 1] for suffix, found in self.lengths.items()}
         self.table: dict[str, bytes] = {}
         self.blanks = [0, 1]
 
@@ -78,26 +84,47 @@ class PrefixCounter:
             found = self.apart[left, right] = self._merge(left + right) == [left, right]
         return found
 
-    def _word(self, word: str) -> tuple[list[int], list[bool]]:
-        """Counts for every prefix of a blank and ``word``, and whether the blank is a token of its own there."""
-        text = BLANK + word
-        counts, last, alone = [0], [_UNKNOWN], [False]
-        for end in range(1, len(text) + 1):
-            if text[end - 1] not in self.scores:
-                counts.append(counts[-1] + len(text[end - 1].encode()))
-                last.append(_UNKNOWN)
-                alone.append(alone[-1])
-                continue
-            for begin in range(max(0, end - self.longest), end):
-                token = text[begin:end]
-                if token in self.tokens and (last[begin] is _UNKNOWN or self._stay_apart(last[begin], token)):
+    def _words(self, words: list[str]):
+        """For each word, in order: counts for every prefix of a blank and the word, and whether the blank is a token of its own there.
+
+        What a word has in common with the beginning of the one before is not gone through again.
+        """
+        done, counts, last, alone = "", [0], [_UNKNOWN], [False]
+        tokens, apart, short = self.tokens, self.apart, [2, 1]
+        for word in words:
+            text = BLANK + word
+            same = 0
+            for a, b in zip(done, text):
+                if a != b:
+                    break
+                same += 1
+            del counts[same + 1 :], last[same + 1 :], alone[same + 1 :]
+            done = text
+            for end in range(same + 1, len(text) + 1):
+                if text[end - 1] not in self.scores:
+                    counts.append(counts[-1] + len(text[end - 1].encode()))
+                    last.append(_UNKNOWN)
+                    alone.append(alone[-1])
+                    continue
+                for length in self.lengths.get(text[end - 3 : end], short) if end >= 3 else short:
+                    begin = end - length
+                    if begin < 0:
+                        continue
+                    token = text[begin:end]
+                    if token not in tokens:
+                        continue
+                    before = last[begin]
+                    if before is not _UNKNOWN:
+                        fits = apart.get((before, token))
+                        if not (self._stay_apart(before, token) if fits is None else fits):
+                            continue
                     counts.append(counts[begin] + 1)
                     last.append(token)
                     alone.append(alone[begin] if begin else token == BLANK)
                     break
-            else:
-                raise ValueError(f"no token ends {text[:end]!r}")
-        return counts, alone
+                else:
+                    raise ValueError(f"no token ends {text[:end]!r}")
+            yield word, counts, alone
 
     def _blank_tokens(self, n: int) -> int:
         """Tokens of a run of ``n`` blanks."""
@@ -105,39 +132,39 @@ class PrefixCounter:
             self.blanks.append(len(self.library.encode(" " * (len(self.blanks) - 1))))
         return self.blanks[n]
 
-    def _changes(self, blanks: int, word: str) -> bytes:
-        counts, alone = self._word(word)
+    def _after_run(self, blanks: int, word: str) -> bytes:
+        """Changes over a run of blanks and a word."""
+        (_, counts, alone), = self._words([word])
         # The last blank is merged with the word first; the others among themselves.
-        before = [self._blank_tokens(n) for n in range(blanks)]
-        run = self._blank_tokens(blanks)
-        total = before + [run if own else before[-1] + n for n, own in zip(counts[1:2], alone[1:2])]
-        total += [run + n - 1 if own else before[-1] + n for n, own in zip(counts[2:], alone[2:])]
-        return np.diff(np.array(total, dtype=np.int64)).astype(np.int8).tobytes()
-
-    def prefixes(self, text: str) -> bytes:
-        """Changes of the count, one signed byte for each character of ``text``."""
-        if not text:
-            return b""
-        spelled = BLANK + text.replace(" ", BLANK)
+        total = [self._blank_tokens(n) for n in range(blanks)]
+        before, run = total[-1], self._blank_tokens(blanks)
+        total += [run] + [run + n - 1 if own else before + n for n, own in zip(counts[2:], alone[2:])]
+        return bytes([(b - a) & 0xFF for a, b in zip(total, total[1:])])
+
+    def prefixes(self, texts: list[str]) -> list[bytes]:
+        """Changes of the count for each text, one signed byte per character."""
         if len(self.table) > TABLE_WORDS:
             self.table = {}
-        if BLANK * 2 in spelled:
-            words = [(len(run), word) for run, word in _RUNS.findall(spelled)]
-            parts = [self._known(word) if n == 1 else self._changes(n, word) for n, word in words]
+        table, split = self.table, []
+        for text in texts:
+            spelled = BLANK + text.replace(" ", BLANK)
+            if BLANK * 2 in spelled:
+                split.append([(len(run), word) for run, word in _RUNS.findall(spelled)])
+            else:
+                split.append(spelled[1:].split(BLANK))
+        new = {w if isinstance(w, str) else w[1] for words in split for w in words}
+        for word, counts, _ in self._words(sorted(w for w in new if w not in table)):
+            # Of one blank and the word.
+            table[word] = bytes([(b - a) & 0xFF for a, b in zip(counts, counts[1:])])
+        return [self._joined(words) if text else b"" for text, words in zip(texts, split)]
+
+    def _joined(self, words: list) -> bytes:
+        if isinstance(words[0], str):
+            changes = b"".join(map(self.table.__getitem__, words))
         else:
-            words = spelled[1:].split(BLANK)
-            parts = list(map(self.table.get, words))
-            if None in parts:
-                parts = [self._known(word) if part is None else part for word, part in zip(words, parts)]
-        changes = b"".join(parts)
+            changes = b"".join([self.table[word] if n == 1 else self._after_run(n, word) for n, word in words])
         # The blank put before every text is no character of it.
-        return bytes([changes[0] + changes[1] & 0xFF]) + changes[2:] if len(changes) > 1 else changes
-
-    def _known(self, word: str) -> bytes:
-        found = self.table.get(word)
-        if found is None:
-            found = self.table[word] = self._changes(1, word)
-        return found
+        return bytes([(changes[0] + changes[1]) & 0xFF]) + changes[2:]
 
 
 def counts_of(changes: bytes) -> np.ndarray:
@@ -173,9 +200,9 @@ def count_tokens(
         if not made:
             made.append(PrefixCounter(shared.value))
         out = {name: [] for name in schema.names}
-        for text in batch.column("text").to_pylist():
-            changes = made[0].prefixes(text or "")
-            out["n_bytes"].append(len((text or "").encode()))
+        texts = [text or "" for text in batch.column("text").to_pylist()]
+        for text, changes in zip(texts, made[0].prefixes(texts)):
+            out["n_bytes"].append(len(text.encode()))
             out["n_tokens"].append(int(np.frombuffer(changes, dtype=np.int8).sum(dtype=np.int64)))
             out["cuts"].append([longest_within(changes, budget) for budget in budgets])
             if keep_prefixes:
