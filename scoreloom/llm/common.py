@@ -77,6 +77,9 @@ def same_id(left, right):
 
 
 def only_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, whose ``key`` is among ``ids[key]``; a null id matches a null id."""
-    wanted = ids.select(F.col(key).alias("_wanted"))
+    """The rows of ``docs``, all columns, whose ``key`` is among ``ids[key]``; a null id matches a null id.
+
+    The join is a sort-merge join at every size, as the number of ids grows with the documents.
+    """
+    wanted = ids.select(F.col(key).alias("_wanted")).hint("merge")
     return docs.join(wanted, same_id(docs[key], wanted["_wanted"]), "left_semi")
