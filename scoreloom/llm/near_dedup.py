@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     texts = stored(only_rows(slim, filled.select(F.col("rep").alias("doc_id")).distinct()), "texts")
     texts = texts.groupBy("doc_id").agg(F.first("text").alias("text"))
     sized = filled.select(F.col("rep"), F.explode(F.array("low", "high")).alias("hub")).where("rep != hub").distinct()
-    named = lambda id_, text: texts.select(F.col("doc_id").alias(id_), F.col("text").alias(text))
+    named = lambda id_, text: texts.select(F.col("doc_id").alias(id_), F.col("text").alias(text)).hint("merge")
     pairs = sized.select(F.col("rep").alias("u"), F.col("hub").alias("v")).join(named("u", "one"), "u").join(named("v", "other"), "v")
     star = stored(pairs.mapInArrow(_verified(shingle, similarity), "u long, v long"), "links")
     # Rows that repeat an id with different texts.
