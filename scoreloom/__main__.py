@@ -16,7 +16,7 @@ from scoreloom.session import build_session  # noqa: E402
 def parse(arguments: list[str] | None = None) -> RunConfig:
     parser = argparse.ArgumentParser(description="Train, score and evaluate a classifier on Spark tables")
     parser.add_argument("--mode", choices=["local", "cluster"], default="local")
-    parser.add_argument("--num_processes", dest="num_shards", type=int, default=1, help="data-parallel shards")
+    parser.add_argument("--num_processes", dest="num_shards", type=int, default=1, help="stored shards")
     for name in ("train_path", "test_path", "label_indexer_path", "output_dir"):
         parser.add_argument(f"--{name}", required=True)
     parser.add_argument("--val_path", help="default: val_df.parquet beside the training table")
@@ -29,7 +29,6 @@ def parse(arguments: list[str] | None = None) -> RunConfig:
         ("seed", int),
     ):
         parser.add_argument(f"--{name}", type=kind, default=getattr(RunConfig, name))
-    parser.add_argument("--sync", choices=["epoch", "step"], default=RunConfig.sync)
     return RunConfig(**vars(parser.parse_args(arguments)))
 
 

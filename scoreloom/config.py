@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 class RunConfig:
     """Inputs, outputs and hyper-parameters of a train / score / evaluate run.
 
-    ``num_shards`` is the number of data-parallel workers. ``num_features``,
+    ``num_shards`` is the number of stored shards; results do not depend on it. ``num_features``,
     ``num_classes`` and ``class_names`` are filled from the data by
     :meth:`with_metadata`.
     """
@@ -29,7 +29,6 @@ class RunConfig:
     hidden_size: int = 64
     dropout: float = 0.2
     seed: int = 0
-    sync: str = "epoch"
     num_features: int | None = None
     num_classes: int | None = None
     class_names: tuple[str, ...] | None = None
@@ -63,7 +62,6 @@ CONFIG_SCHEMA = T.StructType(
         T.StructField("hidden_size", T.IntegerType()),
         T.StructField("dropout", T.DoubleType()),
         T.StructField("seed", T.LongType()),
-        T.StructField("sync", T.StringType()),
         T.StructField("num_features", T.IntegerType()),
         T.StructField("num_classes", T.IntegerType()),
         T.StructField("class_names", T.ArrayType(T.StringType())),

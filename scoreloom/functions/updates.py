@@ -42,29 +42,21 @@ class TrainState:
     def model(self, shape: ModelShape) -> Model:
         return Model.unflatten(shape, self.params)
 
-    def pack(self) -> np.ndarray:
-        return np.concatenate([self.params, self.mean, self.var])
 
-    @staticmethod
-    def unpack(vector: np.ndarray, steps: int) -> "TrainState":
-        params, mean, var = np.split(np.asarray(vector, dtype=np.float64), 3)
-        return TrainState(params, mean, var, int(steps))
-
-
-def dropout_source(key: tuple[int, ...], skip: int = 0) -> np.random.Generator:
-    """Random stream of a shard in an epoch, keyed (seed, epoch, shard), so a retried task repeats it.
+def dropout_mask(rate: float, row_ids: np.ndarray, hidden: int, key: tuple[int, ...]) -> np.ndarray | None:
+    """Zero with probability ``rate``, else ``1 / (1 - rate)``; by a hash of ``key``, row number and unit.
 
-    ``skip`` jumps over the values that earlier batches used.
+    A row's mask is the same in whatever task it is read.
     """
-    bits = np.random.PCG64(np.random.SeedSequence(list(key)))
-    return np.random.Generator(bits.advance(skip) if skip else bits)
-
-
-def dropout_mask(rate: float, rows: int, hidden: int, source: np.random.Generator) -> np.ndarray | None:
-    """Zero with probability ``rate``, else ``1 / (1 - rate)``."""
     if rate <= 0.0:
         return None
-    return (source.random((rows, hidden)) >= rate) * (1.0 / (1.0 - rate))
+    salt = np.random.SeedSequence(list(key)).generate_state(1, dtype=np.uint64)
+    bits = row_ids.astype(np.uint64)[:, None] * np.uint64(hidden) + np.arange(hidden, dtype=np.uint64)
+    # The finishing multipliers of a 64-bit mix.
+    bits = (bits + salt) * np.uint64(0x9E3779B97F4A7C15)
+    bits = (bits ^ (bits >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    bits = (bits ^ (bits >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((bits >> np.uint64(11)) >= int(rate * 2**53)) * (1.0 / (1.0 - rate))
 
 
 def loss_and_gradient(model: Model, x: np.ndarray, label: np.ndarray, scale: np.ndarray, mask=None):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions.samples import sample_label, to_sample
 
@@ -13,6 +14,7 @@ def reject_reason(df: DataFrame) -> Column:
     label, weight = F.col("label"), F.col("weight")
     return (
         F.when(F.col("features").isNull(), "null_features")
+        .when(_has_null(df), "null_element")
         .when(label.isNull(), "null_label")
         .when(sample_label(label).isNull(), "bad_label")
         .when(weight.isNull(), "null_weight")
@@ -20,6 +22,12 @@ def reject_reason(df: DataFrame) -> Column:
     )
 
 
+def _has_null(df: DataFrame) -> Column:
+    """Does an array of features hold a null; vectors cannot."""
+    is_array = isinstance(df.schema["features"].dataType, T.ArrayType)
+    return F.exists("features", lambda x: x.isNull()) if is_array else F.lit(False)
+
+
 def usable(df: DataFrame) -> Column:
     """True where ``reject_reason`` is NULL, as a conjunction whose null checks reach the scan."""
     return (
@@ -28,6 +36,7 @@ def usable(df: DataFrame) -> Column:
         & F.col("weight").isNotNull()
         & sample_label(F.col("label")).isNotNull()
         & F.col("weight").try_cast("double").isNotNull()
+        & ~_has_null(df)
     )
 
 

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many classes the per-class weights travel as one array literal (80 kB).
-MAX_LITERAL_CLASSES = 10_000
-# Up to this many they are broadcast (128 MB at 64 bytes an entry).
-MAX_BROADCAST_CLASSES = 2_000_000
-
+from scoreloom.sources.labels import number_classes, stored_table
 
 @dataclasses.dataclass(frozen=True)
 class Scaler:
@@ -50,40 +45,77 @@ def fit_scaler(df: DataFrame, columns: list[str]) -> Scaler:
     )
 
 
-def index_labels(df: DataFrame, column: str, indexer: StringIndexerModel, output: str = "label") -> DataFrame:
-    """Class id of each name as double; a name outside the dictionary is an error."""
-    out = indexer.copy().setInputCol(column).setOutputCol(output).setHandleInvalid("error")
-    return out.transform(df)
+@dataclasses.dataclass(frozen=True)
+class Contract:
+    """What one aggregation by class gives: the scaler and the dictionary ``(label, class_name, n)``."""
+
+    scaler: Scaler
+    dictionary: DataFrame
+
+
+def fit_contract(df: DataFrame, columns: list[str], label_column: str) -> Contract:
+    """Scaler, dictionary and class counts from one scan.
+
+    Means and sums of squared deviations are taken per class and put together for
+    the scaler; a null name counts for the scaler only.
+    """
+    k = range(len(columns))
+    per_class = stored_table(
+        df.groupBy(F.col(label_column).alias("class_name")).agg(
+            F.count("*").alias("n"),
+            *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)],
+            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+            *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
+        ),
+        "class_statistics",
+    )
+    total = per_class.agg(
+        *[(F.sum(F.col(f"c{i}") * F.col(f"m{i}")) / F.sum(f"c{i}")).alias(f"m{i}") for i in k],
+        *[F.sum(f"c{i}").alias(f"c{i}") for i in k],
+    ).first()
+    spread_ = per_class.agg(
+        *[F.sum(F.col(f"c{i}") * (F.col(f"v{i}") + F.pow(F.col(f"m{i}") - F.lit(total[f"m{i}"]), 2))).alias(f"s{i}") for i in k]
+    ).first()
+    stddev = lambda i: (spread_[f"s{i}"] / (total[f"c{i}"] - 1)) ** 0.5 if (total[f"c{i}"] or 0) > 1 else 0.0
+    scaler = Scaler(tuple(columns), tuple(float(total[f"m{i}"] or 0.0) for i in k), tuple(stddev(i) for i in k))
+    dictionary = stored_table(number_classes(per_class.select("class_name", "n")), "label_dictionary")
+    return Contract(scaler, dictionary)
+
+
+def _unknown(what: str, column: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(column.cast("string"), F.lit("null"))))
+
+
+def index_labels(df: DataFrame, column: str, dictionary: DataFrame, output: str = "label") -> DataFrame:
+    """Class id of each name as double; a name outside the dictionary, or none, is an error."""
+    known = dictionary.select(F.col("class_name").alias("_name"), F.col("label").cast("double").alias("_id"))
+    found = F.coalesce("_id", _unknown("label outside the dictionary", F.col(column)).cast("double"))
+    return df.join(known, F.col(column) == F.col("_name"), "left").withColumn(output, found).drop("_name", "_id")
 
 
 def class_weights(df: DataFrame, num_classes: int) -> DataFrame:
     """``(label, n, weight)`` with weight ``N / (C * n)``; rare classes weigh more."""
-    counts = df.groupBy("label").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # one row per class
-    return counts.select("label", "n", (total / (F.lit(num_classes) * F.col("n"))).alias("weight"))
-
-
-def with_class_weights(df: DataFrame, num_classes: int) -> DataFrame:
-    """Add ``weight`` by class. Rows are shuffled only beyond MAX_BROADCAST_CLASSES, where no
-    class can be assumed small and adaptive execution splits the large ones."""
-    weights = class_weights(df, num_classes).select("label", "weight")
-    if num_classes > MAX_LITERAL_CLASSES:
-        known = weights.where(F.col("label").between(0, num_classes - 1))  # at most num_classes rows
-        if num_classes <= MAX_BROADCAST_CLASSES:
-            known = F.broadcast(known)
-        outside = F.raise_error(F.concat(F.lit(f"label outside 0..{num_classes - 1}: "), F.col("label").cast("string")))
-        return (
-            df.drop("weight")
-            .join(known, "label", "left")
-            .withColumn("weight", F.coalesce("weight", outside.cast("double")))
-        )
-    by_class = [None] * num_classes
-    for row in weights.collect():  # one row per class
-        if not 0 <= row["label"] < num_classes:
-            raise ValueError(f"label {row['label']} outside 0..{num_classes - 1}")
-        by_class[int(row["label"])] = row["weight"]
-    table = F.array(*[F.lit(w).cast("double") for w in by_class])
-    return df.withColumn("weight", F.element_at(table, F.col("label").cast("int") + 1))
+    return weights_of(df.groupBy("label").agg(F.count("*").alias("n")), num_classes)
+
+
+def weights_of(counts: DataFrame, num_classes: int) -> DataFrame:
+    """The same from ``counts(label, n)``, one row per class."""
+    total = counts.agg(F.sum("n").alias("_total"))
+    weight = F.col("_total") / (F.lit(num_classes) * F.col("n"))
+    return counts.join(total, how="cross").select("label", "n", weight.alias("weight"))
+
+
+def with_class_weights(df: DataFrame, num_classes: int, counts: DataFrame | None = None) -> DataFrame:
+    """Add ``weight`` by class, from ``counts(label, n)`` if at hand, else counted here.
+
+    A label outside the dictionary, or none, is an error, at any number of classes.
+    """
+    if counts is None:
+        counts = stored_table(df.groupBy("label").agg(F.count("*").alias("n")), "class_counts")
+    inside = counts.where(F.col("label").between(0, num_classes - 1))
+    known = weights_of(inside, num_classes).select(F.col("label").alias("_label"), F.col("weight").alias("_weight"))
+    found = F.coalesce("_weight", _unknown(f"label outside 0..{num_classes - 1}", F.col("label")).cast("double"))
+    return df.join(known, F.col("label") == F.col("_label"), "left").withColumn("weight", found).drop("_label", "_weight")
 
 
 def split_of(key: Column) -> Column:

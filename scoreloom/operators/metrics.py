@@ -27,7 +27,7 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 def _known(column: str, num_classes: int) -> Column:
     """The class id itself; one outside the dictionary is an error, not a silently lost row."""
-    outside = F.raise_error(F.concat(F.lit(f"{column} outside 0..{num_classes - 1}: "), F.col(column).cast("string")))
+    outside = F.raise_error(F.concat(F.lit(f"{column} outside 0..{num_classes - 1}: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
     return F.when(F.col(column).between(0, num_classes - 1), F.col(column)).otherwise(outside.cast("int")).alias(column)
 
 
@@ -204,10 +204,13 @@ def data_statistics(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def class_distribution(samples: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(class_name, n)`` with 0 for a class of the dictionary without rows."""
+    """``(class_name, n)`` with 0 for a class of the dictionary without rows; a label outside it is an error."""
     counts = samples.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
-    return classes.join(counts, "label", "left").select(
-        "class_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    known = classes.select("class_name", F.col("label").alias("_label"))
+    outside = F.raise_error(F.concat(F.lit("label outside the dictionary: "), F.coalesce(F.col("label").cast("string"), F.lit("null"))))
+    return counts.join(known, F.col("label") == F.col("_label"), "full").select(
+        F.when(F.col("_label").isNull(), outside).otherwise(F.col("class_name")).alias("class_name"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
 
 

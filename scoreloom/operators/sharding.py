@@ -14,8 +14,6 @@ SPREAD_FACTOR = 1_327_217_885
 
 # A shard that one task sorts, writes or reads.
 ROWS_PER_SHARD = 1_000_000
-# A shard that one task trains on, streaming.
-ROWS_PER_TRAINING_SHARD = 10_000_000
 
 
 def shard_count(rows: int, at_least: int, rows_per_shard: int = ROWS_PER_SHARD) -> int:

@@ -1,303 +1,224 @@
-"""Data-parallel training steps as Spark jobs.
+"""Training steps as distributed gradient sums.
 
-Input is a table whose partition k holds shard k (see ``repartition_shards``).
-A task streams its shard in Arrow batches and keeps one mini-batch and the
-weights in memory, so a shard may be far larger than the task.
+A step is one aggregation over the rows of its batch: tasks add up gradients,
+groups of tasks merge them, and the driver applies one update of model size. The
+outcome depends on the rows of a batch and not on how they are split.
+
+Rows are stored once, placed and batched by row number, sorted by batch within
+files, so that a step reads the files and row groups of its batch only.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import forward, updates
 from scoreloom.functions.updates import TrainState
 from scoreloom.model import Model, ModelShape, WEIGHT_NAMES
-from scoreloom.operators.batches import batch_order
+from scoreloom.operators.sharding import ROWS_PER_SHARD, spread
+from scoreloom.sources.shards import read_shard, write_shards
 
-# Vectors the driver, or one combining task, averages at a time.
+# Groups of tasks whose vectors are merged before they are exploded or collected.
 FAN_IN = 32
-PART_SCHEMA = "shard int, share double, n bigint, steps bigint, loss_sum double, correct bigint, vector array<double>"
-PART_NAMES = ["shard", "share", "n", "steps", "loss_sum", "correct", "vector"]
+# Rows of the stored table that differ by the seed are apart by this many.
+SEED_STRIDE = 7919
+PART_SCHEMA = (
+    "task int, n bigint, loss_sum double, correct bigint, vector array<double>, "
+    "shards array<int>, shard_rows array<bigint>, shard_seconds array<double>"
+)
 
 
 @dataclasses.dataclass
-class ShardPart:
-    """What a shard, or several combined, reports: averaged by ``share``, counts summed."""
+class GradientSums:
+    """Sums over rows: count, weighted loss, hits, gradient of the weighted loss; rows and seconds by shard."""
 
-    shard: int
-    share: float
     n: int
-    steps: int
     loss_sum: float
     correct: int
-    vector: np.ndarray
-
-    def merged(self, other: "ShardPart") -> "ShardPart":
-        share = self.share + other.share
-        return ShardPart(
-            min(self.shard, other.shard),
-            share,
-            self.n + other.n,
-            max(self.steps, other.steps),
-            self.loss_sum + other.loss_sum,
-            self.correct + other.correct,
-            self.vector * (self.share / share) + other.vector * (other.share / share),
-        )
-
-    def as_batch(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([self.shard], pa.int32()),
-                pa.array([self.share], pa.float64()),
-                pa.array([self.n], pa.int64()),
-                pa.array([self.steps], pa.int64()),
-                pa.array([self.loss_sum], pa.float64()),
-                pa.array([self.correct], pa.int64()),
-                forward.list_column(self.vector[None, :]),
-            ],
-            names=PART_NAMES,
-        )
-
-
-class ShardTrainer:
-    """Mini-batch updates over the rows of one shard, fed in any chunking."""
-
-    def __init__(self, shard: int, state: TrainState, shape: ModelShape, batch_size: int, rate: float, key: tuple):
-        self.shard, self.shape, self.batch_size, self.rate = shard, shape, batch_size, rate
-        self.state = state.copy()
-        self.model = self.state.model(shape)  # views: updates in place show through
-        self.source = updates.dropout_source((*key, shard))
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held_rows = self.rows = self.correct = 0
-        self.loss_sum = 0.0
-
-    def feed(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        self.held.append((x, y, w))
-        self.held_rows += len(y)
-        if self.held_rows < self.batch_size:
-            return
-        x, y, w = (np.concatenate(parts) for parts in zip(*self.held))
-        full = len(y) - len(y) % self.batch_size
-        for at in range(0, full, self.batch_size):
-            self._update(*(a[at : at + self.batch_size] for a in (x, y, w)))
-        self.held = [(x[full:], y[full:], w[full:])]
-        self.held_rows = len(y) - full
-
-    def _update(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        mask = updates.dropout_mask(self.shape.dropout, len(y), self.shape.hidden_size, self.source)
-        losses, guess, gradient = updates.loss_and_gradient(self.model, x, y, w / len(y), mask)
-        updates.adamw_step(self.state, gradient, self.rate)
-        self.rows += len(y)
-        self.loss_sum += float((losses * w).sum())
-        self.correct += int((guess == y).sum())
-
-    def finish(self) -> ShardPart:
-        if self.held_rows:
-            self._update(*(np.concatenate(parts) for parts in zip(*self.held)))
-        return ShardPart(
-            self.shard, float(self.rows), self.rows, self.state.steps, self.loss_sum, self.correct, self.state.pack()
-        )
-
-
-def shard_runs(batches, shape: ModelShape):
-    """``(shard, x, label, weight)`` for each run of equal shards in each Arrow batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shards = batch.column(0).to_numpy(zero_copy_only=False)
-        y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        forward.check_labels(y, shape.num_classes)
-        w = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-        for start, x in forward.feature_chunks(batch.column(3), shape.num_features):
-            part = shards[start : start + len(x)]
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            for a, b in zip(cuts, cuts[1:]):
-                yield int(part[a]), x[a:b], y[start + a : start + b], w[start + a : start + b]
-
-
-def combine_parts(parts: DataFrame, num_shards: int) -> ShardPart | None:
-    """Average shard vectors in rounds of ``FAN_IN``; the driver sees at most that many."""
-    width = num_shards
-    while width > FAN_IN:
-        width = -(-width // FAN_IN)
-
-        def merge(batches):
-            total = None
-            for part in _parts_of(batches):
-                total = part if total is None else total.merged(part)
-            if total is not None:
-                yield total.as_batch()
-
-        parts = (
-            parts.withColumn("_slot", F.pmod("shard", F.lit(width)))
-            .repartitionById(width, "_slot")
-            .sortWithinPartitions("shard")
-            .select(*PART_NAMES)
-            .mapInArrow(merge, PART_SCHEMA)
-        )
-    total = None
-    for row in sorted(parts.collect(), key=lambda r: r["shard"]):  # at most FAN_IN rows
-        part = ShardPart(**{**row.asDict(), "vector": np.asarray(row["vector"], dtype=np.float64)})
-        total = part if total is None else total.merged(part)
-    return total
-
-
-def _parts_of(batches):
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(len(PART_NAMES) - 1)]
-        for i, fields in enumerate(zip(*columns)):
-            yield ShardPart(*fields, batch.column(len(PART_NAMES) - 1)[i].values.to_numpy())
-
-
-def epoch_parts(
-    shards: DataFrame, state: TrainState, shape: ModelShape, batch_size: int, learning_rate: float, epoch: int, seed: int
-) -> DataFrame:
-    """One pass over every shard; one row per shard with its weights after the pass.
-
-    The epoch's order is a sort inside each partition (it spills), so no rows
-    cross the network after the shards were placed. One shard per partition
-    means the sort needs no second column.
-    """
-
-    def train(batches):
-        worker = None
-        for shard, x, y, w in shard_runs(batches, shape):
-            if worker is None:
-                worker = ShardTrainer(shard, state, shape, batch_size, learning_rate, (seed, epoch))
-            if worker.shard != shard:
-                raise ValueError("a partition holds several shards: place rows with repartition_shards")
-            worker.feed(x, y, w)
-        if worker is not None:
-            yield worker.finish().as_batch()
-
-    return (
-        shards.withColumn("_order", batch_order(epoch, seed))
-        .sortWithinPartitions("_order")
-        .select("shard", "label", "weight", "features")
-        .mapInArrow(train, PART_SCHEMA)
-    )
-
-
-def train_epoch(
-    shards: DataFrame,
-    num_shards: int,
-    state: TrainState,
-    shape: ModelShape,
-    batch_size: int,
-    learning_rate: float,
-    epoch: int,
-    seed: int = 0,
-) -> tuple[TrainState, ShardPart]:
-    """Local updates per shard, then parameters and moments averaged by rows: one job."""
-    total = combine_parts(epoch_parts(shards, state, shape, batch_size, learning_rate, epoch, seed), num_shards)
-    if total is None:
-        raise ValueError("no training rows")
-    return TrainState.unpack(total.vector, total.steps), total
-
-
-def step_parts(
-    batch: DataFrame, state: TrainState, shape: ModelShape, batch_size: int, epoch: int, seed: int, step: int
-) -> DataFrame:
-    """Gradient of the mean weighted loss of each shard's rows in one global batch."""
-
-    def gradient(batches):
-        held: dict[int, list] = {}
-        for shard, x, y, w in shard_runs(batches, shape):
-            held.setdefault(shard, []).append((x, y, w))
-        for shard, runs in held.items():  # one mini-batch
-            x, y, w = (np.concatenate(parts) for parts in zip(*runs))
-            used = step * batch_size * shape.hidden_size
-            source = updates.dropout_source((seed, epoch, shard), used)
-            mask = updates.dropout_mask(shape.dropout, len(y), shape.hidden_size, source)
-            losses, guess, flat = updates.loss_and_gradient(state.model(shape), x, y, w / len(y), mask)
-            yield ShardPart(
-                shard, 1.0, len(y), state.steps, float((losses * w).sum()), int((guess == y).sum()), flat
-            ).as_batch()
-
-    return (
-        batch.sortWithinPartitions("shard", "_order")
-        .select("shard", "label", "weight", "features")
-        .mapInArrow(gradient, PART_SCHEMA)
-    )
-
-
-def train_step(
-    batch: DataFrame,
-    num_shards: int,
-    state: TrainState,
-    shape: ModelShape,
-    batch_size: int,
-    learning_rate: float,
-    epoch: int,
-    step: int,
-    seed: int = 0,
-) -> tuple[TrainState, ShardPart]:
-    """One update from the mean gradient over shards, as an all-reduce would give: one job per batch."""
-    total = combine_parts(step_parts(batch, state, shape, batch_size, epoch, seed, step), num_shards)
-    if total is None:
-        raise ValueError(f"no rows in batch {step}")
-    after = state.copy()
-    updates.adamw_step(after, total.vector, learning_rate)
-    return after, total
+    vector: np.ndarray | None
+    shard_rows: Counter = dataclasses.field(default_factory=Counter)
+    shard_seconds: Counter = dataclasses.field(default_factory=Counter)
+
+    def add(self, other: "GradientSums") -> "GradientSums":
+        self.n += other.n
+        self.loss_sum += other.loss_sum
+        self.correct += other.correct
+        if other.vector is not None:
+            self.vector = other.vector if self.vector is None else self.vector + other.vector
+        self.shard_rows.update(other.shard_rows)
+        self.shard_seconds.update(other.shard_seconds)
+        return self
+
+    def as_batch(self, task: int) -> pa.RecordBatch:
+        shards = sorted(self.shard_rows)
+        columns = [
+            pa.array([task], pa.int32()),
+            pa.array([self.n], pa.int64()),
+            pa.array([self.loss_sum], pa.float64()),
+            pa.array([self.correct], pa.int64()),
+            forward.list_column(self.vector[None, :]),
+            pa.array([shards], pa.list_(pa.int32())),
+            pa.array([[self.shard_rows[s] for s in shards]], pa.list_(pa.int64())),
+            pa.array([[self.shard_seconds[s] for s in shards]], pa.list_(pa.float64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["task", "n", "loss_sum", "correct", "vector", "shards", "shard_rows", "shard_seconds"])
+
+    @staticmethod
+    def of(batches) -> "GradientSums":
+        total = GradientSums(0, 0.0, 0, None)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pick = lambda name: batch.column(name)[i].as_py()
+                vector = batch.column("vector")[i].values.to_numpy()
+                rows, seconds = (Counter(dict(zip(pick("shards"), pick(c)))) for c in ("shard_rows", "shard_seconds"))
+                total.add(GradientSums(pick("n"), pick("loss_sum"), pick("correct"), vector, rows, seconds))
+        return total
 
 
-def batch_gradient(samples: DataFrame, model: Model) -> DataFrame:
-    """``(name, row, col, value)``: gradient of the mean weighted loss over all given rows.
+def gradient_parts(samples: DataFrame, model: Model, dropout_key: tuple[int, ...] | None = None) -> DataFrame:
+    """At most ``FAN_IN`` rows of ``PART_SCHEMA`` with gradient sums over ``samples(label, weight, features[, row_id, shard])``.
 
-    Each task adds up one vector for its rows; components are then summed by
-    Spark, so nothing larger than the model meets in one place.
+    With a ``dropout_key`` hidden units are dropped by a hash of key and ``row_id``.
     """
     shape = model.shape
+    optional = [c if c in samples.columns else F.lit(0).alias(c) for c in ("row_id", "shard")]
 
-    def partial(batches):
-        total, n = None, 0
+    def sums(batches):
+        from pyspark import TaskContext
+
+        total = GradientSums(0, 0.0, 0, None)
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            began = time.perf_counter()
             y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             forward.check_labels(y, shape.num_classes)
             w = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            ids = batch.column(3).to_numpy(zero_copy_only=False)
             for start, x in forward.feature_chunks(batch.column(2), shape.num_features):
                 rows = slice(start, start + len(x))
-                flat = updates.loss_and_gradient(model, x, y[rows], w[rows])[2]
-                total = flat if total is None else total + flat
-            n += len(y)
-        if total is not None:
-            # The row count travels as one more component of the vector.
-            yield pa.RecordBatch.from_arrays([forward.list_column(np.append(total, float(n))[None, :])], names=["parts"])
-
-    parts = samples.select("label", "weight", "features").mapInArrow(partial, "parts array<double>")
-    sums = parts.select(F.posexplode("parts").alias("pos", "value")).groupBy("pos").agg(F.sum("value").alias("value"))
-    return _name_components(sums, shape)
-
-
-def _name_components(sums: DataFrame, shape: ModelShape) -> DataFrame:
-    size = shape.num_parameters()
-    blocks, start = [], 0
-    for name in WEIGHT_NAMES:
-        rows, cols = shape.matrix_shapes()[name]
-        blocks.append((name, start, start + rows * cols, cols))
-        start += rows * cols
-    name = F.lit(None).cast("string")
-    first, width = F.lit(0), F.lit(1)
-    for block, low, high, cols in blocks:
-        inside = (F.col("pos") >= low) & (F.col("pos") < high)
+                mask = None
+                if dropout_key is not None:
+                    mask = updates.dropout_mask(shape.dropout, ids[rows], shape.hidden_size, dropout_key)
+                losses, guess, flat = updates.loss_and_gradient(model, x, y[rows], w[rows], mask)
+                total.add(GradientSums(len(x), float((losses * w[rows]).sum()), int((guess == y[rows]).sum()), flat))
+            shards, counts = np.unique(batch.column(4).to_numpy(zero_copy_only=False), return_counts=True)
+            total.shard_rows.update(dict(zip(shards.tolist(), counts.tolist())))
+            seconds = time.perf_counter() - began
+            total.shard_seconds.update({s: seconds * c / len(y) for s, c in zip(shards.tolist(), counts.tolist())})
+        if total.vector is not None:
+            yield total.as_batch(TaskContext.get().partitionId())
+
+    def merge(batches):
+        total = GradientSums.of(batches)
+        if total.vector is not None:
+            yield total.as_batch(0)
+
+    return (
+        samples.select("label", "weight", "features", *optional)
+        .mapInArrow(sums, PART_SCHEMA)
+        .withColumn("_slot", F.pmod("task", F.lit(FAN_IN)))
+        .repartitionById(FAN_IN, "_slot")
+        .sortWithinPartitions("task")
+        .drop("_slot")
+        .mapInArrow(merge, PART_SCHEMA)
+    )
+
+
+def gradient_sums(samples: DataFrame, model: Model, dropout_key: tuple[int, ...] | None = None) -> GradientSums:
+    """Sums over all rows, on the driver: one job, at most ``FAN_IN`` vectors of model size."""
+    return GradientSums.of(gradient_parts(samples, model, dropout_key).toArrow().to_batches())
+
+
+def batch_gradient(samples: DataFrame, model: Model) -> DataFrame:
+    """``(name, row, col, value)``: gradient of the mean weighted loss over all given rows."""
+    parts = gradient_parts(samples, model)
+    # Every part has every component, so the row counts add up along with each.
+    values = parts.select("n", F.posexplode("vector").alias("pos", "value")).groupBy("pos")
+    sums = values.agg((F.sum("value") / F.sum("n")).alias("value"))
+    return name_components(sums, model.shape)
+
+
+def name_components(values: DataFrame, shape: ModelShape) -> DataFrame:
+    """``(name, row, col, value)`` from ``(pos, value)`` in storage order."""
+    name, first, width, start = F.lit(None).cast("string"), F.lit(0), F.lit(1), 0
+    for block in WEIGHT_NAMES:
+        rows, cols = shape.matrix_shapes()[block]
+        inside = (F.col("pos") >= start) & (F.col("pos") < start + rows * cols)
         name = F.when(inside, F.lit(block)).otherwise(name)
-        first = F.when(inside, F.lit(low)).otherwise(first)
+        first = F.when(inside, F.lit(start)).otherwise(first)
         width = F.when(inside, F.lit(cols)).otherwise(width)
-    from pyspark.sql import Window
-
-    # One row per weight; the count sits behind the last weight.
-    count = F.max(F.when(F.col("pos") == size, F.col("value"))).over(Window.partitionBy())
-    placed = sums.withColumns({"_n": count, "name": name, "_at": F.col("pos") - first, "_width": width})
-    return placed.where(F.col("pos") < size).select(
+        start += rows * cols
+    placed = values.withColumns({"name": name, "_at": F.col("pos") - first, "_width": width})
+    return placed.select(
         "name",
         F.floor(F.col("_at") / F.col("_width")).cast("int").alias("row"),
         (F.col("_at") % F.col("_width")).cast("int").alias("col"),
-        (F.col("value") / F.col("_n")).alias("value"),
+        "value",
     )
+
+
+@dataclasses.dataclass(frozen=True)
+class StoredBatches:
+    """Training rows on disk: ``num_shards`` shards, and ``num_batches`` batches over all of them."""
+
+    spark: SparkSession
+    path: str
+    num_shards: int
+    num_batches: int
+
+    def rows(self) -> DataFrame:
+        return read_shard(self.spark, self.path)
+
+    def batch(self, k: int) -> DataFrame:
+        """Rows of one batch. Shard and batch rise together, so the shards it can lie in are known."""
+        low = k * self.num_shards // self.num_batches
+        high = (k + 1) * self.num_shards // self.num_batches
+        return self.rows().where(F.col("shard").between(low, high) & (F.col("batch") == k))
+
+
+def store_batches(
+    samples: DataFrame, path: str, num_shards: int, batch_size: int | None = None, num_batches: int | None = None, seed: int = 0
+) -> StoredBatches:
+    """Store ``samples(row_id, features, label, weight)`` for training.
+
+    Either the size of a batch or the number of batches is given. Batches are even
+    slices of the spread row numbers; how many tasks write a shard follows from the rows.
+    """
+    rows = samples.count()
+    if not rows:
+        raise ValueError("no training rows")
+    count = num_batches or -(-rows // batch_size)
+    number = F.col("row_id") + F.lit(seed * SEED_STRIDE)
+    placed = samples.select(
+        "row_id", "features", "label", "weight",
+        spread(number, num_shards).alias("shard"), spread(number, count).alias("batch"), number.alias("_number"),
+    )
+    tasks = -(-rows // (num_shards * ROWS_PER_SHARD))
+    write_shards(placed, path, num_shards, tasks, number="_number", order="batch")
+    return StoredBatches(samples.sparkSession, path, num_shards, count)
+
+
+def batch_sequence(num_batches: int, epoch: int, seed: int) -> list[int]:
+    """The order in which an epoch visits its batches."""
+    return np.random.default_rng([seed, epoch]).permutation(num_batches).tolist()
+
+
+def train_epoch(
+    batches: StoredBatches, state: TrainState, shape: ModelShape, learning_rate: float, epoch: int, seed: int = 0
+) -> tuple[TrainState, GradientSums]:
+    """One update per batch, from the gradient of its mean weighted loss; one job each."""
+    state, totals = state.copy(), GradientSums(0, 0.0, 0, None)
+    for step in batch_sequence(batches.num_batches, epoch, seed):
+        key = (seed, epoch, step) if shape.dropout > 0 else None
+        found = gradient_sums(batches.batch(step), state.model(shape), key)
+        if not found.n:
+            continue  # more batches than rows
+        updates.adamw_step(state, found.vector / found.n, learning_rate)
+        totals.add(dataclasses.replace(found, vector=None))
+    return state, totals

@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.operators.clean import drop_malformed
-from scoreloom.operators.sharding import assign_shards, shard_manifest
+from scoreloom.operators.sharding import ROWS_PER_SHARD, assign_shards, shard_manifest
 from scoreloom.sources.features import scan_features
 from scoreloom.sources.shards import read_shard, write_shards
 
@@ -26,10 +26,14 @@ class PreparedShards:
 
 
 def prepare_shards(
-    spark: SparkSession, data_path: str, num_shards: int, output_path: str, tasks_per_shard: int = 1, **columns
+    spark: SparkSession, data_path: str, num_shards: int, output_path: str, tasks_per_shard: int | None = None, **columns
 ) -> PreparedShards:
-    """Write the table as ``num_shards`` even shards; the manifest is counted from the stored files."""
+    """Write the table as ``num_shards`` even shards; the manifest is counted from the stored files.
+
+    How many tasks write a shard follows from the rows unless given.
+    """
     samples = assign_shards(load_samples(spark, data_path, **columns), num_shards)
-    write_shards(samples, output_path, num_shards, tasks_per_shard)
+    tasks = tasks_per_shard or max(1, -(-spark.read.parquet(data_path).count() // (num_shards * ROWS_PER_SHARD)))
+    write_shards(samples, output_path, num_shards, tasks)
     stored = read_shard(spark, output_path)
     return PreparedShards(output_path, num_shards, stored, shard_manifest(stored, num_shards, output_path))

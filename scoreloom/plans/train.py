@@ -1,26 +1,26 @@
-"""The training loop: one Spark job per epoch for the update, one for validation."""
+"""The training loop: one Spark job per step for the gradient, one per epoch for validation."""
 
 from __future__ import annotations
 
 import dataclasses
 import time
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scoreloom.config import RunConfig
 from scoreloom.functions.scoring import tally_scores
 from scoreloom.functions.updates import TrainState
 from scoreloom.model import Model, ModelShape, init_model
 from scoreloom.operators import metrics
-from scoreloom.operators.batches import batch_order, minibatches
 from scoreloom.operators.history import HISTORY_SCHEMA, history_report
-from scoreloom.operators.sharding import repartition_shards, shard_manifest
+from scoreloom.operators.sharding import shard_manifest
 from scoreloom.operators.status import run_status
-from scoreloom.operators.training import ShardPart, train_epoch, train_step
+from scoreloom.operators.training import StoredBatches, store_batches, train_epoch
 from scoreloom.plans.settle import settle
 from scoreloom.sources.models import write_model
 from scoreloom.sources.outputs import write_report
+from scoreloom.sources.scratch import scratch_path
 
 SNAPSHOT_EVERY = 10
 
@@ -32,8 +32,9 @@ class TrainResult:
 
     run_id: str
     history: DataFrame
-    shards: DataFrame
-    num_shards: int
+    batches: StoredBatches
+    shard_rows: Counter
+    shard_seconds: Counter
     best_model: Model | None
     best_epoch: int | None
     best_val_acc: float
@@ -41,14 +42,11 @@ class TrainResult:
     seconds: float
 
     def status(self) -> DataFrame:
-        """A status row per shard; counting the shards is left until somebody asks."""
-        manifest = settle(shard_manifest(self.shards, self.num_shards))
-        trained = manifest.where(F.col("n_rows") > 0).select(
-            "shard",
-            F.col("n_rows").alias("rows_trained"),
-            F.lit(self.seconds).alias("seconds"),
-            F.lit(self.best_val_acc).alias("val_acc"),
-        )
+        """A status row per shard: the stored rows against those that the last epoch has trained on."""
+        spark = self.batches.spark
+        manifest = settle(shard_manifest(self.batches.rows(), self.batches.num_shards))
+        rows = [(s, n, self.shard_seconds[s], self.best_val_acc) for s, n in self.shard_rows.items()]
+        trained = spark.createDataFrame(rows, "shard int, rows_trained bigint, seconds double, val_acc double")
         return run_status(manifest, trained)
 
 
@@ -64,28 +62,6 @@ def validate(val: DataFrame | None, model: Model) -> tuple[float, float]:
     return row["loss"], row["accuracy"]
 
 
-def _epoch_by_steps(shards: DataFrame, config: RunConfig, state: TrainState, epoch: int) -> tuple[TrainState, ShardPart]:
-    """Every global batch as its own job: the update rule of a synchronous all-reduce.
-
-    For exactness at small size; each step reads the epoch's batches again.
-    """
-    batched = minibatches(shards, config.batch_size, shuffle=(epoch, config.seed))
-    batched = settle(batched.withColumn("_order", batch_order(epoch, config.seed)))
-    last = batched.agg(F.max("batch_id")).first()[0]
-    if last is None:
-        raise ValueError("no training rows")
-    shape, total = model_shape(config), None
-    for step in range(last + 1):
-        state, part = train_step(
-            batched.where(F.col("batch_id") == step),
-            config.num_shards, state, shape, config.batch_size, config.learning_rate, epoch, step, config.seed,
-        )
-        total = part if total is None else dataclasses.replace(
-            total, n=total.n + part.n, loss_sum=total.loss_sum + part.loss_sum, correct=total.correct + part.correct
-        )
-    return state, total
-
-
 def train_model(
     spark: SparkSession,
     train: DataFrame,
@@ -98,27 +74,17 @@ def train_model(
 ) -> TrainResult:
     """Train from ``start`` (seeded random weights by default), keeping the best epoch on ``val``.
 
-    ``train`` holds ``(row_id, features, label, weight)``. Its rows are moved to
-    their shards once and kept in the shared checkpoint folder; each epoch then
-    reads them in place.
+    ``train`` holds ``(row_id, features, label, weight)``. Its rows are stored once
+    as shards, sorted by batch; every step reads its batch.
     """
-    if config.sync not in ("epoch", "step"):
-        raise ValueError(f"sync must be 'epoch' or 'step', not {config.sync!r}")
-    shape, n = model_shape(config), config.num_shards
-    shards = settle(
-        repartition_shards(train, n).select("shard", "row_id", "label", "weight", F.col("features"))
-    )
+    shape = model_shape(config)
+    batches = store_batches(train, scratch_path(spark, "training"), config.num_shards, config.batch_size, seed=config.seed)
     state = TrainState.start(start or init_model(shape, config.seed))
     rows, best_acc, best_model, best_at = [], 0.0, None, None
     began = time.perf_counter()
     for epoch in range(1, config.epochs + 1):
         t0 = time.perf_counter()
-        if config.sync == "epoch":
-            state, part = train_epoch(
-                shards, n, state, shape, config.batch_size, config.learning_rate, epoch, config.seed
-            )
-        else:
-            state, part = _epoch_by_steps(shards, config, state, epoch)
+        state, part = train_epoch(batches, state, shape, config.learning_rate, epoch, config.seed)
         t1 = time.perf_counter()
         model = state.model(shape)
         val_loss, val_acc = validate(val, model)
@@ -135,8 +101,9 @@ def train_model(
     return TrainResult(
         run_id,
         spark.createDataFrame(rows, HISTORY_SCHEMA),
-        shards,
-        n,
+        batches,
+        part.shard_rows,
+        part.shard_seconds,
         best_model,
         best_at,
         best_acc,

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.samples import to_sample
 from scoreloom.model import ModelShape
-from scoreloom.operators.contract import fit_scaler, index_labels, with_class_weights
+from scoreloom.operators.contract import fit_contract, index_labels, with_class_weights
 from scoreloom.plans.prepare import load_samples
 from scoreloom.registry.patterns import pattern_model
 from scoreloom.sources.features import read_numbered
-from scoreloom.sources.labels import fit_label_indexer
+from scoreloom.sources.labels import class_names
 
 EMBEDDING_SHAPE = ModelShape(num_features=64, num_classes=10, hidden_size=4)
 EMBEDDING_MODEL = pattern_model(EMBEDDING_SHAPE)
@@ -40,10 +40,9 @@ def embedding_samples(spark: SparkSession, sf: str, weighted: bool = False, numb
 def lineitem_contract(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """``(scaled_features vector, label double)`` and the class names."""
     df = table(spark, sf, "lineitem")
-    scaler = fit_scaler(df, LINEITEM_COLUMNS)
-    indexer = fit_label_indexer(df, "l_returnflag")
-    labelled = index_labels(df, "l_returnflag", indexer)
-    return labelled.select(scaler.as_vector().alias("scaled_features"), "label"), list(indexer.labels)
+    fitted = fit_contract(df, LINEITEM_COLUMNS, "l_returnflag")
+    labelled = index_labels(df, "l_returnflag", fitted.dictionary)
+    return labelled.select(fitted.scaler.as_vector().alias("scaled_features"), "label"), class_names(fitted.dictionary)
 
 
 def lineitem_samples(
@@ -51,14 +50,13 @@ def lineitem_samples(
 ) -> tuple[DataFrame, list[str]]:
     """``([row_id,] features array<float>, label int, weight double)`` without going through vectors."""
     df = read_numbered(spark, f"{sf}/lineitem.parquet") if numbered else table(spark, sf, "lineitem")
-    scaler = fit_scaler(df, LINEITEM_COLUMNS)
-    indexer = fit_label_indexer(df, "l_returnflag")
-    labelled = index_labels(df, "l_returnflag", indexer)
+    fitted = fit_contract(df, LINEITEM_COLUMNS, "l_returnflag")
+    labelled = index_labels(df, "l_returnflag", fitted.dictionary)
     samples = to_sample(
-        labelled.select(*(["row_id"] if numbered else []), scaler.as_array().alias("features"), "label", F.lit(1.0).alias("weight"))
+        labelled.select(*(["row_id"] if numbered else []), fitted.scaler.as_array().alias("features"), "label", F.lit(1.0).alias("weight"))
     )
-    names = list(indexer.labels)
-    return (with_class_weights(samples, len(names)) if weighted else samples), names
+    names = class_names(fitted.dictionary)
+    return (with_class_weights(samples, len(names), fitted.dictionary.select("label", "n")) if weighted else samples), names
 
 
 def flag_history(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from scoreloom.registry import datasets as D
 from scoreloom.registry.patterns import pattern_model
-from scoreloom.registry.spark_queries import BATCH, BATCH_SHARDS, EPOCH_BATCH, EPOCH_SHARDS, MANY_SHARDS, SHARDS
-from scoreloom.operators.sharding import ROWS_PER_SHARD, ROWS_PER_TRAINING_SHARD
+from scoreloom.functions import updates
+from scoreloom.model import WEIGHT_NAMES
+from scoreloom.operators.sharding import ROWS_PER_SHARD
+from scoreloom.operators.training import batch_sequence
+from scoreloom.registry.spark_queries import BATCH, BATCH_SHARDS, EPOCH_STEPS, EPOCHS, MANY_SHARDS, RATE, SHARDS
 
 
 def _count(table: str, at_least: int, rows_per_shard: int = ROWS_PER_SHARD) -> str:
@@ -174,6 +177,110 @@ every AS (
 SELECT name, row, col, round(value, 7) AS value FROM every"""
 
 
+def _model_columns(params: str) -> str:
+    """The matrices that reach the output, as lists of rows, from a table ``(name, row, col, param)``."""
+
+    def rows(name: str, low: str = "0", high: str = "1000000000") -> str:
+        return f"""(SELECT list(r ORDER BY row) FROM (SELECT row, list(param ORDER BY col) AS r FROM {params}
+      WHERE name = '{name}' AND row >= {low} AND row < {high} GROUP BY row))"""
+
+    h = f"(SELECT count(DISTINCT row) FROM {params} WHERE name = 'input_projection')"
+    return f"""{rows('input_projection')} AS w_p, {rows('gru_input', h, f'2 * {h}')} AS w_z,
+  {rows('gru_input', f'2 * {h}')} AS w_n, {rows('classifier')} AS w_c"""
+
+
+def _forward(name: str, source: str, params: str) -> str:
+    """CTEs that score ``source(x, label, ...)`` with the weights in ``params``, ending in ``name``."""
+    layer = lambda w, v: f"list_transform({w}, lambda r: list_dot_product(r, {v}))"
+    return f"""
+{name}_w AS MATERIALIZED (SELECT {_model_columns(params)}),
+{name}_p AS (SELECT s.*, w.*, {layer('w_p', 'x')} AS proj FROM {source} s, {name}_w w),
+{name}_g AS (SELECT *, list_transform({layer('w_z', 'proj')}, lambda a: 1 - 1 / (1 + exp(-a))) AS keep,
+    list_transform({layer('w_n', 'proj')}, lambda a: tanh(a)) AS cand FROM {name}_p),
+{name}_h AS (SELECT *, list_transform(list_zip(keep, cand), lambda z: z[1] * z[2]) AS hid FROM {name}_g),
+{name}_l AS (SELECT *, {layer('w_c', 'hid')} AS logits FROM {name}_h),
+{name}_e AS (SELECT *, list_max(logits) AS top, list_sum(list_transform(logits, lambda v: exp(v - list_max(logits)))) AS total FROM {name}_l),
+{name} AS MATERIALIZED (SELECT *, list_position(logits, top) - 1 AS pred, ln(total) + top - logits[label + 1] AS loss,
+    list_transform(logits, lambda v: exp(v - top) / total) AS p FROM {name}_e)"""
+
+
+def _step(k: int, source: str, shape, rate: float) -> str:
+    """CTEs from ``state{k - 1}`` to ``state{k}``: scores of ``source``, their gradient, clipping and update."""
+    f, h, c = shape.num_features, shape.hidden_size, shape.num_classes
+    name, before = f"step{k}", f"state{k - 1}"
+
+    def outer(block: str, left: str, right: str, rows: int, cols: int, first: int = 0) -> str:
+        return f"""SELECT '{block}' AS name, i + {first} AS row, j AS col, sum({left}[i + 1] * {right}[j + 1]) / count(*) AS g
+    FROM {name}_c, range({rows}) a(i), range({cols}) b(j) GROUP BY ALL"""
+
+    b1, b2, eps = updates.BETA1, updates.BETA2, updates.EPSILON
+    back = lambda w, d: f"list_transform(range(1, {h} + 1), lambda i: list_dot_product(list_transform({w}, lambda r: r[i]), {d}))"
+    return f"""{_forward(name, source, before)},
+{name}_a AS (SELECT *, list_transform(range(1, {c} + 1), lambda i: weight * (p[i] - (label = i - 1)::INTEGER)) AS d_logits FROM {name}),
+{name}_b AS (SELECT *, {back('w_c', 'd_logits')} AS d_h FROM {name}_a),
+{name}_d AS (SELECT *, list_transform(range(1, {h} + 1), lambda i: -d_h[i] * cand[i] * keep[i] * (1 - keep[i])) AS d_update,
+    list_transform(range(1, {h} + 1), lambda i: d_h[i] * keep[i] * (1 - cand[i] * cand[i])) AS d_cand FROM {name}_b),
+{name}_c AS MATERIALIZED (SELECT x, proj, hid, d_logits, d_update, d_cand, list_transform(list_zip({back('w_z', 'd_update')}, {back('w_n', 'd_cand')}),
+    lambda z: z[1] + z[2]) AS d_p FROM {name}_d),
+{name}_g2 AS ({outer('classifier', 'd_logits', 'hid', c, h)}
+  UNION ALL {outer('gru_input', 'd_update', 'proj', h, h, h)}
+  UNION ALL {outer('gru_input', 'd_cand', 'proj', h, h, 2 * h)}
+  UNION ALL {outer('input_projection', 'd_p', 'x', h, f)}),
+{name}_n AS MATERIALIZED (SELECT *, least(1.0, {updates.CLIP_NORM} / (sqrt((SELECT sum(g * g) FROM {name}_g2)) + {updates.CLIP_EPSILON})) AS clip FROM {name}_g2),
+{name}_m AS (SELECT s.name, s.row, s.col, s.param, {b1} * mean + {1 - b1} * coalesce(g * clip, 0) AS mean,
+    {b2} * var + {1 - b2} * coalesce(g * clip, 0) * coalesce(g * clip, 0) AS var
+  FROM {before} s LEFT JOIN {name}_n n ON s.name = n.name AND s.row = n.row AND s.col = n.col),
+state{k} AS MATERIALIZED (SELECT name, row, col, param * {1 - rate * updates.WEIGHT_DECAY}
+    - {rate} * (mean / {1 - b1**k}) / (sqrt(var / {1 - b2**k}) + {eps}) AS param, mean, var FROM {name}_m)"""
+
+
+def _start(model) -> str:
+    """CTE ``state0``: the weights of a model, without momentum."""
+    values = ", ".join(
+        f"('{name}', {i}, {j}, {float(v)!r})"
+        for name in WEIGHT_NAMES
+        for i, row in enumerate(model.weights[name].tolist())
+        for j, v in enumerate(row)
+    )
+    return f"""state0 AS MATERIALIZED (SELECT name, row::BIGINT AS row, col::BIGINT AS col, param::DOUBLE AS param, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS var
+  FROM (VALUES {values}) v(name, row, col, param))"""
+
+
+def _run() -> str:
+    """CTEs of ``EPOCHS`` steps over the training rows with validation after each, ending in ``history``."""
+    steps, parts = [], []
+    for k in range(1, EPOCHS + 1):
+        steps += [_step(k, "train_rows", D.EMBEDDING_SHAPE, RATE), _forward(f"val{k}", "val_rows", f"state{k}")]
+        parts.append(
+            f"""SELECT {k}::INTEGER AS epoch, (SELECT avg(loss * weight) FROM step{k}) AS train_loss,
+  (SELECT avg((pred = label)::INTEGER) FROM step{k}) AS train_acc, (SELECT avg(loss) FROM val{k}) AS val_loss,
+  (SELECT avg((pred = label)::INTEGER) FROM val{k}) AS val_acc"""
+        )
+    return f"""{EMB_W},
+train_rows AS MATERIALIZED (SELECT * FROM emb WHERE vec_id % 10 < 7), val_rows AS MATERIALIZED (SELECT * FROM emb WHERE vec_id % 10 = 7),
+{_start(D.EMBEDDING_MODEL)},{','.join(steps)},
+history AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+best AS (SELECT epoch, val_acc FROM history WHERE val_acc > 0 ORDER BY val_acc DESC, epoch LIMIT 1)"""
+
+
+_WEIGHTS = "SELECT name, row::INTEGER AS row, col::INTEGER AS col, round(param, 6) AS value FROM"
+
+
+def _epoch() -> str:
+    """Two steps over ``lineitem``, each on the batch that the epoch's order names."""
+    shape, batches = D.LINEITEM_SHAPE, batch_sequence(EPOCH_STEPS, 1, 0)
+    steps = [
+        f"rows{k} AS MATERIALIZED (SELECT * FROM placed WHERE batch = {b}),{_step(k, f'rows{k}', shape, RATE)}" for k, b in enumerate(batches, 1)
+    ]
+    return f"""WITH stats AS (SELECT {_STATS} FROM lineitem),
+flags AS (SELECT l_returnflag AS class_name, count(*) AS n,
+    (row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1)::INTEGER AS label FROM lineitem GROUP BY l_returnflag),
+placed AS MATERIALIZED (SELECT f.label, [{_SCALED}] AS x, (SELECT count(*) FROM lineitem) / (3.0 * n) AS weight, {_spread('row_id', EPOCH_STEPS)} AS batch
+  FROM (SELECT *, row_number() OVER () - 1 AS row_id FROM lineitem), stats, flags f WHERE l_returnflag = class_name),
+{_start(D.LINEITEM_MODEL)},{','.join(steps)}
+{_WEIGHTS} state{EPOCH_STEPS}"""
+
+
 def _performance() -> str:
     values = "UNION ALL ".join(
         f"SELECT 'report' AS section, class_name AS name, '{m}' AS metric, {m}::DOUBLE AS value FROM {t} "
@@ -230,12 +337,9 @@ ORACLE = {
   sum(label)::BIGINT AS label_sum, round(sum(embedding[64]::DOUBLE), 6) AS f63_sum FROM {PLACED} GROUP BY 1""",
     "read_shard": f"SELECT {EMB_SHARD} AS shard, vec_id, label, {_spell('embedding', 4, 'f')} FROM {PLACED}",
     "report_sink": _CLASS_REPORT,
-    "model_sink": f"""WITH {_DATA_SHAPE},
-mats AS (SELECT 'input_projection' AS name, h AS rows, f AS cols FROM shape
-  UNION ALL SELECT 'gru_input', 3 * h, h FROM shape UNION ALL SELECT 'gru_hidden', 3 * h, h FROM shape
-  UNION ALL SELECT 'classifier', c, h FROM shape)
-SELECT 'run' AS run_id, 1::INTEGER AS epoch, name, rows::INTEGER AS rows, cols::INTEGER AS cols,
-  (rows * cols)::INTEGER AS n_values FROM mats""",
+    "model_sink": f"""WITH {_run()}, kept AS ({' UNION ALL '.join(
+        f"SELECT {k} AS epoch, * FROM state{k}" for k in range(1, EPOCHS + 1))})
+{_WEIGHTS} kept JOIN best USING (epoch)""",
     "model_source": f"WITH {EMB_SCORED} SELECT vec_id, pred, round(loss, 6) AS loss FROM scored",
     "prediction_sink": f"""WITH {EMB_SCORED}
 SELECT vec_id, label, pred, round(loss, 6) AS loss, {_spell('p', 10, 'p')} FROM scored""",
@@ -315,13 +419,13 @@ SELECT run_id, epoch, val_acc, train_s FROM history JOIN lasts USING (run_id) WH
     "softmax_probs": f"WITH {EMB_SCORED} SELECT vec_id, {_spell('p', 10, 'p')} FROM scored",
     "cross_entropy": f"WITH {EMB_SCORED} SELECT vec_id, round(loss, 6) AS loss FROM scored",
     "evaluate_test": _CLASS_REPORT,
-    "train_epoch": f"""WITH held AS (SELECT {_spread('row_id', _count('lineitem', EPOCH_SHARDS, ROWS_PER_TRAINING_SHARD))} AS shard, count(*) AS n FROM ({LINE_ROWS}) GROUP BY 1)
-SELECT shard, n, ceil(n / {EPOCH_BATCH}.0)::BIGINT AS steps, true AS sound FROM held""",
+    "train_epoch": _epoch(),
+    "train_model": f"""WITH {_run()} SELECT 'run' AS run_id, epoch, round(train_loss, 6) AS train_loss,
+  round(train_acc, 6) AS train_acc, round(val_loss, 6) AS val_loss, round(val_acc, 6) AS val_acc FROM history""",
     "batch_gradient": _gradient(),
-    "run_status": f"""WITH {_manifest(EMB_ROWS, MANY_SHARDS)},
-judged AS (SELECT *, CASE WHEN n_rows = 0 THEN 'NO_DATA' WHEN shard % 7 = 3 THEN 'ERROR' ELSE 'SUCCESS' END AS status FROM manifest)
-SELECT shard, status, CASE WHEN status = 'SUCCESS' THEN n_rows / 2 END AS total_training_time,
-  CASE WHEN status = 'SUCCESS' AND shard = 0 THEN 0.75 ELSE 0.0 END::DOUBLE AS best_val_acc FROM judged""",
+    "run_status": f"""WITH {_run()}, {_manifest("SELECT row_id FROM train_rows", MANY_SHARDS)}
+SELECT shard, CASE WHEN n_rows = 0 THEN 'NO_DATA' ELSE 'SUCCESS' END AS status,
+  CASE WHEN n_rows > 0 AND shard = 0 THEN round((SELECT val_acc FROM best), 6) ELSE 0.0 END::DOUBLE AS best_val_acc FROM manifest""",
     "model_info": f"""WITH {_DATA_SHAPE}, counted AS (SELECT *, (f * h + 6 * h * h + h * c)::BIGINT AS total FROM shape)
 SELECT 'run' AS run_id, 'OptimizedGRUModel' AS model_type, f::INTEGER AS input_size, h::INTEGER AS hidden_size,
   c::INTEGER AS num_classes, 0.2::DOUBLE AS dropout_rate, total AS total_parameters, total AS trainable_parameters FROM counted""",

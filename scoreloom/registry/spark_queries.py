@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,6 @@ from scoreloom.model import ModelShape, init_model
 from scoreloom.operators import batches, clean, contract, history, metrics, sharding, status, training
 from scoreloom.plans.evaluate import compare_models, evaluate_performance, evaluate_test
 from scoreloom.plans.prepare import prepare_shards
-from scoreloom.plans.settle import settle
 from scoreloom.plans.train import train_model
 from scoreloom.registry import datasets as D
 from scoreloom.registry.patterns import pattern_model
@@ -27,7 +28,11 @@ BATCH_SHARDS = 3
 EPOCH_SHARDS = 8
 BATCH = 32
 MANY_SHARDS = 600
-EPOCH_BATCH = 64
+EPOCH_STEPS = 2
+EPOCHS = 3
+RATE = 0.002
+# A batch that no table outgrows: every epoch is one step.
+WHOLE_TABLE = 1 << 62
 
 
 def _r6(column: Column) -> Column:
@@ -69,9 +74,7 @@ def scan_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_dictionary(spark, sf):
-    path = scratch_path(spark, "label_indexer")
-    labels.fit_label_indexer(D.table(spark, sf, "events"), "event_type").write().save(path)
-    return labels.label_dictionary(spark, path)
+    return labels.fit_dictionary(D.table(spark, sf, "events"), "event_type").select("label", "class_name")
 
 
 def feature_width(spark, sf):
@@ -134,22 +137,40 @@ def report_sink(spark, sf):
     return outputs.read_report(spark, path, REPORT_SCHEMA)
 
 
+def _embedding_classes(spark, sf) -> DataFrame:
+    return labels.fit_dictionary(D.table(spark, sf, "embeddings"), "label")
+
+
 def _data_shape(spark, sf) -> ModelShape:
-    """Model shape read off the table: width of its vectors, number of its classes."""
-    df = D.embedding_samples(spark, sf)
-    classes = df.agg(F.max("label")).first()[0] + 1
-    return ModelShape(features.feature_width(df), classes, hidden_size=16)
+    """Model shape read off the table: width of its vectors, number of names in its dictionary."""
+    width = features.feature_width(D.embedding_samples(spark, sf))
+    return ModelShape(width, _embedding_classes(spark, sf).count(), hidden_size=16)
+
+
+def _weights(spark, model, shape) -> DataFrame:
+    """``(name, row, col, value)`` of a model's weights."""
+    flat = spark.createDataFrame(list(enumerate(model.flatten().tolist())), "pos int, value double")
+    return training.name_components(flat, shape).select("name", "row", "col", _r6(F.col("value")).alias("value"))
+
+
+def _trained(spark, sf, model_path=None, num_shards=SHARDS):
+    """Steps over all training rows from the pattern weights, without dropout, as SQL can repeat them."""
+    samples = D.embedding_samples(spark, sf, weighted=True, numbered=True)
+    split, shape = contract.split_of(F.col("key")), D.EMBEDDING_SHAPE
+    train, val = samples.where(split == "train"), samples.where(split == "val")
+    config = RunConfig(
+        "", "", "", "", num_shards=num_shards, epochs=EPOCHS, batch_size=WHOLE_TABLE, learning_rate=RATE,
+        hidden_size=shape.hidden_size, dropout=0.0, num_features=shape.num_features, num_classes=shape.num_classes,
+    )
+    return train_model(spark, train, val, config, "run", model_path, start=D.EMBEDDING_MODEL)
 
 
 def model_sink(spark, sf):
-    """Weights after an epoch over the table, stored and read back."""
-    shape, path = _data_shape(spark, sf), scratch_path(spark, "model")
-    n = _shards(spark, sf, "embeddings", BATCH_SHARDS, sharding.ROWS_PER_TRAINING_SHARD)
-    placed = sharding.repartition_shards(D.embedding_samples(spark, sf, numbered=True), n)
-    state, _ = training.train_epoch(placed, n, TrainState.start(init_model(shape)), shape, BATCH, 0.002, 1)
-    models.write_model(spark, state.model(shape), path, "run", 1)
-    stored = spark.read.schema(models.MODEL_SCHEMA).parquet(path)
-    return stored.select("run_id", "epoch", "name", "rows", "cols", F.size("values").alias("n_values"))
+    """Weights of the best epoch of a training run, stored and read back, value by value."""
+    path = scratch_path(spark, "model")
+    _trained(spark, sf, path)
+    model = models.read_model(spark, path, D.EMBEDDING_SHAPE, "run")
+    return _weights(spark, model, D.EMBEDDING_SHAPE)
 
 
 def model_source(spark, sf):
@@ -297,7 +318,7 @@ def shard_totals(spark, sf):
 
 def data_statistics(spark, sf):
     events = D.table(spark, sf, "events")
-    indexed = contract.index_labels(events, "event_type", labels.fit_label_indexer(events, "event_type"))
+    indexed = contract.index_labels(events, "event_type", labels.fit_dictionary(events, "event_type"))
     stats = metrics.data_statistics(indexed.select(F.col("label").cast("int").alias("label")))
     return stats.select("total_samples", "num_classes", F.explode("label_distribution").alias("label", "n"))
 
@@ -462,14 +483,13 @@ def evaluate_test_query(spark, sf):
 
 
 def train_epoch(spark, sf):
-    """An epoch over all of ``lineitem``; rows and updates per shard are what SQL can state."""
+    """An epoch over all of ``lineitem`` in two steps: the weights after it."""
     samples, _ = D.lineitem_samples(spark, sf, weighted=True, numbered=True)
-    n = _shards(spark, sf, "lineitem", EPOCH_SHARDS, sharding.ROWS_PER_TRAINING_SHARD)
-    placed = sharding.repartition_shards(samples, n)
-    state = TrainState.start(init_model(D.LINEITEM_SHAPE))
-    parts = training.epoch_parts(placed, state, D.LINEITEM_SHAPE, EPOCH_BATCH, 0.002, epoch=1, seed=0)
-    sound = (F.col("loss_sum") > 0) & (F.size("vector") == 3 * D.LINEITEM_SHAPE.num_parameters())
-    return parts.select("shard", "n", "steps", sound.alias("sound"))
+    n = _shards(spark, sf, "lineitem", EPOCH_SHARDS)
+    stored = training.store_batches(samples, scratch_path(spark, "training"), n, num_batches=EPOCH_STEPS)
+    shape = dataclasses.replace(D.LINEITEM_SHAPE, dropout=0.0)
+    state, _ = training.train_epoch(stored, TrainState.start(D.LINEITEM_MODEL), shape, RATE, epoch=1)
+    return _weights(spark, state.model(shape), shape)
 
 
 def batch_gradient(spark, sf):
@@ -478,33 +498,21 @@ def batch_gradient(spark, sf):
 
 
 def train_model_query(spark, sf):
-    samples = D.embedding_samples(spark, sf, weighted=True, numbered=True)
-    split = contract.split_of(F.col("key"))
-    n = _shards(spark, sf, "embeddings", 2, sharding.ROWS_PER_TRAINING_SHARD)
-    config = RunConfig(
-        "", "", "", "", num_shards=n, epochs=3, batch_size=BATCH, hidden_size=16, num_features=64, num_classes=10
-    )
-    result = train_model(spark, samples.where(split != "val"), samples.where(split == "val"), config, "run")
-    return result.history.select("run_id", "epoch", "train_loss", "train_acc", "val_loss", "val_acc")
+    history_ = _trained(spark, sf).history
+    return history_.select("run_id", "epoch", *[_r6(F.col(c)).alias(c) for c in ("train_loss", "train_acc", "val_loss", "val_acc")])
 
 
 def run_status(spark, sf):
-    """Every seventh shard reports a row less than its manifest."""
-    df = sharding.assign_shards(D.embedding_samples(spark, sf, numbered=True), MANY_SHARDS)
-    manifest = settle(sharding.shard_manifest(df, MANY_SHARDS))
-    trained = manifest.where(F.col("n_rows") > 0).select(
-        "shard",
-        (F.col("n_rows") - F.when(F.col("shard") % 7 == 3, 1).otherwise(0)).alias("rows_trained"),
-        (F.col("n_rows") / 2).alias("seconds"),
-        F.lit(0.75).alias("val_acc"),
-    )
-    return status.run_status(manifest, trained)
+    """Status of the shards of a training run, of which there are more than rows."""
+    result = _trained(spark, sf, num_shards=MANY_SHARDS)
+    return result.status().select("shard", "status", _r6(F.col("best_val_acc")).alias("best_val_acc"))
 
 
 def model_info(spark, sf):
-    shape = _data_shape(spark, sf)
-    info = models.model_info(models.model_table(spark, init_model(shape), "run", 1), shape)
-    return info.drop("epoch")
+    """A model for the table's width and classes, stored, and described from the stored weights."""
+    shape, path = _data_shape(spark, sf), scratch_path(spark, "model")
+    models.write_model(spark, init_model(shape), path, "run", 1)
+    return models.model_info(spark.read.schema(models.MODEL_SCHEMA).parquet(path), shape).drop("epoch")
 
 
 # --- input contract ----------------------------------------------------------
@@ -519,13 +527,13 @@ def scale_features(spark, sf):
 
 def index_labels(spark, sf):
     events = D.table(spark, sf, "events")
-    out = contract.index_labels(events, "event_type", labels.fit_label_indexer(events, "event_type"))
+    out = contract.index_labels(events, "event_type", labels.fit_dictionary(events, "event_type"))
     return out.select("event_id", F.col("label").cast("int").alias("label"))
 
 
 def class_weights(spark, sf):
-    samples, _ = D.lineitem_samples(spark, sf)
-    out = contract.class_weights(samples, 3)
+    fitted = contract.fit_contract(D.table(spark, sf, "lineitem"), D.LINEITEM_COLUMNS, "l_returnflag")
+    out = contract.weights_of(fitted.dictionary.select("label", "n"), 3)
     return out.select("label", "n", _r6(F.col("weight")).alias("weight"))
 
 

@@ -12,12 +12,7 @@ def build_session(mode: str = "local", app_name: str = "scoreloom", **settings:
     builder = SparkSession.builder.appName(app_name)
     if mode == "local" and "spark.master" not in settings:
         builder = builder.master("local[*]")
-    builder = (
-        builder.config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-    )
+    builder = builder.config("spark.sql.session.timeZone", "UTC")
     for name, value in settings.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()

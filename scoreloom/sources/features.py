@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A (hash, offset) pair takes some 64 bytes in a broadcast table, so this bounds it at 128 MB.
-MAX_BROADCAST_FILES = 2_000_000
-
+from scoreloom.sources.labels import stored_table
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     """The table plus ``row_id``: 0..N-1 over all files, by position in the file.
@@ -22,14 +20,10 @@ def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     shuffle of rows is needed.
     """
     df = spark.read.parquet(path)
-    num_files = len(df.inputFiles())
-    placed = df.select("*", F.col("_metadata.row_index").alias("row_id"))
-    if num_files <= 1:
-        return placed
     # Two paths with one hash would share an offset: still one row each, only numbered less evenly.
-    path = F.col("_metadata.file_path")
+    location = F.col("_metadata.file_path")
     per_file = (
-        df.select(path.alias("_path"))
+        df.select(location.alias("_path"))
         .groupBy("_path")
         .agg(F.count("*").alias("_n"))
         .groupBy(F.xxhash64("_path").alias("_file"))
@@ -38,10 +32,10 @@ def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     # One row per file; the driver already holds that list to plan the scan.
     before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_file.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    if num_files <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
+    # Stored, so that the planner knows its size and chooses the join.
+    offsets = stored_table(offsets, "file_offsets")
     return (
-        placed.withColumn("_file", F.xxhash64("_metadata.file_path"))
+        df.select("*", F.col("_metadata.row_index").alias("row_id"), F.xxhash64("_metadata.file_path").alias("_file"))
         .join(offsets, "_file")
         .withColumn("row_id", F.col("row_id") + F.col("_offset"))
         .drop("_file", "_offset")

@@ -1,35 +1,60 @@
-"""The label dictionary: position in the fitted indexer is the class id."""
+"""The label dictionary: a table ``(label, class_name, n)``, position by frequency is the class id."""
 
 from __future__ import annotations
 
 from pyspark.ml.feature import StringIndexerModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The dictionary lives on the driver; a column with more names is no class label.
-MAX_CLASSES = 2_000_000
+from scoreloom.sources.scratch import scratch_path
 
 
-def fit_label_indexer(df: DataFrame, column: str) -> StringIndexerModel:
-    """Most frequent name first, ties by name; nulls are not names.
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, so its size is known to the planner."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    The counts come from a plain aggregation, combined before its shuffle, and
-    only the names return.
+
+def number_classes(counts: DataFrame) -> DataFrame:
+    """Add ``label`` to ``counts(class_name, n, ...)``: most frequent first, ties by name; nulls are not names.
+
+    Names are sorted by ranges; a name's number is its place in its range plus the
+    sizes of the ranges before, so any number of names can be numbered.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.desc("n"), column).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"column {column!r} has more than {MAX_CLASSES} names")
-    return StringIndexerModel.from_labels([r[column] for r in rows], inputCol=column, outputCol="label")
+    ranged = counts.where(F.col("class_name").isNotNull()).repartitionByRange(F.desc("n"), F.col("class_name")).sortWithinPartitions(F.desc("n"), F.col("class_name"))
+    placed = stored_table(
+        ranged.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id() % (1 << 33)}), "class_ranges"
+    )
+    # One row per range.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").agg(F.count("*").alias("_size")).select(
+        "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
+    )
+    label = (F.col("_start") + F.col("_place")).cast("int")
+    return placed.join(starts, "_range").select(label.alias("label"), *counts.columns)
+
+
+def fit_dictionary(df: DataFrame, column: str) -> DataFrame:
+    """``(label, class_name, n)`` of a column of names, from a plain aggregation."""
+    counts = df.groupBy(F.col(column).alias("class_name")).agg(F.count("*").alias("n"))
+    return stored_table(number_classes(counts).select("label", "class_name", "n"), "label_dictionary")
+
+
+def class_names(dictionary: DataFrame) -> list[str]:
+    """Names in order of their ids, for a model, which has a row of weights per class."""
+    return [r["class_name"] for r in dictionary.orderBy("label").collect()]
 
 
 def load_class_names(path: str) -> list[str]:
+    """Names of a saved indexer."""
     return list(StringIndexerModel.load(path).labels)
 
 
-def class_table(spark: SparkSession, class_names: list[str]) -> DataFrame:
+def class_table(spark: SparkSession, names: list[str]) -> DataFrame:
     """``(label, class_name)``, one row per class of the dictionary."""
-    return spark.createDataFrame(list(enumerate(class_names)), "label int, class_name string")
+    return spark.createDataFrame(list(enumerate(names)), "label int, class_name string")
 
 
 def label_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def write_report(report: DataFrame, path: str) -> str:
     """A report as one JSON file. Reports are at most a row per class pair, so one task suffices."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    report.repartition(1).write.mode("overwrite").json(path)
     return path
 
 

@@ -7,32 +7,22 @@ from pyspark.sql import functions as F
 
 from scoreloom.operators.sharding import spread
 
-# Fixed value: rows per stored chunk.
-ROWS_PER_FILE = 50_000
 
-
-def write_shards(df: DataFrame, path: str, num_shards: int, tasks_per_shard: int = 1) -> str:
-    """Write ``df`` (with ``shard`` and ``row_id``) under ``path/shard=k/``.
+def write_shards(
+    df: DataFrame, path: str, num_shards: int, tasks_per_shard: int = 1, number: str = "row_id", order: str | None = None
+) -> str:
+    """Write ``df`` (with ``shard = spread(number, num_shards)``) under ``path/shard=k/``.
 
     Rows are moved once, straight to the task that writes them, so a task opens
-    one directory only. ``tasks_per_shard`` splits big shards over several
-    writers; slices follow ``row_id``, so they are even whatever the keys are.
+    one directory only. ``tasks_per_shard`` splits shards over several writers,
+    which are even slices of ``number`` whatever the keys are. Rows of a file are
+    sorted by ``order`` if given.
     """
-    if tasks_per_shard == 1:
-        placed = df.repartitionById(num_shards, "shard")
-    else:
-        slice_id = spread(F.col("row_id") + F.lit(1), tasks_per_shard)
-        placed = (
-            df.withColumn("_writer", F.col("shard") * tasks_per_shard + slice_id)
-            .repartitionById(num_shards * tasks_per_shard, "_writer")
-            .drop("_writer")
-        )
-    (
-        placed.write.mode("errorifexists")
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
-        .partitionBy("shard")
-        .parquet(path)
-    )
+    writers = num_shards * tasks_per_shard
+    placed = df.withColumn("_writer", spread(F.col(number), writers)).repartitionById(writers, "_writer")
+    if order:
+        placed = placed.sortWithinPartitions(order)
+    placed.drop("_writer", *([number] if number.startswith("_") else [])).write.mode("errorifexists").partitionBy("shard").parquet(path)
     return path
 
 
