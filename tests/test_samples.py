@@ -83,14 +83,16 @@ def test_wrong_feature_type_is_an_error(spark):
         features.scan_features(spark, path)
 
 
-@pytest.mark.parametrize("bound", [features.MAX_BROADCAST_FILES, 2])
-def test_row_ids_are_dense_over_many_files(spark, monkeypatch, bound):
-    monkeypatch.setattr(features, "MAX_BROADCAST_FILES", bound)
+@pytest.mark.parametrize("bound", ["10m", "-1"])
+def test_row_ids_are_dense_over_many_files(spark, bound):
+    """Whichever join the planner takes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
     path = scratch_path(spark, "many")
     spark.range(1000).repartition(13).write.parquet(path)
     ids = features.read_numbered(spark, path).agg(
         F.min("row_id"), F.max("row_id"), F.count_distinct("row_id")
     ).first()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert tuple(ids) == (0, 999, 1000)
 
 
@@ -110,21 +112,56 @@ def test_scan_reads_only_named_columns(spark, sf):
 
 
 def test_dictionary_order_is_frequency_then_name(spark):
-    df = spark.createDataFrame([(x,) for x in "b b a a c c c d".split()], "name string")
-    path = scratch_path(spark, "indexer")
-    labels.fit_label_indexer(df, "name").write().save(path)
-    assert labels.load_class_names(path) == ["c", "a", "b", "d"]
+    df = spark.createDataFrame([(x,) for x in [*"b b a a c c c d".split(), None]], "name string")
+    assert labels.class_names(labels.fit_dictionary(df, "name")) == ["c", "a", "b", "d"]
 
 
-def test_dictionary_agrees_with_the_library_indexer(spark, sf, monkeypatch):
+def test_dictionary_agrees_with_the_library_indexer(spark, sf):
     from pyspark.ml.feature import StringIndexer
 
     events = spark.read.parquet(f"{sf}/events.parquet")
-    want = StringIndexer(inputCol="event_type", outputCol="label").fit(events).labels
-    assert list(labels.fit_label_indexer(events, "event_type").labels) == list(want)
-    monkeypatch.setattr(labels, "MAX_CLASSES", 2)
-    with pytest.raises(ValueError):
-        labels.fit_label_indexer(events, "event_type")
+    fitted = StringIndexer(inputCol="event_type", outputCol="label").fit(events)
+    assert labels.class_names(labels.fit_dictionary(events, "event_type")) == list(fitted.labels)
+    path = scratch_path(spark, "indexer")
+    fitted.write().save(path)
+    assert labels.load_class_names(path) == list(fitted.labels)
+
+
+@pytest.mark.parametrize("classes", [3, 20_000])
+def test_any_number_of_classes_is_handled_alike(spark, classes):
+    df = spark.range(classes * 3 - 2).select(F.format_string("c%05d", F.col("id") % classes).alias("name"))
+    fitted = labels.fit_dictionary(df, "name")
+    got = fitted.orderBy("label").collect()
+    want = sorted((-3 if i < classes - 2 else -2, f"c{i:05d}") for i in range(classes))
+    assert [(r["label"], r["class_name"], r["n"]) for r in got] == [(k, name, -n) for k, (n, name) in enumerate(want)]
+    indexed = contract.index_labels(df, "name", fitted).select(F.col("label").cast("int").alias("label"))
+    weighted = contract.with_class_weights(indexed, classes)
+    assert weighted.agg(F.sum("weight")).first()[0] == pytest.approx(df.count())
+    for bad in (None, "other"):
+        odd = df.unionByName(spark.createDataFrame([(bad,)], "name string"))
+        with pytest.raises(Exception, match=f"label outside the dictionary: {bad or 'null'}"):
+            contract.index_labels(odd, "name", fitted).collect()
+    for bad in (None, classes):
+        odd = indexed.unionByName(spark.createDataFrame([(bad,)], "label int"))
+        with pytest.raises(Exception, match=f"label outside 0..{classes - 1}: {'null' if bad is None else bad}"):
+            contract.with_class_weights(odd, classes).collect()
+
+
+def test_contract_statistics_equal_separate_scans(spark, sf):
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_tax", F.when(F.col("l_tax") != 0.05, F.col("l_tax")))
+    columns = ["l_quantity", "l_tax"]
+    one, other = contract.fit_contract(df, columns, "l_returnflag"), contract.fit_scaler(df, columns)
+    assert one.scaler.means == pytest.approx(other.means) and one.scaler.stddevs == pytest.approx(other.stddevs)
+    assert [tuple(r) for r in one.dictionary.orderBy("label").collect()] == [
+        tuple(r) for r in labels.fit_dictionary(df, "l_returnflag").orderBy("label").collect()
+    ]
+
+
+def test_null_elements_are_rejected(spark):
+    rows = [([1.0, None], 1.0, 1.0), ([1.0, 2.0], 1.0, 1.0), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "features array<float>, label double, weight double")
+    assert dict(map(tuple, clean.reject_counts(df).collect())) == {"null_element": 1, "ok": 1, "null_features": 1}
+    assert clean.drop_malformed(df).count() == 1
 
 
 def test_scaled_vectors_equal_scaled_arrays(spark, sf):
@@ -146,22 +183,10 @@ def test_scaler_uses_sample_deviation_and_zero_for_constants(spark):
     assert rows[0]["z"] == pytest.approx([-(0.5**0.5), 0.0])
 
 
-def test_class_weights_by_literal_and_by_join_agree(spark, monkeypatch):
+def test_class_weights(spark):
     df = spark.createDataFrame([(k,) for k in (0, 0, 0, 1)], "label int")
-    literal = sorted(tuple(r) for r in contract.with_class_weights(df, 2).collect())
-    monkeypatch.setattr(contract, "MAX_LITERAL_CLASSES", 1)
-    broadcast = sorted(tuple(r) for r in contract.with_class_weights(df, 2).collect())
-    monkeypatch.setattr(contract, "MAX_BROADCAST_CLASSES", 1)
-    joined = sorted(tuple(r) for r in contract.with_class_weights(df, 2).collect())
-    assert literal == broadcast == joined == [(0, pytest.approx(2 / 3))] * 3 + [(1, 2.0)]
-
-
-@pytest.mark.parametrize("bound", [10_000, 1])
-def test_weights_for_unknown_labels_are_an_error(spark, monkeypatch, bound):
-    monkeypatch.setattr(contract, "MAX_LITERAL_CLASSES", bound)
-    df = spark.createDataFrame([(0,), (5,)], "label int")
-    with pytest.raises(Exception, match="outside"):
-        contract.with_class_weights(df, 2).collect()
+    got = sorted(tuple(r) for r in contract.with_class_weights(df, 2).collect())
+    assert got == [(0, pytest.approx(2 / 3))] * 3 + [(1, 2.0)]
 
 
 def test_split_shares(spark):
@@ -169,16 +194,12 @@ def test_split_shares(spark):
     assert dict(df.groupBy("s").count().collect()) == {"train": 70, "val": 10, "test": 20}
 
 
-def test_without_a_setting_only_a_local_master_gets_a_folder(spark):
+def test_scratch_folder_comes_from_the_settings_alone(spark):
     class Plain:
         class conf:
-            get = staticmethod(lambda name, default: default)
-
-        class sparkContext:
-            master, applicationId = "local[2]", "app-1"
+            known = {"spark.sql.warehouse.dir": "hdfs://x/warehouse"}
+            get = staticmethod(lambda name, default=None: Plain.conf.known.get(name, default))
 
-    first = shared_folder(Plain)
-    assert first == shared_folder(Plain) != shared_folder(spark)
-    Plain.sparkContext.master = "yarn"
-    with pytest.raises(RuntimeError):
-        shared_folder(Plain)
+    assert shared_folder(Plain) == "hdfs://x/warehouse/_scratch"
+    Plain.conf.known["spark.checkpoint.dir"] = "hdfs://x/shared/"
+    assert shared_folder(Plain) == "hdfs://x/shared"

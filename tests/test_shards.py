@@ -63,12 +63,14 @@ def test_written_shards_round_trip(spark):
     assert files.agg(F.sum("n_rows")).first()[0] == 5000
 
 
-def test_long_shards_are_stored_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(shards, "ROWS_PER_FILE", 100)
-    df = sharding.assign_shards(numbered(spark, 500), 1)
-    path = shards.write_shards(df, scratch_path(spark, "chunks"), 1)
-    sizes = [r["n_rows"] for r in shards.shard_files(spark, path).collect()]
-    assert sizes == [100] * 5
+@pytest.mark.parametrize("num_shards, tasks", [(16, 8), (400, 4)])
+def test_writers_are_even(spark, num_shards, tasks):
+    df = sharding.assign_shards(numbered(spark, 100_000), num_shards)
+    path = shards.write_shards(df, scratch_path(spark, "even"), num_shards, tasks)
+    files = shards.shard_files(spark, path)
+    sizes = [r["n_rows"] for r in files.collect()]
+    assert len(sizes) == num_shards * tasks and max(sizes) <= 1.1 * 100_000 / len(sizes)
+    assert spark.read.parquet(path).where(F.col("shard") != sharding.spread(F.col("row_id"), num_shards)).count() == 0
 
 
 def test_reading_a_shard_prunes_partitions(spark):
