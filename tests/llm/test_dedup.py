@@ -43,7 +43,8 @@ def test_exact_small(small):
 def test_exact_drop_keeps_columns(edge):
     kept = exact_dedup.drop_exact_duplicates(edge)
     assert kept.columns == edge.columns
-    assert kept.where("doc_id = 1").count() == 0 and kept.where("doc_id = 3").count() == 1
+    # 2 repeats the text of 1; 3 differs in case; 5 and 6 are both empty, and the longer original stays.
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 3, 6, 7, 8, 9, 10]
 
 
 def test_empty_tables(empty):
