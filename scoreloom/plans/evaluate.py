@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,10 +117,24 @@ def compare_models(
     samples: DataFrame, models: dict[str, Model], class_names: list[str], output_dir: str | None = None
 ) -> DataFrame:
     """``(metric, <model>, ...)`` for all given models."""
-    spark: SparkSession = samples.sparkSession
-    tallies, names = settle(tally_models(samples, models)), list(models)
+    return _compared(settle(tally_models(samples, models)), list(models), class_names, output_dir)
+
+
+def compare_results(
+    predictions: dict[str, DataFrame], class_names: list[str], output_dir: str | None = None
+) -> DataFrame:
+    """The same from finished results: tables ``(label, pred, loss)`` by model name.
+
+    The models may differ in features and rows; only classes are shared.
+    """
+    named = [df.select("label", "pred", "loss", F.lit(name).alias("model")) for name, df in predictions.items()]
+    tallies = metrics.tally(functools.reduce(DataFrame.unionByName, named), by=("model",))
+    return _compared(settle(tallies), list(predictions), class_names, output_dir)
+
+
+def _compared(tallies: DataFrame, names: list[str], class_names: list[str], output_dir: str | None) -> DataFrame:
     report = metrics.class_report(
-        tallies, class_table(spark, class_names), len(class_names), by=("model",), values=names
+        tallies, class_table(tallies.sparkSession, class_names), len(class_names), by=("model",), values=names
     )
     compared = metrics.comparison(report, tallies, "model", names)
     if output_dir:

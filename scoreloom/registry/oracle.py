@@ -395,6 +395,7 @@ SELECT class_name, {R6_REPORT}, (SELECT count(*) FROM lineitem) AS total_samples
   (SELECT count(*) FROM flags)::INTEGER AS num_classes FROM both_""",
     "evaluate_performance": _performance(),
     "compare_models": _comparison(),
+    "compare_results": _comparison(),
     "experiment_summary": """WITH trained AS (SELECT o_orderstatus AS run_id, count(*)::DOUBLE AS seconds,
     max(o_totalprice) AS best FROM orders GROUP BY 1),
 evaluated AS (SELECT l_linestatus AS run_id, max(l_discount) AS acc, max(l_extendedprice) AS loss FROM lineitem GROUP BY 1)

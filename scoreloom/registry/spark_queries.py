@@ -14,7 +14,7 @@ from scoreloom.functions.text import format_metric, run_stamp, stamped_output
 from scoreloom.functions.updates import TrainState
 from scoreloom.model import ModelShape, init_model
 from scoreloom.operators import batches, clean, contract, history, metrics, sharding, status, training
-from scoreloom.plans.evaluate import compare_models, evaluate_performance, evaluate_test
+from scoreloom.plans.evaluate import compare_models, compare_results, evaluate_performance, evaluate_test
 from scoreloom.plans.prepare import prepare_shards
 from scoreloom.plans.train import train_model
 from scoreloom.registry import datasets as D
@@ -399,6 +399,17 @@ def compare_models_query(spark, sf):
     return out.select("metric", *[_r6(F.col(name)).alias(name) for name in many])
 
 
+def compare_results_query(spark, sf):
+    """The comparison from stored predictions, a table for each model."""
+    samples, names = D.lineitem_samples(spark, sf)
+    stored = {}
+    for name, shift in D.LINEITEM_SHIFTS.items():
+        scored = scoring.score_rows(samples, pattern_model(D.LINEITEM_SHAPE, shift)).drop("features")
+        stored[name] = spark.read.parquet(outputs.write_predictions(scored, scratch_path(spark, "predictions")))
+    out = compare_results(stored, names)
+    return out.select("metric", *[_r6(F.col(name)).alias(name) for name in stored])
+
+
 def experiment_summary(spark, sf):
     """Runs named by order status; only those that also occur as line status were evaluated."""
     trained = D.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("run_id")).agg(
@@ -580,6 +591,7 @@ QUERIES = {
     "report_full": report_full,
     "evaluate_performance": evaluate_performance_query,
     "compare_models": compare_models_query,
+    "compare_results": compare_results_query,
     "experiment_summary": experiment_summary,
     "epoch_history": epoch_history,
     "best_epoch": best_epoch,
