@@ -61,8 +61,8 @@ RULES = {
 # Every known sentence has one of these in it; other texts are not cut up.
 HINTS = ("licens", "permission", "permitted", "redistribut", "copyright notice")
 
-# Cut after a mark that ends a sentence, at an empty line, and at a line that begins with a capital.
-_CUTS = [(r"([.;:!?])\s+", r"\1|"), (r"\n\s*\n", "|"), (r"\n\s*([A-Z])", r"|\1")]
+# Cut after a mark that ends a sentence, at an empty line, and at a line that begins with a capital, comment marks aside.
+_CUTS = [(r"([.;:!?])\s+", r"\1|"), (r"\n\s*\n", "|"), (r"\n[\s#*/;-]*([A-Z])", r"|\1")]
 
 
 def normalised(sentence: str) -> str:
