@@ -19,6 +19,7 @@ words, but it is not counted. Repeated document rows each get their own result.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,27 +125,25 @@ def union_runs(one: list[int], other: list[int]) -> list[int]:
 
 
 def _matcher(shared):
-    """Rows with ``text``, ``hit`` and ``items`` in and out; hit words are starts and ends of runs of words."""
+    """``(n_words, hit, items)`` of ``(text, hit, items)``, the last two with what was found before; hit words are starts and ends of runs of words."""
     built = []
+    kind = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
-    def body(batches):
+    @F.arrow_udf("struct<n_words:long,hit:array<int>,items:array<string>>")
+    def match(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         if not built:
             built.append(Block(shared.value))
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                batch = whole.slice(at, 100)
-                texts = [words_of(text) for text in text_bytes(batch.column("text"))]
-                before = zip(*(batch.column(c).to_pylist() for c in ("hit", "items")))
-                n_words, hits, names = [len(words) for words in texts], [], []
-                for (runs, items), (old_runs, old_items) in zip(built[0].hits(texts), before):
-                    hits.append(union_runs(old_runs, runs))
-                    names.append(sorted(set(old_items) | {str(i) for i in items if i is not None}))
-                new = {"n_words": pa.array(n_words, pa.int64()), "hit": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(names, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays(
-                    [new.get(name, column) for name, column in zip(batch.schema.names, batch.columns)], names=batch.schema.names
-                )
-
-    return body
+            found = []
+            for at in range(0, len(whole[0]), 100):
+                text, hit, items = (column.slice(at, 100) for column in whole)
+                texts = [words_of(t) for t in text_bytes(text)]
+                for words, (runs, names), old_runs, old_names in zip(texts, built[0].hits(texts), hit.to_pylist(), items.to_pylist()):
+                    named = sorted(set(old_names) | {str(i) for i in names if i is not None})
+                    found.append({"n_words": len(words), "hit": union_runs(old_runs, runs), "items": named})
+            yield pa.array(found, kind)
+
+    return match
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
@@ -158,17 +157,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
 
 
 def _matched(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
-    """``docs`` with columns ``n_words``, ``hit`` and ``items`` added."""
-    state = docs.select(
-        "*",
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("hit"),
-        F.array().cast("array<string>").alias("items"),
-    )
+    """``docs`` with columns ``n_words``, ``hit`` and ``items`` added; only texts and hits go to Python."""
+    state = docs.select("*", F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
     passes = 0
     for items in _blocks(benchmark, block_bytes):
         state = stored(state, "decontamination") if passes else state
-        state = state.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(items)), state.schema)
+        match = _matcher(docs.sparkSession.sparkContext.broadcast(items))
+        state = state.withColumn("found", match("text", "hit", "items")).select(*docs.columns, "found.*")
         passes += 1
     return state
 

@@ -13,6 +13,8 @@ margin is 1. Only ``text`` is an input of a prediction.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -85,18 +87,16 @@ class Classifier:
 def identify(docs: DataFrame, content: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """``(row, lang_found)``: a row of ``docs``, all columns, and ``(lang_pred, score, rejected)``; no row is moved."""
     shared = docs.sparkSession.sparkContext.broadcast(content)
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kind = "struct<lang_pred:string,score:double,rejected:boolean>"
     arrow = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
     made = []
 
-    def body(batches):
+    @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
+    def classify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not made:
             made.append(Classifier(shared.value))
-        for batch in batches:
-            found = [made[0].classify(text) for text in text_bytes(batch.column("text"))]
-            column = pa.array([{"lang_pred": lang, "score": m, "rejected": lang == UNDETERMINED or m < min_margin} for lang, m in found], arrow)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), column], names=["row", "lang_found"])
+        for batch in texts:
+            found = [made[0].classify(text) for text in text_bytes(batch)]
+            yield pa.array([{"lang_pred": lang, "score": m, "rejected": lang == UNDETERMINED or m < min_margin} for lang, m in found], arrow)
 
-    schema = packed.select("row").withColumn("lang_found", F.lit(None).cast(kind)).schema
-    return packed.mapInArrow(body, schema)
+    # Only texts go to Python; the rows stay where they are.
+    return docs.select(F.struct("*").alias("row"), classify(F.col("text").cast("string")).alias("lang_found"))
