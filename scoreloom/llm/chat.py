@@ -5,7 +5,11 @@ Runs of lines of one level are passages. The level-0 lines are what the author
 wrote; they, and each of their runs and lines, are a message's originals. The
 normalised quoted passages are hashed and joined to the originals of the same
 conversation: a passage stems from the message with the lowest turn that holds
-it, if that is before the quoting one. A message replies to the latest message
+it, if that is before the quoting one. A passage that is no such original is
+looked for within level-0 texts, however its lines are wrapped: from four words
+on as consecutive words anywhere, below that as consecutive whole lines. Windows
+of a text that begin with the passage's first words and have its length are
+hashed, so that what is found is equal as a whole. A message replies to the latest message
 that it quotes at its lowest linked level. Depth and root of a message come from
 pointer doubling over these replies, so the number of joins is the logarithm of
 the longest chain.
@@ -31,6 +35,8 @@ from scoreloom.llm.common import stored
 
 _MARK = r"^(\s*>)+ ?"
 _PASSAGE = "struct<level:int,body:string>"
+# Fixed value: passages of fewer words link as whole lines only.
+EXCERPT_WORDS = 4
 
 
 def passages(text: Column) -> Column:
@@ -58,10 +64,59 @@ def normalised(passage: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(passage), r"\s+", " "))
 
 
+def _key(said: Column) -> Column:
+    """Hash, within the conversation, of a normalised passage."""
+    return F.sha2(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit("\n"), said), 256)
+
+
+def _start_key(words: Column) -> Column:
+    """Hash, within the conversation, of the first words of a passage; what it pairs is confirmed by ``_key``."""
+    return F.xxhash64(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.array_join(words, " "))
+
+
+def _said(bodies: Column) -> Column:
+    """Normalised passages that have a letter or digit."""
+    return F.filter(F.transform(bodies, normalised), lambda b: b.rlike(r"[\p{L}\p{N}]"))
+
+
 def _hashes(bodies: Column) -> Column:
-    """Distinct hashes, within the conversation, of passages that have a letter or digit."""
-    said = F.filter(F.transform(bodies, normalised), lambda b: b.rlike(r"[\p{L}\p{N}]"))
-    return F.array_distinct(F.transform(said, lambda b: F.sha2(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit("\n"), b), 256)))
+    return F.array_distinct(F.transform(_said(bodies), _key))
+
+
+def _excerpts(parsed: DataFrame, pending: DataFrame) -> DataFrame:
+    """``(hash, source)``: the lowest turn whose level-0 text has a passage of ``pending(conv_id, said)`` within it."""
+    wanted = pending.select(F.col("conv_id").alias("_conv")).distinct()
+    lines = F.filter(F.transform(F.split("own", "\n", -1), normalised), lambda b: b != "")
+    # Stored, so that no expression over the words splits the text again.
+    texts = stored(
+        parsed.where("turn IS NOT NULL AND own <> ''").join(wanted, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").select(
+            F.monotonically_increasing_id().alias("id"), "conv_id", "turn", lines.alias("lines"), F.split(normalised(F.col("own")), " ", -1).alias("words")
+        ),
+        "texts",
+    )
+    passages = pending.select("conv_id", F.split("said", " ", -1).alias("words")).where(F.size("words") >= EXCERPT_WORDS)
+    starts = passages.select(_start_key(F.slice("words", 1, EXCERPT_WORDS)).alias("start"), F.size("words").alias("n")).distinct()
+    places = texts.where(F.size("words") >= EXCERPT_WORDS).select(
+        "id",
+        F.size("words").alias("length"),
+        F.posexplode(
+            F.transform(F.sequence(F.lit(1), F.size("words") - (EXCERPT_WORDS - 1)), lambda i: _start_key(F.slice("words", i, EXCERPT_WORDS)))
+        ).alias("at", "start"),
+    )
+    windows = places.join(starts, "start").where("at + n <= length").groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("windows"))
+    longer = texts.join(windows, "id").select(
+        "turn", F.explode(F.transform("windows", lambda w: _key(F.array_join(F.slice("words", w["at"] + 1, w["n"]), " ")))).alias("hash")
+    )
+    # Passages of few words have few lines.
+    runs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.size("lines")),
+            lambda i: F.transform(F.array(*map(F.lit, range(2, EXCERPT_WORDS))), lambda n: F.array_join(F.slice("lines", i, n), " ")),
+        )
+    )
+    few = F.filter(runs, lambda run: F.size(F.split(run, " ", -1)) < EXCERPT_WORDS)
+    shorter = texts.where(F.size("lines") > 0).select("conv_id", "turn", few.alias("few")).select("turn", F.explode(_hashes(F.col("few"))).alias("hash"))
+    return longer.unionByName(shorter).groupBy("hash").agg(F.min("turn").alias("source"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
@@ -76,8 +131,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     parsed = stored(parsed.select("conv_id", "turn", "role", own.alias("own"), own_runs.alias("runs"), quotes.alias("quotes")), "messages")
 
     quoted = parsed.where((F.size("quotes") > 0) & F.col("turn").isNotNull()).select("conv_id", "turn", F.explode("quotes").alias("q")).select(
-        "conv_id", "turn", F.col("q.level").alias("level"), F.explode(_hashes(F.array("q.body"))).alias("hash")
-    )
+        "conv_id", "turn", F.col("q.level").alias("level"), F.explode(_said(F.array("q.body"))).alias("said")
+    ).distinct().withColumn("hash", _key(F.col("said")))
     everything = F.concat(F.array("own"), F.col("runs"), F.split("own", "\n", -1))
     originals = (
         parsed.where("turn IS NOT NULL")
@@ -85,7 +140,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         .groupBy("hash")
         .agg(F.min("turn").alias("source"))
     )
-    linked = quoted.distinct().join(originals, "hash").where("source < turn")
+    quoted = stored(quoted.join(originals, "hash", "left"), "quotes")
+    pending = quoted.where("source IS NULL OR source >= turn").drop("source")
+    found = pending.join(_excerpts(parsed, pending), "hash").where("source < turn")
+    linked = quoted.where("source < turn").unionByName(found)
     # Of the lowest level the latest source.
     replies = linked.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_linked"), (-F.min(F.struct("level", (-F.col("source")).alias("later")))["later"]).alias("parent_turn")

@@ -199,3 +199,23 @@ def test_long_reply_chain(spark):
     rows = [(7, 0, "user", "line 0")] + [(7, t, "user", f"> line {t - 1}\nline {t}") for t in range(1, 70)]
     got = {r.turn: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert all(got[t].root_turn == 0 and got[t].depth == t for t in got)
+
+
+def test_quotes_of_parts(spark):
+    """Passages that are no whole run or line of their source: several lines of it, an excerpt, or wrapped otherwise."""
+    first = "One line to begin with\nthe second line of four\nand here the third one\nthen the end"
+    rows = [
+        (1, 0, first), (1, 1, "> the second line of four\n> and here the third one\nlines 2 and 3"),
+        (1, 2, "> the second line of\n> four and here\n> the third one\nwrapped"), (1, 3, "> second line of four and\nan excerpt"),
+        (1, 4, "> the second line of four\n> then the end\nnot consecutive"), (1, 5, "> econd line of four\nno whole word"),
+        (1, 6, "Alpha\nyes.\nno.\nbeta\n\nA paragraph\nof two lines\n\nLast words"), (1, 7, "> Yes.\n> No.\nshort lines"), (1, 8, "> A paragraph\n> of two lines\na paragraph"),
+        (1, 9, "> Last words\n> here\nends otherwise"), (1, 10, "> with the second\nfew words, no lines"), (1, 11, "> words that come only later on\nfirst"),
+        (1, 12, "There are words that come only later on in this"), (1, 13, "> words that come only later on\nsecond"),
+        (2, 0, "> the second line of four\n> and here the third one\nanother conversation"),
+        (None, 0, first), (None, 1, "> and here the third one then\n> the end\nno id"),
+    ]
+    df = chat.format_conversations(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_linked) for r in df.collect()}
+    linked = {(1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 7): 6, (1, 8): 6, (1, 13): 12, (None, 1): 0}
+    assert got == {(c, t): (linked.get((c, t)), int((c, t) in linked)) for c, t, _ in rows}
+    assert native_only(df)
