@@ -1,8 +1,10 @@
 """License scans by rules over known sentences.
 
-A text is cut into sentences, which are normalised (lower case, words of letters
-and digits, single blanks) and looked up among known licence sentences. What is
-found, in order, is a sequence of sentence identifiers. A rule names the
+A text is cut into parts, which are normalised (lower case, words of letters and
+digits, single blanks). A known licence sentence is found where all its words
+follow each other from the beginning of a part to the end of that or a later
+one, so neither line width nor comment marks matter, and no word of it may be
+missing. What is found, in order, is a sequence of sentence identifiers. A rule names the
 identifiers that must occur in its order, others may lie between; the rules that
 hold are the licences of the text. Everything is array expressions over the row:
 no row is moved.
@@ -63,6 +65,8 @@ HINTS = ("licens", "permission", "permitted", "redistribut", "copyright notice")
 
 # Cut after a mark that ends a sentence, at an empty line, and at a line that begins with a capital, comment marks aside.
 _CUTS = [(r"([.;:!?])\s+", r"\1|"), (r"\n\s*\n", "|"), (r"\n[\s#*/;-]*([A-Z])", r"|\1")]
+# A line that holds comment marks only is empty, too.
+_EMPTY = (r"\n[\s#*/;%!-]*\n", "|")
 
 
 def normalised(sentence: str) -> str:
@@ -70,7 +74,7 @@ def normalised(sentence: str) -> str:
 
 
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence to identifier, each sentence cut the way texts are."""
+    """Normalised sentence to identifier, each sentence cut the way texts are; what the SQL looks up."""
     known = {}
     for name, sentence in SENTENCES.items():
         parts = cut(sentence)
@@ -88,15 +92,22 @@ def cut(text: str) -> list[str]:
     return [part for part in map(normalised, text.split("|")) if part]
 
 
+def _pattern(sentence: str) -> str:
+    """A known sentence in a marked text, whose words have one blank or cut between them."""
+    return "[ |]".join(normalised(sentence).split())
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences, in order."""
     marked = F.translate(text, "|", " ")
-    for pattern, mark in _CUTS:
+    for pattern, mark in [_EMPTY, *_CUTS]:
         marked = F.regexp_replace(marked, pattern, mark.replace("\\1", "$1"))
-    parts = F.split(F.lower(marked), r"\|", -1)
-    parts = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " ")))
-    known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    found = F.filter(F.transform(parts, lambda p: F.try_element_at(known, p)), lambda n: n.isNotNull())
+    marked = F.regexp_replace(F.lower(marked), "[^a-z0-9|]+", " ")
+    marked = F.concat(F.lit("|"), F.regexp_replace(marked, r" ?\|[ |]*", "|"), F.lit("|"))
+    patterns = sorted(map(_pattern, SENTENCES.values()), key=len, reverse=True)
+    whole = F.regexp_extract_all(marked, F.lit(rf"(?<=\|)(?:{'|'.join(patterns)})(?= ?\|)"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (normalised(sentence), name)])
+    found = F.transform(whole, lambda p: F.try_element_at(known, F.translate(p, "|", " ")))
     none = F.array().cast("array<string>")
     return F.when(F.lower(text).rlike("|".join(HINTS)), found).otherwise(none)
 
@@ -127,7 +138,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """The same scan of ``documents`` as DuckDB SQL."""
+    """The scan of ``documents`` as DuckDB SQL, by parts: it does not rejoin sentences that are cut at a line."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     marked = "replace(coalesce(text, ''), '|', ' ')"
     for pattern, mark in _CUTS:

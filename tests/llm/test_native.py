@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -153,6 +154,27 @@ def test_licenses(make_docs):
     assert len(licenses.scan_licenses(make_docs(EDGE)).collect()) == len(EDGE)
 
 
+def test_wrapped_licenses(make_docs):
+    """Licence texts are recognised at every line width and behind comment marks."""
+    s = licenses.SENTENCES
+    mit = ["Copyright (c) 2020 Some One", s["mit-grant"], s["mit-notice-kept"], 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.']
+    apache = [f"{s['apache-you']} {s['apache-use']} {s['apache-copy']}", "http://www.apache.org/licenses/LICENSE-2.0", s["apache-software"]]
+    texts = {("MIT", 2): mit, ("Apache-2.0", 4): apache}
+    rows, want = [], {}
+    for (name, n), paragraphs in texts.items():
+        for width in (30, 45, 60, 66, 72, 79, 100):
+            for mark in ("", "# ", " * ", "// "):
+                lines = f"\n{mark.rstrip()}\n".join(textwrap.fill(p, width, initial_indent=mark, subsequent_indent=mark) for p in paragraphs)
+                want[len(rows)] = (name, n)
+                rows.append((len(rows), f"Some code.\n\n{lines}\n\nMore of it."))
+    # As the MIT licence is usually wrapped.
+    usual = s["mit-grant"].replace("whom the Software", "whom the\nSoftware")
+    rows.append((1000, f"{usual}\n\n{s['mit-notice-kept']}"))
+    want[1000] = ("MIT", 2)
+    got = {r.doc_id: (r.licenses, r.n_sentences) for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert got == want
+
+
 def test_sentences_are_hinted_and_distinct():
     known = licenses.known_sentences()
     assert len(set(known.values())) == len(licenses.SENTENCES)
