@@ -6,7 +6,8 @@ follow each other from the beginning of a part to the end of that or a later
 one, so neither line width nor comment marks matter, and no word of it may be
 missing. What is found, in order, is a sequence of sentence identifiers. A rule names the
 identifiers that must occur in its order, others may lie between; the rules that
-hold are the licences of the text. Everything is array expressions over the row:
+hold are the licences of the text. Sentences of a longer rule do not count for its
+prefix (BSD-3-Clause is no BSD-2-Clause). Everything is array expressions over the row:
 no row is moved.
 
 Defined cases: a null or empty text has no sentences and no licence. A sentence
@@ -60,8 +61,69 @@ RULES = {
     "MPL-2.0": [["mpl-form"]],
     **{f"CC-{e}-{v}": [[f"cc-{e}-{v}".lower()]] for e in _ELEMENTS for v in _VERSIONS},
 }
+
+
+def _gnu(work: str, mark: str, license: str, end: str) -> str:
+    """A GNU notice; versions 2 and 3 differ in the marks around their parts."""
+    return f"This {work} is free software{mark} you can redistribute it and/or modify it under the terms of the {license} as published by the Free Software Foundation{end}"
+
+
+_GPL, _LESSER, _LIBRARY, _AFFERO = (f"GNU {name}General Public License" for name in ("", "Lesser ", "Library ", "Affero "))
+_LATER = "version {} of the License, or (at your option) any later version."
+_ONLY = "version {} of the License."
+_WORKS = ("program", "library", "file", "software")
+# Fixed values: (identifier, sentence), of which an identifier may have several. ``<name>`` is one to twelve words.
+# The SQL knows only ``SENTENCES`` and ``RULES``.
+MORE_SENTENCES = [
+    ("bsd-names", "Neither the name of <name> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-names", "The names of its contributors may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-advertising", "All advertising materials mentioning features or use of this software must display the following acknowledgement:"),
+    *[
+        (f"{short}-{version}{kind}", _gnu(work, ":", name, f", {start}{text.format(version)}"))
+        for work in _WORKS
+        for short, name, versions in (("gpl", _GPL, ("2", "3")), ("lgpl", _LESSER, ("2.1", "3")), ("lgpl", _LIBRARY, ("2",)), ("agpl", _AFFERO, ("3",)))
+        for version in versions
+        for kind, start, text in (("", "either ", _LATER), ("-only", "", _ONLY))
+    ],
+    ("cc0-notice", "Licensed under CC0 1.0."),
+    ("cc0-waived", "To the extent possible under law, <name> waived all copyright and related or neighboring rights to <name>."),
+    ("cc0-dedicated", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    *[
+        (name, f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {version} {text}")
+        for name, version, text in (
+            ("epl-2", "2.0", "which is available at https://www.eclipse.org/legal/epl-2.0/"), ("epl-2", "v. 2.0", "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+            ("epl-2", "2.0", "which is available at http://www.eclipse.org/legal/epl-2.0/"), ("epl-2", "v. 2.0", "which is available at http://www.eclipse.org/legal/epl-2.0/"),
+            ("epl-2", "v2.0", "which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-v20.html"),
+            ("epl-1", "v1.0", "which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+            ("epl-1", "v1.0", "which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-v10.html"),
+        )
+    ],
+    ("unlicense-released", "This is free and unencumbered software released into the public domain."),
+    ("unlicense-anyone", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
+MORE_RULES = {
+    "AGPL-3.0": [["agpl-3-only"]],
+    "AGPL-3.0-or-later": [["agpl-3"]],
+    "BSD-3-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]],
+    "BSD-4-Clause": [["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names"]],
+    "CC0-1.0": [["cc0-notice"], ["cc0-waived"], ["cc0-dedicated"]],
+    "EPL-1.0": [["epl-1"]],
+    "EPL-2.0": [["epl-2"]],
+    "GPL-2.0": [*RULES["GPL-2.0"], ["gpl-2-only"]],
+    "GPL-3.0": [*RULES["GPL-3.0"], ["gpl-3-only"]],
+    "LGPL-2.0": [["lgpl-2-only"]],
+    "LGPL-2.0-or-later": [["lgpl-2"]],
+    "LGPL-2.1": [["lgpl-2.1-only"]],
+    "LGPL-2.1-or-later": [["lgpl-2.1"]],
+    "LGPL-3.0": [["lgpl-3-only"]],
+    "LGPL-3.0-or-later": [["lgpl-3"]],
+    "Unlicense": [["unlicense-released", "unlicense-anyone"]],
+}
+ALL_RULES = RULES | MORE_RULES
+# A rule does not hold by sentences that belong to one of these longer ones.
+LONGER = {"BSD-2-Clause": ["BSD-4-Clause", "BSD-3-Clause"], "BSD-3-Clause": ["BSD-4-Clause"]}
 # Every known sentence has one of these in it; other texts are not cut up.
-HINTS = ("licens", "permission", "permitted", "redistribut", "copyright notice")
+HINTS = ("licens", "permission", "permitted", "redistribut", "copyright notice", "public domain", "neighboring", "advertising")
 
 # Cut after a mark that ends a sentence, at an empty line, and at a line that begins with a capital, comment marks aside.
 _CUTS = [(r"([.;:!?])\s+", r"\1|"), (r"\n\s*\n", "|"), (r"\n[\s#*/;-]*([A-Z])", r"|\1")]
@@ -94,7 +156,8 @@ def cut(text: str) -> list[str]:
 
 def _pattern(sentence: str) -> str:
     """A known sentence in a marked text, whose words have one blank or cut between them."""
-    return "[ |]".join(normalised(sentence).split())
+    words = normalised(sentence.replace("<name>", "0name0")).split()
+    return "[ |]".join("[a-z0-9]+(?:[ |][a-z0-9]+){0,11}?" if w == "0name0" else w for w in words)
 
 
 def sentence_ids(text: Column) -> Column:
@@ -103,11 +166,21 @@ def sentence_ids(text: Column) -> Column:
     for pattern, mark in [_EMPTY, *_CUTS]:
         marked = F.regexp_replace(marked, pattern, mark.replace("\\1", "$1"))
     marked = F.regexp_replace(F.lower(marked), "[^a-z0-9|]+", " ")
-    marked = F.concat(F.lit("|"), F.regexp_replace(marked, r" ?\|[ |]*", "|"), F.lit("|"))
-    patterns = sorted(map(_pattern, SENTENCES.values()), key=len, reverse=True)
-    whole = F.regexp_extract_all(marked, F.lit(rf"(?<=\|)(?:{'|'.join(patterns)})(?= ?\|)"), F.lit(0))
-    known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (normalised(sentence), name)])
-    found = F.transform(whole, lambda p: F.try_element_at(known, F.translate(p, "|", " ")))
+    marked = F.regexp_replace(F.concat(F.lit("|"), marked, F.lit("|")), r" ?\|[ |]*", "|")
+    sentences = [*SENTENCES.items(), *MORE_SENTENCES]
+    patterns = sorted((_pattern(sentence) for _, sentence in sentences), key=len, reverse=True)
+    whole = F.regexp_extract_all(marked, F.lit(rf"(?<=\|)(?:{'|'.join(patterns)})(?=\|)"), F.lit(0))
+    plain = {normalised(sentence): name for name, sentence in sentences if "<name>" not in sentence}
+    known = F.create_map(*[F.lit(x) for pair in plain.items() for x in pair])
+
+    def name_of(found):
+        out = F.try_element_at(known, F.translate(found, "|", " "))
+        for name, sentence in sentences:
+            if "<name>" in sentence:
+                out = F.coalesce(out, F.when(found.rlike(f"^{_pattern(sentence)}$"), F.lit(name)))
+        return out
+
+    found = F.transform(whole, name_of)
     none = F.array().cast("array<string>")
     return F.when(F.lower(text).rlike("|".join(HINTS)), found).otherwise(none)
 
@@ -119,6 +192,16 @@ def _holds(sequence: Column, alternatives: list[list[str]]) -> Column:
     return out
 
 
+def _without_longer(sequence: Column, rule: str) -> Column:
+    """The sequence without what belongs to rules that go on where ``rule`` ends."""
+    for longer in LONGER.get(rule, ()):
+        for first, *names in ALL_RULES[longer]:
+            # Not over a second beginning.
+            others = rf"(?:<(?!{re.escape(first)}>)[^>]*>)*?"
+            sequence = F.regexp_replace(sequence, f"<{re.escape(first)}>" + "".join(f"{others}<{re.escape(n)}>" for n in names), "")
+    return sequence
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_sentences, sentence_ids, licenses)`` for each row of ``docs(doc_id, text)``.
 
@@ -127,7 +210,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentence_ids(text).alias("ids"))
     sequence = F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))
-    rules = F.array(*[F.when(_holds(sequence, RULES[name]), F.lit(name)) for name in sorted(RULES)])
+    rules = F.array(*[F.when(_holds(_without_longer(sequence, name), ALL_RULES[name]), F.lit(name)) for name in sorted(ALL_RULES)])
     licenses = F.when(F.size("ids") > 0, F.array_join(rules, ",")).otherwise(F.lit(""))
     return found.select(
         "doc_id",

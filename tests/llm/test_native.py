@@ -175,6 +175,33 @@ def test_wrapped_licenses(make_docs):
     assert got == want
 
 
+def test_more_licenses(make_docs):
+    """Versions of GNU notices, the longer of two rules, and licences the SQL does not know."""
+    s = licenses.SENTENCES
+    bsd = f"{s['bsd-grant']}\n\n1. {s['bsd-source']}\n\n2. {s['bsd-binary']}\n\n"
+    names = "3. Neither the name of the copyright\n   holder nor the names of its contributors may be used to endorse or promote\n   products derived from this software without specific prior written permission.\n\n"
+    advertising = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\nThis product includes software.\n\n"
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; {} of the License{}"
+    lgpl = gpl.replace("program", "library").replace("General", "Lesser General")
+    later = ", or\n(at your option) any later version."
+    cases = [
+        (bsd, "BSD-2-Clause"), (bsd + names, "BSD-3-Clause"), (bsd + advertising + names.replace("3.", "4."), "BSD-4-Clause"),
+        (bsd + names + bsd, "BSD-2-Clause,BSD-3-Clause"), (bsd + bsd + names, "BSD-2-Clause,BSD-3-Clause"),
+        (gpl.format("either version 2", later), "GPL-2.0-or-later"), (gpl.format("either version 3", later), "GPL-3.0-or-later"),
+        (gpl.format("version 2", "."), "GPL-2.0"), (gpl.format("version 3", "."), "GPL-3.0"), (gpl.format("", "."), ""), (s["gpl-2"], "GPL-2.0-or-later"), (s["gpl-3"], "GPL-3.0-or-later"),
+        (lgpl.format("either\nversion 2.1", later), "LGPL-2.1-or-later"), (lgpl.format("version 2.1", "."), "LGPL-2.1"), (lgpl.format("either version 3", later), "LGPL-3.0-or-later"),
+        (gpl.replace("General", "Affero General").format("either version 3", later), "AGPL-3.0-or-later"),
+        ("To the extent possible under law, Some One has waived all copyright and\nrelated or neighboring rights to This Work.", "CC0-1.0"),
+        ("# This program and the accompanying materials are made\n# available under the terms of the Eclipse Public License 2.0\n# which is available at https://www.eclipse.org/legal/epl-2.0/\n#\n# SPDX", "EPL-2.0"),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n", "Unlicense"),
+        ("This is free and unencumbered software released into the public domain.", ""),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(make_docs([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(cases)}
+    assert {n for rule in licenses.ALL_RULES.values() for names in rule for n in names} <= {*licenses.SENTENCES, *(n for n, _ in licenses.MORE_SENTENCES)}
+    assert all(any(h in sentence.lower() for h in licenses.HINTS) for name, sentence in licenses.MORE_SENTENCES if name != "unlicense-anyone")
+
+
 def test_sentences_are_hinted_and_distinct():
     known = licenses.known_sentences()
     assert len(set(known.values())) == len(licenses.SENTENCES)
