@@ -2,7 +2,7 @@
 
 Each stage is stored as Parquet in the shared folder and read again. Language
 identification learns from the labelled documents it is given and keeps what it
-can name; the dedup stages keep one document of each group; decontamination
+can name (without labels nothing); the dedup stages keep one document of each group; decontamination
 drops documents with a benchmark passage; the last stage encodes what is left.
 """
 
@@ -16,7 +16,7 @@ from scoreloom.llm.common import stored, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs, language.learn(docs))
+    found = language.identify(docs, language.learn(docs, required=False))
     return found.where("NOT lang_found.rejected").select("row.*")
 
 

@@ -22,7 +22,7 @@ def _held_out():
 
 def op2_language_id(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    content = language.learn(docs.where(~F.coalesce(_held_out(), F.lit(False))))
+    content = language.learn(docs.where(~F.coalesce(_held_out(), F.lit(False))), required=False)
     found = language.identify(docs.select("doc_id", "text"), content).select("row.doc_id", "lang_found.*")
     held_out = F.coalesce(_held_out(), F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score", "rejected")

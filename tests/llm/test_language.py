@@ -44,3 +44,33 @@ def test_one_language_and_none(make_docs, empty):
     assert language.identify(empty, content).count() == 0
     with pytest.raises(ValueError):
         language.learn(empty)
+
+
+def test_any_text_lengths(make_docs):
+    """Languages that have only short, only few or only very long texts are learned, within the bound on bytes."""
+    words = {"a": "amber lantern meadow quiet winter", "b": "zorgt vlieger kamer huisje molen", "c": "puente ventana ciudad camino verano", "d": "xqo"}
+    short = [(i, f"{w} {i}", lang) for lang, n in (("a", 40), ("d", 1)) for i, w in enumerate([words[lang]] * n)]
+    long = [(1000 + i, f"{words['b']} {i} " * 3000, "b") for i in range(3)]
+    some = [(2000 + i, f"{words['c']} {i} " * n, "c") for i, n in enumerate([10, 1, 1000])]
+    content = language.learn(make_docs([*short, *long, *some, (3000, "12 34", "e")]), texts=5)
+    assert set(content) == {"a", "b", "c", "d"} and all(0 < len(c) <= 5 * language.SAMPLE_BYTES[1] for c in content.values())
+    assert content["a"].count(b"\n") == 39 and len(content["b"]) > 19_000 and content["c"].endswith(f"{words['c']} 0 ".encode())
+    judge = language.Classifier(content)
+    assert [judge.classify(words[lang].encode())[0] for lang in "abc"] == ["a", "b", "c"]
+
+
+def test_many_short_texts_are_drawn(make_docs):
+    content = language.learn(make_docs([(i, f"brief text {i}", "en") for i in range(3000)]), texts=2)
+    assert 7_900 <= len(content["en"]) <= 8_000
+
+
+def test_no_labels(make_docs, empty):
+    content = language.learn(empty, required=False)
+    rows = language.identify(make_docs([(1, "some words to read"), (2, None)]), content).select("lang_found.*").collect()
+    assert content == {} and [tuple(r) for r in rows] == [("und", 0.0, True)] * 2
+
+
+def test_query_without_labels(spark, make_docs, tmp_path):
+    make_docs([(1, "short title", None), (2, "another one", None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_language_id(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in got) == [(1, "und", 0.0), (2, "und", 0.0)]
