@@ -1,7 +1,9 @@
 """Personal data by weak supervision.
 
-Candidates are spans of four kinds: the base patterns, and looser ones. Three
-labelers vote on each: the *regex* labeler (does the strict pattern hold), the
+Candidates are spans of four kinds: the base patterns, and looser ones: other
+spellings, matches that fail their check, and spans of no certain form that the
+gazetteer or context labeler proposes. Three labelers vote on each: the *regex*
+labeler (does the strict pattern hold for the span in its usual spelling), the
 *gazetteer* labeler (does the span contain a known mail host or number prefix)
 and the *context* labeler (does a word before the span announce the kind). Votes
 are counted per kind; expectation-maximisation over these counts, of which there
@@ -14,7 +16,7 @@ All positions are code points. Only counts of votes and features, whose number
 does not depend on the rows, leave the scan.
 
 Defined cases: a null text counts as empty; an empty text has no spans. A match
-of a base pattern that fails its check is no span, and is not tried again at
+of a base pattern that fails its check is no base span, and is not tried again at
 another place. With no candidates there is no model and no further span.
 Repeated rows and null ids are kept. Other columns are not read.
 """
@@ -38,11 +40,24 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Looser spans: an address spelled out; a number with separators and no leading plus.
+# Looser spans: an address spelled out; numbers with other separators, and no leading plus.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(]? ?(?:\.|dot) ?[\])]? ?[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,3}[0-9]{4}){2}[ ._/-]{1,3}[0-9]{2,7}(?![0-9])",
     "phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
 }
+# Spans of no certain form, which are candidates where the gazetteer or the context labeler proposes them.
+OPEN = {
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9.,:-])[0-9]{1,3}(?:[ ,:_-][0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{2,6}(?:[ ._/-]{1,3}[0-9]{2,6}){2,6}(?![0-9])",
+    "phone": r"(?<![0-9+(.-])(?:[0-9]{7,15}|\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}[0-9]{2,4}){1,4})(?![0-9])",
+}
+# Which labelers propose; a prefix alone says nothing about a number.
+PROPOSERS = {"email": ("gazetteer", "context"), "ip": ("context",), "card": ("context",), "phone": ("context",)}
+# Numbers of digits of a candidate, also of a match of the base pattern that fails its check.
+DIGITS = {"ip": (4, 14), "card": (13, 19), "phone": (7, 18)}
 # What a text must contain for a pattern to match at all.
 _NEEDS = {"email": "@", "phone": "+"}
 # Gazetteers and context words, as patterns over a span and over the 24 characters before it.
@@ -61,6 +76,8 @@ CONTEXT = {
 CONTEXT_CHARS = 24
 ROUNDS = 20
 ACCEPT = 0.9
+# Base patterns for matches that may fail; of runs of digits only those that are long enough, as others are many.
+FAILED = BASE | {"card": r"[0-9](?:[\x20-]?[0-9]){12,}+"}
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -114,22 +131,62 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(needed, found).otherwise(F.array().cast("array<struct<start:int,end:int,span:string>>"))
 
 
-def _loose_spans(text: Column, kind: str) -> Column:
-    """Looser spans that no base span of the kind overlaps."""
-    base = F.col(f"_{kind}")
-    found = F.filter(
-        spans_of(text, LOOSE[kind]),
-        lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    needed = text.rlike(r"[\[(] ?at ?[\])]") if kind == "email" else text.rlike(r"[0-9]{3}[ .-][0-9]{4}")
-    return F.when(needed, found).otherwise(F.array().cast("array<struct<start:int,end:int,span:string>>"))
+def _plausible(kind: str, span: Column) -> Column:
+    return F.length(_digits(span)).between(*DIGITS[kind]) if kind in DIGITS else F.lit(True)
+
+
+def canonical(kind: str, span: Column) -> Column:
+    """A looser span as the base pattern would have it."""
+    if kind == "email":
+        at = F.regexp_replace(span, r" ?[\[(] ?at ?[\])] ?| at ", "@")
+        return F.regexp_replace(at, r" ?[\[(] ?dot ?[\])] ?| dot ", ".")
+    if kind == "ip":
+        return F.regexp_replace(span, "[^0-9]+", ".")
+    return _digits(span) if kind == "card" else span
 
 
-def _votes(kind: str, span: Column, before: Column, strict: bool) -> list[Column]:
-    """1 for, 0 abstaining, -1 against; one column per labeler."""
+def strict(kind: str, span: Column) -> Column:
+    """Does the base pattern hold for all of the canonical span, and its check; a phone may have a national number."""
+    if kind == "phone":
+        return (span.startswith("+") & valid(kind, span)) | _digits(span).rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$")
+    return canonical(kind, span).rlike(f"^(?:{BASE[kind]})$") & valid(kind, canonical(kind, span))
+
+
+def before_of(text: Column, start: Column) -> Column:
+    return F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
+
+
+def _loose_spans(text: Column, kind: str) -> Column:
+    """Looser spans that no base span overlaps, with ``open`` for those that a labeler had to propose."""
+    apart = lambda s, others: ~F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    as_found = lambda is_open: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["span"].alias("span"), F.lit(is_open).alias("open"))
+    none = F.array().cast("array<struct<start:int,end:int,span:string,open:boolean>>")
+    base = F.concat(*[F.col(f"_{k}") for k in KINDS])
+    loose = F.filter(spans_of(text, LOOSE[kind]), lambda s: _plausible(kind, s["span"]))
+    loose = F.transform(loose, as_found(False))
+    if kind != "email":
+        # Matches that fail their check.
+        failed = F.filter(spans_of(text, FAILED[kind]), lambda s: _plausible(kind, s["span"]) & ~valid(kind, s["span"]))
+        loose = F.aggregate(F.transform(failed, as_found(False)), loose, lambda done, s: F.when(apart(s, done), F.concat(done, F.array(s))).otherwise(done))
+
+    def proposed(s):
+        by = {"gazetteer": canonical(kind, s["span"]).rlike(GAZETTEER[kind]), "context": before_of(text, s["start"]).rlike(CONTEXT[kind])}
+        out = F.lit(False)
+        for name in PROPOSERS[kind]:
+            out = out | by[name]
+        return out & _plausible(kind, s["span"])
+
+    more = F.transform(F.filter(spans_of(text, OPEN[kind]), proposed), as_found(True))
+    found = F.aggregate(more, loose, lambda done, s: F.when(apart(s, done), F.concat(done, F.array(s))).otherwise(done))
+    needed = text.rlike(r"[\[(] ?at ?[\])]| at [A-Za-z0-9-]+ dot ") if kind == "email" else text.rlike({"ip": r"[0-9][^0-9]{1,9}[0-9]", "card": "[0-9]{2}", "phone": "[0-9]{2}"}[kind])
+    return F.when(needed, F.filter(found, lambda s: apart(s, base))).otherwise(none)
+
+
+def _votes(kind: str, span: Column, before: Column, certain: Column) -> list[Column]:
+    """1 for, 0 abstaining, -1 against; one column per labeler. The regex labeler is not sure of spans of no certain form."""
     return [
-        F.lit(1 if strict else -1).alias("v_regex"),
-        F.when(span.rlike(GAZETTEER[kind]), 1).otherwise(-1).alias("v_gazetteer"),
+        F.when(~F.coalesce(strict(kind, span), F.lit(False)), -1).when(certain, 1).otherwise(0).alias("v_regex"),
+        F.when(canonical(kind, span).rlike(GAZETTEER[kind]), 1).otherwise(-1).alias("v_gazetteer"),
         F.when(before.rlike(CONTEXT[kind]), 1).otherwise(0).alias("v_context"),
     ]
 
@@ -176,7 +233,7 @@ def labeler_reliability(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def _features(span: Column, before: Column) -> list[Column]:
-    """Shape features of a span, each with few values."""
+    """Shape features of a span, each with few values; its votes are added to them."""
     size = F.least(F.floor(F.length(span) / 4), F.lit(8)).cast("string")
     digits = F.least(F.length(_digits(span)), F.lit(20)).cast("string")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(span, "[0-9]+", "9"), "[A-Za-z]+", "a"), "[^9a]+", "-")
@@ -189,8 +246,10 @@ def _features(span: Column, before: Column) -> list[Column]:
 
 
 def train_span_classifier(candidates: DataFrame, posteriors: DataFrame) -> DataFrame:
-    """``(kind, base, weights map<feature, log-odds>)``: naive Bayes over soft labels, add-one smoothed.
+    """``(kind, base, weights map<feature, log-odds>)``: naive Bayes over soft labels.
 
+    A feature's share in a class is smoothed by one candidate of its share in both:
+    without evidence against it a rare feature decides nothing.
     Both tables are bounded by the numbers of kinds and of feature values.
     """
     soft = candidates.groupBy("kind", *LABELERS, "features").agg(F.count("*").alias("n")).join(
@@ -199,9 +258,11 @@ def train_span_classifier(candidates: DataFrame, posteriors: DataFrame) -> DataF
     yes, no = F.sum(F.col("n") * F.col("q")), F.sum(F.col("n") * (1 - F.col("q")))
     totals = soft.groupBy("kind").agg((yes + 1).alias("all_yes"), (no + 1).alias("all_no"))
     counts = soft.select("kind", "n", "q", F.explode("features").alias("feature")).groupBy("kind", "feature").agg(
-        (yes + 1).alias("yes"), (no + 1).alias("no")
+        yes.alias("yes"), no.alias("no")
     )
-    odds = F.log(F.col("yes") / (F.col("all_yes") + 1)) - F.log(F.col("no") / (F.col("all_no") + 1))
+    # ``all_yes`` and ``all_no`` hold the added candidate.
+    share = (F.col("yes") + F.col("no")) / (F.col("all_yes") + F.col("all_no") - 2)
+    odds = F.log((F.col("yes") + share) / F.col("all_yes")) - F.log((F.col("no") + share) / F.col("all_no"))
     return (
         counts.join(F.broadcast(totals), "kind")
         .groupBy("kind")
@@ -223,14 +284,15 @@ def find_personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` for each row of ``docs(doc_id, text)``."""
     text = F.col("_text")
 
-    def judged(kind, strict):
+    def judged(kind, base):
         """A span with its votes and features; the text of the span itself is not kept."""
 
         def build(s):
-            before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
+            before = before_of(text, s["start"])
+            votes = [F.lit(1).alias("v_regex"), *_votes(kind, s["span"], before, F.lit(True))[1:]] if base else _votes(kind, s["span"], before, ~s["open"])
             return F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(strict).alias("strict"),
-                *_votes(kind, s["span"], before, strict), F.array(*_features(s["span"], before)).alias("features"),
+                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("strict"),
+                *votes, F.array(*_features(s["span"], before), *[F.concat(F.lit(f"{n} "), v.cast("string")) for n, v in zip(LABELERS, votes)]).alias("features"),
             )
 
         return build

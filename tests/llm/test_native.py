@@ -103,6 +103,21 @@ def test_looser_spans_are_added(make_docs):
     assert got[100] in ("", "phone:14:26")
 
 
+def test_clear_looser_spans_are_added(make_docs):
+    """Clear spans of all kinds in other spellings are accepted, and unlikely ones are not."""
+    rows = [(i, f"write an email to joe{i}@mail{i}.example.com or call +1 (212) 555-01{i:02d} today, server 10.0.0.{i}, card 4111 1111 1111 1111") for i in range(80)]
+    loose = {
+        100: ("call my phone 212-555-0199 now", "phone:14:26"), 101: ("mail joe [at] mail [dot] com now", "email:5:28"),
+        102: ("the server 192[.]168[.]0[.]7 is up", "ip:11:28"), 103: ("my card 4111.1111.1111.1111 is new", "card:8:27"),
+        104: ("no data", ""), 105: ("the value 900.800.700.999 of it", ""), 106: ("write to joe at mail dot com now", "email:9:28"),
+        107: ("about 7777 7777 7777 7772 units", ""), 108: ("the host 10 0 0 7 is up", "ip:9:17"),
+    }
+    df = pii.find_personal_data(make_docs(rows + [(i, text) for i, (text, _) in loose.items()]))
+    got = {r.doc_id: r.spans for r in df.collect()}
+    assert {i: got[i] for i in loose} == {i: spans for i, (_, spans) in loose.items()}
+    assert native_only(df)
+
+
 def test_shards(make_docs, small):
     rows = [(r[0], r[1]) for r in EDGE] + [(r.doc_id + 100, r.text) for r in small.collect()]
     placed, slot_map = sharding.shard_documents(make_docs(rows))
