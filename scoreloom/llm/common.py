@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,3 +84,45 @@ def only_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     """
     wanted = ids.select(F.col(key).alias("_wanted")).hint("merge")
     return docs.join(wanted, same_id(docs[key], wanted["_wanted"]), "left_semi")
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches of rows sorted by ``keys``, cut so that groups are whole: ``(batch, [(start, end, whole)])``.
+
+    The last group of a batch is held back until its end is seen. With ``most``, a group of more rows
+    is given out in pieces as it comes, and ``whole`` is false for all of them.
+    """
+    held, begun = None, None
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is None:
+            if held is None:
+                return
+            rows, last = held, True
+        else:
+            rows, last = batch if held is None else pa.concat_batches([held, batch]), False
+        columns = [rows.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(rows.num_rows, dtype=bool)
+        change[0] = True
+        for column in columns:
+            change[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(change).tolist()
+        # The key of a group of which a piece has been given out.
+        first = tuple(column[0] for column in columns)
+        goes_on = begun is not None and begun == first
+        ends = [*starts[1:], rows.num_rows]
+        bounds = [[s, e, most is None or e - s <= most] for s, e in zip(starts, ends)]
+        if goes_on:
+            bounds[0][2] = False
+        held = None
+        begun = None
+        if not last:
+            start, end, whole = bounds[-1]
+            if whole:
+                held = rows.slice(start)
+                bounds.pop()
+            else:
+                begun = tuple(column[start] for column in columns)
+        if bounds:
+            yield rows.slice(0, bounds[-1][1]), [tuple(b) for b in bounds]
