@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.sources.labels import number_classes, stored_table
+from scoreloom.sources.labels import dictionary_of, number_classes
+
 
 @dataclasses.dataclass(frozen=True)
 class Scaler:
@@ -60,26 +62,24 @@ def fit_contract(df: DataFrame, columns: list[str], label_column: str) -> Contra
     the scaler; a null name counts for the scaler only.
     """
     k = range(len(columns))
-    per_class = stored_table(
+    per_class = number_classes(
         df.groupBy(F.col(label_column).alias("class_name")).agg(
             F.count("*").alias("n"),
             *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)],
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
             *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
-        ),
-        "class_statistics",
+        )
     )
     total = per_class.agg(
-        *[(F.sum(F.col(f"c{i}") * F.col(f"m{i}")) / F.sum(f"c{i}")).alias(f"m{i}") for i in k],
-        *[F.sum(f"c{i}").alias(f"c{i}") for i in k],
-    ).first()
-    spread_ = per_class.agg(
-        *[F.sum(F.col(f"c{i}") * (F.col(f"v{i}") + F.pow(F.col(f"m{i}") - F.lit(total[f"m{i}"]), 2))).alias(f"s{i}") for i in k]
-    ).first()
-    stddev = lambda i: (spread_[f"s{i}"] / (total[f"c{i}"] - 1)) ** 0.5 if (total[f"c{i}"] or 0) > 1 else 0.0
-    scaler = Scaler(tuple(columns), tuple(float(total[f"m{i}"] or 0.0) for i in k), tuple(stddev(i) for i in k))
-    dictionary = stored_table(number_classes(per_class.select("class_name", "n")), "label_dictionary")
-    return Contract(scaler, dictionary)
+        *[(F.sum(F.col(f"c{i}") * F.col(f"m{i}")) / F.sum(f"c{i}")).alias(f"mean{i}") for i in k],
+        *[F.sum(f"c{i}").alias(f"count{i}") for i in k],
+    )  # one row
+    within = lambda i: F.col(f"c{i}") * (F.col(f"v{i}") + F.pow(F.col(f"m{i}") - F.col(f"mean{i}"), 2))
+    row = per_class.join(F.broadcast(total), how="cross").groupBy(*total.columns).agg(*[F.sum(within(i)).alias(f"s{i}") for i in k]).first()
+    value = lambda name: float((row[name] if row else None) or 0.0)
+    stddev = lambda i: (value(f"s{i}") / (value(f"count{i}") - 1)) ** 0.5 if value(f"count{i}") > 1 else 0.0
+    scaler = Scaler(tuple(columns), tuple(value(f"mean{i}") for i in k), tuple(stddev(i) for i in k))
+    return Contract(scaler, dictionary_of(per_class))
 
 
 def _unknown(what: str, column: Column) -> Column:
@@ -111,9 +111,12 @@ def with_class_weights(df: DataFrame, num_classes: int, counts: DataFrame | None
     A label outside the dictionary, or none, is an error, at any number of classes.
     """
     if counts is None:
-        counts = stored_table(df.groupBy("label").agg(F.count("*").alias("n")), "class_counts")
-    inside = counts.where(F.col("label").between(0, num_classes - 1))
-    known = weights_of(inside, num_classes).select(F.col("label").alias("_label"), F.col("weight").alias("_weight"))
+        counts = df.groupBy("label").agg(F.count("*").alias("n"))
+    # At most a row for each class of the model; the planner knows the size of such a list.
+    inside = {r["label"]: r["n"] for r in counts.where(F.col("label").between(0, num_classes - 1)).select("label", "n").collect()}
+    total = sum(inside.values())
+    weights = pa.table({"_label": pa.array(inside, pa.int64()), "_weight": pa.array([total / (num_classes * n) for n in inside.values()], pa.float64())})
+    known = df.sparkSession.createDataFrame(weights)
     found = F.coalesce("_weight", _unknown(f"label outside 0..{num_classes - 1}", F.col("label")).cast("double"))
     return df.join(known, F.col("label") == F.col("_label"), "left").withColumn("weight", found).drop("_label", "_weight")
 

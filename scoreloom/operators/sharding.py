@@ -21,10 +21,14 @@ def shard_count(rows: int, at_least: int, rows_per_shard: int = ROWS_PER_SHARD)
     return max(at_least, -(-rows // rows_per_shard))
 
 
+def place(row_id: Column) -> Column:
+    """Row number to 0..2^31-1, evenly and one to one for any 2^31 numbers in a row."""
+    return F.pmod(F.pmod(row_id, F.lit(SPREAD_MODULUS)) * F.lit(SPREAD_FACTOR), F.lit(SPREAD_MODULUS))
+
+
 def spread(row_id: Column, n: int) -> Column:
-    """Row number to 0..n-1, evenly."""
-    mixed = F.pmod(F.pmod(row_id, F.lit(SPREAD_MODULUS)) * F.lit(SPREAD_FACTOR), F.lit(SPREAD_MODULUS))
-    return F.shiftright(mixed * F.lit(n), 31).cast("int")
+    """Row number to 0..n-1, evenly; rises with the place."""
+    return F.shiftright(place(row_id) * F.lit(n), 31).cast("int")
 
 
 def assign_shards(df: DataFrame, num_shards: int) -> DataFrame:
@@ -39,8 +43,11 @@ def repartition_shards(df: DataFrame, num_shards: int) -> DataFrame:
 
 def shard_manifest(df: DataFrame, num_shards: int, path: str | None = None) -> DataFrame:
     """``(shard, path, n_rows)`` for all shards, the empty ones with no path and 0 rows."""
-    counts = df.groupBy("shard").agg(F.count("*").alias("n_rows"))
-    every = df.sparkSession.range(num_shards).select(F.col("id").cast("int").alias("shard"))
+    return _filled(df.groupBy("shard").agg(F.count("*").alias("n_rows")), num_shards, path)
+
+
+def _filled(counts: DataFrame, num_shards: int, path: str | None) -> DataFrame:
+    every = counts.sparkSession.range(num_shards).select(F.col("id").cast("int").alias("shard"))
     location = F.concat(F.lit(f"{path or ''}/shard="), F.col("shard"))
     return every.join(counts, "shard", "left").select(
         "shard",
@@ -49,6 +56,12 @@ def shard_manifest(df: DataFrame, num_shards: int, path: str | None = None) -> D
     )
 
 
+def stored_manifest(files: DataFrame, num_shards: int, path: str) -> DataFrame:
+    """The manifest of stored shards from ``files(shard, path, n_rows)``; one row per file comes back to be kept as a list."""
+    held = files.groupBy("shard").agg(F.sum("n_rows").alias("n_rows")).toArrow()
+    return _filled(files.sparkSession.createDataFrame(held), num_shards, path)
+
+
 def drop_empty_shards(manifest: DataFrame) -> DataFrame:
     return manifest.where(F.col("n_rows") > 0)
 

@@ -4,8 +4,10 @@ A step is one aggregation over the rows of its batch: tasks add up gradients,
 groups of tasks merge them, and the driver applies one update of model size. The
 outcome depends on the rows of a batch and not on how they are split.
 
-Rows are stored once, placed and batched by row number, sorted by batch within
-files, so that a step reads the files and row groups of its batch only.
+Rows are stored once, sorted by a random place that follows from the row number.
+Blocks are ranges of places. Every epoch puts the blocks in another order and
+takes its batches from it, so a batch has other rows in every epoch and a step
+reads its blocks only.
 """
 
 from __future__ import annotations
@@ -16,19 +18,25 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import forward, updates
 from scoreloom.functions.updates import TrainState
 from scoreloom.model import Model, ModelShape, WEIGHT_NAMES
-from scoreloom.operators.sharding import ROWS_PER_SHARD, spread
-from scoreloom.sources.shards import read_shard, write_shards
+from scoreloom.operators.clean import REASON, RowCounts
+from scoreloom.operators.sharding import ROWS_PER_SHARD, SPREAD_MODULUS, place, spread
+from scoreloom.sources.shards import CHUNK_ROWS, read_shard, write_shards
 
 # Groups of tasks whose vectors are merged before they are exploded or collected.
-FAN_IN = 32
+FAN_IN = 8
 # Rows of the stored table that differ by the seed are apart by this many.
 SEED_STRIDE = 7919
+# Blocks that a batch is put together from.
+BLOCKS_PER_BATCH = 8
+# A prime, and shifts of the order of blocks by epoch, by seed and in any case.
+ORDER_PRIME = (1 << 31) - 1
+ORDER_STRIDES = (1_640_531_527, 1_013_904_223, 362_437)
 PART_SCHEMA = (
     "task int, n bigint, loss_sum double, correct bigint, vector array<double>, "
     "shards array<int>, shard_rows array<bigint>, shard_seconds array<double>"
@@ -164,59 +172,97 @@ def name_components(values: DataFrame, shape: ModelShape) -> DataFrame:
 
 
 @dataclasses.dataclass(frozen=True)
-class StoredBatches:
-    """Training rows on disk: ``num_shards`` shards, and ``num_batches`` batches over all of them."""
+class StoredBlocks:
+    """Training rows on disk, sorted by place, and the blocks of places that batches are put together from.
 
-    spark: SparkSession
-    path: str
-    num_shards: int
-    num_batches: int
-
-    def rows(self) -> DataFrame:
-        return read_shard(self.spark, self.path)
+    A block is a range of places, ``num_blocks`` of them over all shards. An epoch puts the blocks in a
+    random order of its own; its batches are slices of ``per_batch`` blocks of that order.
+    """
 
-    def batch(self, k: int) -> DataFrame:
-        """Rows of one batch. Shard and batch rise together, so the shards it can lie in are known."""
-        low = k * self.num_shards // self.num_batches
-        high = (k + 1) * self.num_shards // self.num_batches
-        return self.rows().where(F.col("shard").between(low, high) & (F.col("batch") == k))
+    table: DataFrame
+    num_shards: int
+    num_blocks: int
+    per_batch: int
+    rows: int
+
+    @property
+    def num_batches(self) -> int:
+        return -(-self.num_blocks // self.per_batch)
+
+    def batches(self, epoch: int, seed: int) -> list[list[int]]:
+        """The blocks of each batch of an epoch."""
+        order = block_order(self.num_blocks, epoch, seed).tolist()
+        return [order[at : at + self.per_batch] for at in range(0, self.num_blocks, self.per_batch)]
+
+    def batch(self, blocks: list[int]) -> DataFrame:
+        """Rows of the blocks. Shard and place rise together, so a block names its shards; row groups
+        and pages of a file are ranges of places, so the scan reads little besides the blocks."""
+        shards, inside = set(), F.lit(False)
+        for b in blocks:
+            shards.update(range(b * self.num_shards // self.num_blocks, ((b + 1) * self.num_shards - 1) // self.num_blocks + 1))
+            low, high = (-(-k * SPREAD_MODULUS // self.num_blocks) for k in (b, b + 1))
+            inside = inside | ((F.col("place") >= low) & (F.col("place") < high))
+        return self.table.where(F.col("shard").isin(sorted(shards)) & inside)
+
+
+def store_blocks(
+    samples: DataFrame,
+    path: str,
+    num_shards: int,
+    batch_size: int | None = None,
+    num_batches: int | None = None,
+    seed: int = 0,
+    source_rows: int | None = None,
+    per_batch: int = BLOCKS_PER_BATCH,
+) -> StoredBlocks:
+    """Store ``samples(row_id, features, label, weight)`` for training, in one pass.
+
+    Samples may still have their rejected rows, marked by :func:`mark_malformed`. Either the size of a batch or the number of batches of an epoch is given. A row's place is its
+    spread row number, whatever the shards are; how many rows there are is counted by the tasks
+    that write them. ``source_rows``, an upper bound such as the row count of the source's footers,
+    says how many tasks should write a shard.
+    """
+    if source_rows is None:
+        source_rows = samples.count()
+    number = F.col("row_id") + F.lit(seed * SEED_STRIDE)
+    stored = samples.select("row_id", "features", "label", "weight", spread(number, num_shards).alias("shard"), place(number).alias("place"))
+    placed = samples.select(*[samples[c] for c in ("row_id", "features", "label", "weight", REASON) if c in samples.columns], number.alias("_number"))
+    placed = placed.withColumns({"shard": spread(F.col("_number"), num_shards), "place": place(F.col("_number"))})
+    tasks = max(1, -(-source_rows // (num_shards * ROWS_PER_SHARD)))
+    block_rows = batch_size // per_batch if batch_size else CHUNK_ROWS
+    counted = RowCounts()
+    write_shards(placed, path, num_shards, tasks, number="_number", order="place", group_rows=block_rows, counted=counted)
+    rows = counted.kept()
+    if not rows:
+        raise ValueError("no training rows")
+    table = read_shard(samples.sparkSession, path, schema=stored.schema)
+    return StoredBlocks(table, num_shards, (num_batches or -(-rows // batch_size)) * per_batch, per_batch, rows)
 
 
-def store_batches(
-    samples: DataFrame, path: str, num_shards: int, batch_size: int | None = None, num_batches: int | None = None, seed: int = 0
-) -> StoredBatches:
-    """Store ``samples(row_id, features, label, weight)`` for training.
+def block_order(num_blocks: int, epoch: int, seed: int) -> np.ndarray:
+    """The order of blocks in an epoch: by the fifth power of the shifted block number, modulo a prime.
 
-    Either the size of a batch or the number of batches is given. Batches are even
-    slices of the spread row numbers; how many tasks write a shard follows from the rows.
+    Five has no factor in common with the prime less one, so no two blocks have the same power.
     """
-    rows = samples.count()
-    if not rows:
-        raise ValueError("no training rows")
-    count = num_batches or -(-rows // batch_size)
-    number = F.col("row_id") + F.lit(seed * SEED_STRIDE)
-    placed = samples.select(
-        "row_id", "features", "label", "weight",
-        spread(number, num_shards).alias("shard"), spread(number, count).alias("batch"), number.alias("_number"),
-    )
-    tasks = -(-rows // (num_shards * ROWS_PER_SHARD))
-    write_shards(placed, path, num_shards, tasks, number="_number", order="batch")
-    return StoredBatches(samples.sparkSession, path, num_shards, count)
+    if num_blocks >= ORDER_PRIME:
+        raise ValueError(f"at most {ORDER_PRIME - 1} blocks")
+    x = (np.arange(num_blocks, dtype=np.int64) + order_shift(epoch, seed)) % ORDER_PRIME
+    square = x * x % ORDER_PRIME
+    return np.argsort(square * square % ORDER_PRIME * x % ORDER_PRIME, kind="stable")
 
 
-def batch_sequence(num_batches: int, epoch: int, seed: int) -> list[int]:
-    """The order in which an epoch visits its batches."""
-    return np.random.default_rng([seed, epoch]).permutation(num_batches).tolist()
+def order_shift(epoch: int, seed: int) -> int:
+    return (epoch * ORDER_STRIDES[0] + seed * ORDER_STRIDES[1] + ORDER_STRIDES[2]) % ORDER_PRIME
 
 
 def train_epoch(
-    batches: StoredBatches, state: TrainState, shape: ModelShape, learning_rate: float, epoch: int, seed: int = 0
+    stored: StoredBlocks, state: TrainState, shape: ModelShape, learning_rate: float, epoch: int, seed: int = 0
 ) -> tuple[TrainState, GradientSums]:
     """One update per batch, from the gradient of its mean weighted loss; one job each."""
     state, totals = state.copy(), GradientSums(0, 0.0, 0, None)
-    for step in batch_sequence(batches.num_batches, epoch, seed):
+    for step, blocks in enumerate(stored.batches(epoch, seed)):
         key = (seed, epoch, step) if shape.dropout > 0 else None
-        found = gradient_sums(batches.batch(step), state.model(shape), key)
+        found = gradient_sums(stored.batch(blocks), state.model(shape), key)
         if not found.n:
             continue  # more batches than rows
         updates.adamw_step(state, found.vector / found.n, learning_rate)

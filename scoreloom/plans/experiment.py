@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.config import CONFIG_SCHEMA, RunConfig
+from scoreloom.operators.clean import mark_malformed
 from scoreloom.operators.status import experiment_summary
 from scoreloom.plans.evaluate import Evaluation, evaluate_test
 from scoreloom.plans.prepare import load_samples
 from scoreloom.plans.train import TrainResult, model_shape, train_model
-from scoreloom.sources.features import split_path
+from scoreloom.sources.features import file_offsets, scan_features, split_path
 from scoreloom.sources.labels import load_metadata
 from scoreloom.sources.models import model_info, model_table
 from scoreloom.sources.outputs import write_report
@@ -38,11 +39,13 @@ def run_experiment(spark: SparkSession, config: RunConfig, started: datetime.dat
     config = config.with_metadata(width, names)
     shape = model_shape(config)
 
-    train = load_samples(spark, config.train_path)
+    offsets = file_offsets(spark, config.train_path)
+    train = mark_malformed(scan_features(spark, config.train_path, offsets=offsets))
     val = load_samples(spark, config.val_path or split_path(config.train_path, "val"), numbered=False)
     trained = train_model(
-        spark, train, val, config, stamp, model_path=f"{out}/best_model", history_path=f"{out}/training_history"
-    )
+        spark, train, val, config, stamp, model_path=f"{out}/best_model", history_path=f"{out}/training_history",
+        source_rows=offsets.rows,
+    )
     if trained.best_model is None:
         raise RuntimeError("no epoch had a validation accuracy above 0, so there is no model to evaluate")
     info = model_info(model_table(spark, trained.best_model, stamp, trained.best_epoch), shape)

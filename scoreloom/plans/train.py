@@ -16,7 +16,7 @@ from scoreloom.operators import metrics
 from scoreloom.operators.history import HISTORY_SCHEMA, history_report
 from scoreloom.operators.sharding import shard_manifest
 from scoreloom.operators.status import run_status
-from scoreloom.operators.training import StoredBatches, store_batches, train_epoch
+from scoreloom.operators.training import StoredBlocks, store_blocks, train_epoch
 from scoreloom.plans.settle import settle
 from scoreloom.sources.models import write_model
 from scoreloom.sources.outputs import write_report
@@ -32,7 +32,7 @@ class TrainResult:
 
     run_id: str
     history: DataFrame
-    batches: StoredBatches
+    stored: StoredBlocks
     shard_rows: Counter
     shard_seconds: Counter
     best_model: Model | None
@@ -43,10 +43,10 @@ class TrainResult:
 
     def status(self) -> DataFrame:
         """A status row per shard: the stored rows against those that the last epoch has trained on."""
-        spark = self.batches.spark
-        manifest = settle(shard_manifest(self.batches.rows(), self.batches.num_shards))
+        table = self.stored.table
+        manifest = settle(shard_manifest(table, self.stored.num_shards))
         rows = [(s, n, self.shard_seconds[s], self.best_val_acc) for s, n in self.shard_rows.items()]
-        trained = spark.createDataFrame(rows, "shard int, rows_trained bigint, seconds double, val_acc double")
+        trained = table.sparkSession.createDataFrame(rows, "shard int, rows_trained bigint, seconds double, val_acc double")
         return run_status(manifest, trained)
 
 
@@ -71,20 +71,23 @@ def train_model(
     model_path: str | None = None,
     history_path: str | None = None,
     start: Model | None = None,
+    source_rows: int | None = None,
 ) -> TrainResult:
     """Train from ``start`` (seeded random weights by default), keeping the best epoch on ``val``.
 
-    ``train`` holds ``(row_id, features, label, weight)``. Its rows are stored once
-    as shards, sorted by batch; every step reads its batch.
+    ``train`` holds ``(row_id, features, label, weight)``, rejected rows left out or marked. Its rows are
+    stored once as shards of blocks; every epoch puts its batches together from other blocks.
     """
     shape = model_shape(config)
-    batches = store_batches(train, scratch_path(spark, "training"), config.num_shards, config.batch_size, seed=config.seed)
+    stored = store_blocks(
+        train, scratch_path(spark, "training"), config.num_shards, config.batch_size, seed=config.seed, source_rows=source_rows
+    )
     state = TrainState.start(start or init_model(shape, config.seed))
     rows, best_acc, best_model, best_at = [], 0.0, None, None
     began = time.perf_counter()
     for epoch in range(1, config.epochs + 1):
         t0 = time.perf_counter()
-        state, part = train_epoch(batches, state, shape, config.learning_rate, epoch, config.seed)
+        state, part = train_epoch(stored, state, shape, config.learning_rate, epoch, config.seed)
         t1 = time.perf_counter()
         model = state.model(shape)
         val_loss, val_acc = validate(val, model)
@@ -101,7 +104,7 @@ def train_model(
     return TrainResult(
         run_id,
         spark.createDataFrame(rows, HISTORY_SCHEMA),
-        batches,
+        stored,
         part.shard_rows,
         part.shard_seconds,
         best_model,

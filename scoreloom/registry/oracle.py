@@ -11,8 +11,8 @@ from scoreloom.registry.patterns import pattern_model
 from scoreloom.functions import updates
 from scoreloom.model import WEIGHT_NAMES
 from scoreloom.operators.sharding import ROWS_PER_SHARD
-from scoreloom.operators.training import batch_sequence
-from scoreloom.registry.spark_queries import BATCH, BATCH_SHARDS, EPOCH_STEPS, EPOCHS, MANY_SHARDS, RATE, SHARDS
+from scoreloom.operators import training
+from scoreloom.registry.spark_queries import BATCH, BATCH_SHARDS, EPOCH_STEPS, EPOCHS, MANY_SHARDS, RATE, SHARDS, SHUFFLED_EPOCHS
 
 
 def _count(table: str, at_least: int, rows_per_shard: int = ROWS_PER_SHARD) -> str:
@@ -266,19 +266,30 @@ best AS (SELECT epoch, val_acc FROM history WHERE val_acc > 0 ORDER BY val_acc D
 _WEIGHTS = "SELECT name, row::INTEGER AS row, col::INTEGER AS col, round(param, 6) AS value FROM"
 
 
+def _blocks(epoch: int, num_blocks: int) -> str:
+    """Place of every block in an epoch's order, seed 0: by the fifth power of the shifted number modulo a prime."""
+    prime, shift = training.ORDER_PRIME, training.order_shift(epoch, 0)
+    return f"""SELECT block, row_number() OVER (ORDER BY square * square % {prime} * x % {prime}, block) - 1 AS pos
+  FROM (SELECT *, x * x % {prime} AS square FROM (SELECT b::INTEGER AS block, (b + {shift}) % {prime} AS x FROM range({num_blocks}) t(b)))"""
+
+
 def _epoch() -> str:
-    """Two steps over ``lineitem``, each on the batch that the epoch's order names."""
-    shape, batches = D.LINEITEM_SHAPE, batch_sequence(EPOCH_STEPS, 1, 0)
-    steps = [
-        f"rows{k} AS MATERIALIZED (SELECT * FROM placed WHERE batch = {b}),{_step(k, f'rows{k}', shape, RATE)}" for k, b in enumerate(batches, 1)
-    ]
+    """Steps over ``lineitem``, each on the blocks that its epoch's order names."""
+    shape, blocks, size = D.LINEITEM_SHAPE, EPOCH_STEPS * training.BLOCKS_PER_BATCH, training.BLOCKS_PER_BATCH
+    orders = [f"order{e} AS ({_blocks(e, blocks)})" for e in range(1, SHUFFLED_EPOCHS + 1)]
+    steps = []
+    for k in range(SHUFFLED_EPOCHS * EPOCH_STEPS):
+        epoch, step = k // EPOCH_STEPS + 1, k % EPOCH_STEPS
+        rows = f"rows{k + 1} AS MATERIALIZED (SELECT p.* FROM placed p JOIN order{epoch} o ON p.block = o.block WHERE pos // {size} = {step})"
+        steps.append(f"{rows},{_step(k + 1, f'rows{k + 1}', shape, RATE)}")
     return f"""WITH stats AS (SELECT {_STATS} FROM lineitem),
 flags AS (SELECT l_returnflag AS class_name, count(*) AS n,
     (row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1)::INTEGER AS label FROM lineitem GROUP BY l_returnflag),
-placed AS MATERIALIZED (SELECT f.label, [{_SCALED}] AS x, (SELECT count(*) FROM lineitem) / (3.0 * n) AS weight, {_spread('row_id', EPOCH_STEPS)} AS batch
+placed AS MATERIALIZED (SELECT f.label, [{_SCALED}] AS x, (SELECT count(*) FROM lineitem) / (3.0 * n) AS weight, {_spread('row_id', blocks)} AS block
   FROM (SELECT *, row_number() OVER () - 1 AS row_id FROM lineitem), stats, flags f WHERE l_returnflag = class_name),
+{','.join(orders)},
 {_start(D.LINEITEM_MODEL)},{','.join(steps)}
-{_WEIGHTS} state{EPOCH_STEPS}"""
+{_WEIGHTS} state{SHUFFLED_EPOCHS * EPOCH_STEPS}"""
 
 
 def _performance() -> str:

@@ -29,6 +29,7 @@ EPOCH_SHARDS = 8
 BATCH = 32
 MANY_SHARDS = 600
 EPOCH_STEPS = 2
+SHUFFLED_EPOCHS = 2
 EPOCHS = 3
 RATE = 0.002
 # A batch that no table outgrows: every epoch is one step.
@@ -494,12 +495,15 @@ def evaluate_test_query(spark, sf):
 
 
 def train_epoch(spark, sf):
-    """An epoch over all of ``lineitem`` in two steps: the weights after it."""
+    """Two epochs over all of ``lineitem``, each in two steps of its own batches: the weights after them."""
     samples, _ = D.lineitem_samples(spark, sf, weighted=True, numbered=True)
-    n = _shards(spark, sf, "lineitem", EPOCH_SHARDS)
-    stored = training.store_batches(samples, scratch_path(spark, "training"), n, num_batches=EPOCH_STEPS)
+    rows = D.table(spark, sf, "lineitem").count()
+    n = sharding.shard_count(rows, EPOCH_SHARDS)
+    stored = training.store_blocks(samples, scratch_path(spark, "training"), n, num_batches=EPOCH_STEPS, source_rows=rows)
     shape = dataclasses.replace(D.LINEITEM_SHAPE, dropout=0.0)
-    state, _ = training.train_epoch(stored, TrainState.start(D.LINEITEM_MODEL), shape, RATE, epoch=1)
+    state = TrainState.start(D.LINEITEM_MODEL)
+    for epoch in range(1, SHUFFLED_EPOCHS + 1):
+        state, _ = training.train_epoch(stored, state, shape, RATE, epoch)
     return _weights(spark, state.model(shape), shape)
 
 

@@ -2,41 +2,51 @@
 
 from __future__ import annotations
 
+import dataclasses
 import os
 
+import pyarrow as pa
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.sources.labels import stored_table
 
-def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+@dataclasses.dataclass(frozen=True)
+class FileOffsets:
+    """Rows before each file of a table, in order of their paths, and rows in all."""
+
+    table: pa.Table
+    rows: int
+
+
+def file_offsets(spark: SparkSession, path: str) -> FileOffsets:
+    """From a count per file, which reads Parquet footers and no column data.
+
+    One row per file comes back; the driver holds that list anyway, to plan the scan.
+    """
+    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"), F.xxhash64(F.col("path")).alias("file"))
+    files = sorted(counts.collect(), key=lambda r: r["path"])
+    # Two paths with one hash would share an offset: still one row each, only numbered less evenly.
+    starts, rows = {}, 0
+    for f in files:
+        starts.setdefault(f["file"], rows)
+        rows += f["n"]
+    return FileOffsets(pa.table({"_file": pa.array(starts, pa.int64()), "_offset": pa.array(starts.values(), pa.int64())}), rows)
+
+
+def read_numbered(spark: SparkSession, path: str, offsets: FileOffsets | None = None) -> DataFrame:
     """The table plus ``row_id``: 0..N-1 over all files, by position in the file.
 
     Unlike a key column, the position is unique even for rows that are copies of
-    each other, and a retried task sees the same value. Offsets come from a count
-    per file, which reads Parquet footers and no column data; no sort and no
-    shuffle of rows is needed.
+    each other, and a retried task sees the same value; no sort and no
+    shuffle of rows is needed. The planner knows the size of the list of offsets and chooses the join.
     """
     df = spark.read.parquet(path)
-    # Two paths with one hash would share an offset: still one row each, only numbered less evenly.
-    location = F.col("_metadata.file_path")
-    per_file = (
-        df.select(location.alias("_path"))
-        .groupBy("_path")
-        .agg(F.count("*").alias("_n"))
-        .groupBy(F.xxhash64("_path").alias("_file"))
-        .agg(F.min("_path").alias("_path"), F.sum("_n").alias("_n"))
-    )
-    # One row per file; the driver already holds that list to plan the scan.
-    before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_file.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    # Stored, so that the planner knows its size and chooses the join.
-    offsets = stored_table(offsets, "file_offsets")
+    starts = spark.createDataFrame((offsets or file_offsets(spark, path)).table)
     return (
         df.select("*", F.col("_metadata.row_index").alias("row_id"), F.xxhash64("_metadata.file_path").alias("_file"))
-        .join(offsets, "_file")
+        .join(starts, "_file")
         .withColumn("row_id", F.col("row_id") + F.col("_offset"))
         .drop("_file", "_offset")
     )
@@ -50,6 +60,7 @@ def scan_features(
     weight: str | None = "weight",
     key: str | None = None,
     numbered: bool = True,
+    offsets: FileOffsets | None = None,
 ) -> DataFrame:
     """``(row_id, key, features, label, weight)`` as stored, only these columns read.
 
@@ -57,7 +68,7 @@ def scan_features(
     every row weighs 1. ``row_id`` is needed for shards and batches only;
     ``numbered=False`` leaves it out, and ``key`` is there if named.
     """
-    df = read_numbered(spark, path) if numbered else spark.read.parquet(path)
+    df = read_numbered(spark, path, offsets) if numbered else spark.read.parquet(path)
     kind = df.schema[features].dataType
     is_array = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
     if not (is_array or isinstance(kind, VectorUDT)):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.ml.feature import StringIndexerModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.sources.scratch import scratch_path
@@ -18,33 +20,34 @@ def stored_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def number_classes(counts: DataFrame) -> DataFrame:
-    """Add ``label`` to ``counts(class_name, n, ...)``: most frequent first, ties by name; nulls are not names.
+    """``counts(class_name, n, ...)`` stored once, with ``label``: most frequent first, ties by name; a null is not a name and has none.
 
     Names are sorted by ranges; a name's number is its place in its range plus the
-    sizes of the ranges before, so any number of names can be numbered.
+    sizes of the ranges before, so any number of names can be numbered. One size per range comes back.
     """
-    ranged = counts.where(F.col("class_name").isNotNull()).repartitionByRange(F.desc("n"), F.col("class_name")).sortWithinPartitions(F.desc("n"), F.col("class_name"))
-    placed = stored_table(
-        ranged.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id() % (1 << 33)}), "class_ranges"
-    )
-    # One row per range.
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_range").agg(F.count("*").alias("_size")).select(
-        "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
-    label = (F.col("_start") + F.col("_place")).cast("int")
-    return placed.join(starts, "_range").select(label.alias("label"), *counts.columns)
+    order = [F.col("class_name").isNull(), F.desc("n"), F.col("class_name")]
+    ranged = counts.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id() % (1 << 33)
+    placed = stored_table(ranged.withColumns({"_range": F.spark_partition_id(), "_place": place}), "classes")
+    sizes = dict(placed.groupBy("_range").agg(F.count("*")).collect())
+    ranges = max(sizes, default=-1) + 1
+    starts = F.array(*[F.lit(n) for n in accumulate((sizes.get(r, 0) for r in range(ranges)), initial=0)])
+    label = F.when(F.col("class_name").isNotNull(), (starts[F.col("_range")] + F.col("_place")).cast("int"))
+    return placed.select(label.alias("label"), *counts.columns)
+
+
+def dictionary_of(numbered: DataFrame) -> DataFrame:
+    return numbered.where(F.col("class_name").isNotNull()).select("label", "class_name", "n")
 
 
 def fit_dictionary(df: DataFrame, column: str) -> DataFrame:
     """``(label, class_name, n)`` of a column of names, from a plain aggregation."""
-    counts = df.groupBy(F.col(column).alias("class_name")).agg(F.count("*").alias("n"))
-    return stored_table(number_classes(counts).select("label", "class_name", "n"), "label_dictionary")
+    return dictionary_of(number_classes(df.groupBy(F.col(column).alias("class_name")).agg(F.count("*").alias("n"))))
 
 
 def class_names(dictionary: DataFrame) -> list[str]:
     """Names in order of their ids, for a model, which has a row of weights per class."""
-    return [r["class_name"] for r in dictionary.orderBy("label").collect()]
+    return [r["class_name"] for r in sorted(dictionary.collect(), key=lambda r: r["label"])]
 
 
 def load_class_names(path: str) -> list[str]:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import batches, sharding
+from scoreloom.operators import batches, clean, sharding
 from scoreloom.plans.prepare import prepare_shards
 from scoreloom.sources import shards
 from scoreloom.sources.scratch import scratch_path
@@ -131,3 +131,28 @@ def test_prepared_manifest_counts_usable_rows(spark):
     prepared = prepare_shards(spark, source, 4, scratch_path(spark, "out"))
     assert prepared.manifest.agg(F.sum("n_rows")).first()[0] == 900
     assert prepared.samples.count() == 900
+    assert tuple(prepared.totals.first()) == (900, 4, 4)
+    assert sorted(map(tuple, prepared.rejects.collect())) == [("null_label", 100), ("ok", 900)]
+
+
+def test_preparing_reads_the_source_once(spark):
+    """One scan of the columns; besides it, footers only. The counts equal those of the scans of their own."""
+    source = scratch_path(spark, "source")
+    label = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(float("inf"))).otherwise(F.lit(2.0))
+    vector = F.when(F.col("id") % 5 > 0, F.array(F.col("id").cast("double"), F.when(F.col("id") % 7 > 0, F.lit(1.0))))
+    spark.range(700).repartition(3).select(vector.alias("scaled_features"), label.alias("label"), F.lit(1.0).alias("weight")).write.parquet(source)
+    prepared = prepare_shards(spark, source, 4, scratch_path(spark, "out"), tasks_per_shard=2)
+    raw = spark.read.parquet(source).withColumnRenamed("scaled_features", "features")
+    assert sorted(map(tuple, prepared.rejects.collect())) == sorted(map(tuple, clean.reject_counts(raw).collect()))
+    kept = clean.drop_malformed(raw).count()
+    assert prepared.totals.first()["total_rows"] == kept == prepared.samples.count()
+    assert sorted(map(tuple, prepared.manifest.collect())) == sorted(map(tuple, sharding.shard_manifest(prepared.samples, 4, prepared.path).collect()))
+    assert "_reason" not in prepared.samples.columns
+
+
+def test_preparing_a_table_without_usable_rows(spark):
+    source = scratch_path(spark, "source")
+    spark.range(5).select(F.array(F.lit(1.0)).alias("scaled_features"), F.lit(None).cast("double").alias("label"), F.lit(1.0).alias("weight")).write.parquet(source)
+    prepared = prepare_shards(spark, source, 3, scratch_path(spark, "out"))
+    assert prepared.samples.count() == 0 and tuple(prepared.totals.first()) == (0, 0, 3)
+    assert list(map(tuple, prepared.rejects.collect())) == [("null_label", 5)]

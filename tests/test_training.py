@@ -2,6 +2,9 @@
 
 import dataclasses
 import datetime
+import pathlib
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -12,7 +15,7 @@ from scoreloom.config import RunConfig
 from scoreloom.functions import forward, scoring, updates
 from scoreloom.functions.updates import TrainState
 from scoreloom.model import Model, ModelShape, init_model
-from scoreloom.operators import training
+from scoreloom.operators import clean, sharding, training
 from scoreloom.plans.evaluate import evaluate_performance
 from scoreloom.plans.experiment import run_experiment
 from scoreloom.plans.train import train_model
@@ -180,22 +183,59 @@ def test_dropout_keeps_the_mean_and_follows_the_row():
 
 
 def test_epoch_equals_plain_loop(spark):
-    """Steps over stored batches give what a loop over the same rows gives."""
+    """Steps over stored blocks give what a loop over the same rows gives."""
     df, state = toy(spark, 100), TrainState.start(init_model(SHAPE, 1))
-    stored = training.store_batches(df, scratch_path(spark, "t"), 3, batch_size=16, seed=9)
+    stored = training.store_blocks(df, scratch_path(spark, "t"), 3, batch_size=16, seed=9)
     got, totals = training.train_epoch(stored, state, SHAPE, 0.01, epoch=2, seed=9)
     want, seen = state.copy(), 0
-    for step in training.batch_sequence(stored.num_batches, 2, 9):
-        rows = stored.rows().where(F.col("batch") == step).orderBy("row_id").collect()
+    for step, blocks in enumerate(stored.batches(2, 9)):
+        inside = sharding.spread(F.col("row_id") + 9 * training.SEED_STRIDE, stored.num_blocks).isin(blocks)
+        rows = df.where(inside).orderBy("row_id").collect()
         x, ids = np.array([r["features"] for r in rows], dtype=np.float64), np.array([r["row_id"] for r in rows])
         y, w = np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows])
         mask = updates.dropout_mask(0.2, ids, 5, (9, 2, step))
         _, _, g = updates.loss_and_gradient(want.model(SHAPE), x, y, w / len(y), mask)
         updates.adamw_step(want, g, 0.01)
         seen += len(rows)
-        assert abs(len(rows) - 100 / 7) <= 2
+        assert abs(len(rows) - 100 / 7) <= 8
     assert np.allclose(got.params, want.params, atol=1e-13) and got.steps == want.steps == 7
-    assert totals.n == seen == 100 and sum(totals.shard_rows.values()) == 100
+    assert totals.n == seen == stored.rows == 100 and sum(totals.shard_rows.values()) == 100
+
+
+@pytest.mark.parametrize("num_shards, tasks", [(1, 1), (3, 2), (8, 1)])
+def test_batches_differ_by_epoch_and_not_by_shards(spark, num_shards, tasks, monkeypatch):
+    """Every epoch has each row once, in other company; a batch follows from seed, epoch and row alone."""
+    monkeypatch.setattr(training, "ROWS_PER_SHARD", -(-4000 // (num_shards * tasks)))
+    df = spark.range(4000).select(
+        F.col("id").alias("row_id"), F.array(F.col("id").cast("float")).alias("features"), F.lit(0).alias("label"), F.lit(1.0).alias("weight")
+    )
+    stored = training.store_blocks(df, scratch_path(spark, "t"), num_shards, batch_size=250, seed=3)
+    assert len(stored.table.inputFiles()) == num_shards * tasks and stored.num_batches == 16
+    batch_of, beside = {}, {}
+    for epoch in (1, 2):
+        for k, blocks in enumerate(stored.batches(epoch, 3)):
+            ids = [r["row_id"] for r in stored.batch(blocks).select("row_id").collect()]
+            assert abs(len(ids) - 250) <= 16
+            batch_of.update({(epoch, i): k for i in ids})
+    assert len(batch_of) == 8000
+    for epoch in (1, 2):
+        order = training.block_order(stored.num_blocks, epoch, 3).tolist()
+        mixed = (np.arange(4000) + 3 * training.SEED_STRIDE) * sharding.SPREAD_FACTOR % sharding.SPREAD_MODULUS
+        block = mixed * stored.num_blocks >> 31
+        assert all(batch_of[epoch, i] == order.index(block[i]) // stored.per_batch for i in range(4000))
+        beside[epoch] = [{i for i in range(4000) if batch_of[epoch, i] == k} for k in range(16)]
+    shared = max(len(a & b) for a in beside[1] for b in beside[2])
+    assert shared <= 4 * 250 // stored.per_batch
+
+
+def test_block_order_is_a_permutation():
+    for blocks, epoch, seed in ((1, 1, 0), (8, 2, 0), (1000, 3, 5), (100_000, 7, 1)):
+        order = training.block_order(blocks, epoch, seed)
+        assert sorted(order.tolist()) == list(range(blocks))
+    one, two = training.block_order(1000, 1, 0), training.block_order(1000, 2, 0)
+    # No trace of the first order is left in the second.
+    assert abs(np.corrcoef(np.argsort(one), np.argsort(two))[0, 1]) < 0.15
+    assert abs(np.corrcoef(np.argsort(one), np.arange(1000))[0, 1]) < 0.15
 
 
 def test_result_does_not_depend_on_shards_or_partitions(spark):
@@ -219,11 +259,66 @@ def test_merging_in_groups_changes_nothing(spark, monkeypatch):
     assert all(s.n == 200 and np.allclose(s.vector, sums[0].vector, atol=1e-12) for s in sums)
 
 
-def test_a_step_reads_the_shards_of_its_batch(spark):
-    stored = training.store_batches(toy(spark, 400), scratch_path(spark, "t"), 10, num_batches=10)
-    plan = stored.batch(4)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(shard" in plan and "PushedFilters: [IsNotNull(batch), EqualTo(batch,4)" in plan
-    assert stored.batch(4).select("shard").distinct().count() == 1 and stored.batch(4).count() == 40
+def test_a_step_reads_the_shards_of_its_blocks(spark):
+    stored = training.store_blocks(toy(spark, 400), scratch_path(spark, "t"), 10, num_batches=10, per_batch=2)
+    rows = stored.batch([8, 13])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "shard#" in plan and "IN (4,6)" in plan.replace("shard", "") and "GreaterThanOrEqual(place," in plan
+    assert {r["shard"] for r in rows.select("shard").distinct().collect()} == {4, 6} and abs(rows.count() - 40) <= 2
+
+
+def test_marked_rows_are_left_out_of_training(spark):
+    df = toy(spark, 200).withColumn("weight", F.when(F.col("row_id") % 10 != 3, F.col("weight")))
+    marked = training.store_blocks(clean.mark_malformed(df), scratch_path(spark, "t"), 2, batch_size=50)
+    dropped = training.store_blocks(clean.drop_malformed(df), scratch_path(spark, "t"), 2, batch_size=50)
+    pick = lambda stored: sorted((r["row_id"], r["weight"], r["features"]) for r in stored.table.collect())
+    assert marked.rows == dropped.rows == 180 and pick(marked) == pick(dropped)
+
+
+STEP_SCRIPT = """
+import json, pathlib, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import functions as F
+from scoreloom.operators import training
+from scoreloom.session import build_session
+from scoreloom.sources.scratch import scratch_path
+events = sys.argv[2]
+spark = build_session(**{
+    "spark.master": "local[4]", "spark.ui.enabled": "false", "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{events}",
+    "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false", "spark.checkpoint.dir": f"{events}/shared", "spark.driver.memory": "3g",
+    # Bytes of vectored reads are missing from the metrics.
+    "spark.hadoop.parquet.hadoop.vectored.io.enabled": "false"})
+spark.sparkContext.setLogLevel("ERROR")
+rows, batch = 1_000_000, 65_536
+features = F.array(*[(F.xxhash64(F.lit(k), "id") / 2.0**63).cast("float") for k in range(16)])
+df = spark.range(rows, numPartitions=4).select(F.col("id").alias("row_id"), features.alias("features"), (F.col("id") % 3).cast("int").alias("label"), F.rand(1).alias("weight"))
+stored = training.store_blocks(df, scratch_path(spark, "t"), 1, batch_size=batch, source_rows=rows)
+files = sum(p.stat().st_size for p in pathlib.Path(events).rglob("*.parquet"))
+for blocks in stored.batches(1, 0)[:3]:
+    spark.sparkContext.setJobGroup("step", "step")
+    n = stored.batch(blocks).select("row_id", "features", "label", "weight").mapInArrow(lambda batches: batches, "row_id long, features array<float>, label int, weight double").count()
+    assert abs(n - rows / stored.num_batches) < 100 and n <= batch, n
+spark.stop()
+stages, read, taken = set(), 0, 0
+for line in next(p for p in pathlib.Path(events).iterdir() if p.name.startswith("local-")).open():
+    e = json.loads(line)
+    if e["Event"] == "SparkListenerJobStart" and e["Properties"].get("spark.jobGroup.id") == "step":
+        stages.update(e["Stage IDs"])
+    if e["Event"] == "SparkListenerTaskEnd" and e["Stage ID"] in stages:
+        read += e["Task Metrics"]["Input Metrics"]["Bytes Read"]
+        taken += e["Task Metrics"]["Input Metrics"]["Records Read"]
+assert taken <= 3 * 1.2 * rows / stored.num_batches, taken
+print("ratio", read / 3 / (files / stored.num_batches))
+"""
+
+
+def test_a_step_reads_at_most_twice_its_batch(tmp_path):
+    """Bytes read by a step over a shard of 1,000,000 rows, from the event log."""
+    root = pathlib.Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", STEP_SCRIPT, str(root), str(tmp_path)], capture_output=True, text=True, timeout=300, cwd="/")
+    ratio = [line for line in done.stdout.splitlines() if line.startswith("ratio")]
+    assert ratio, done.stderr[-2000:]
+    assert 0.5 < float(ratio[0].split()[1]) <= 2.0, ratio
 
 
 def test_same_seed_same_weights(spark):
