@@ -86,11 +86,13 @@ def only_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     return docs.join(wanted, same_id(docs[key], wanted["_wanted"]), "left_semi")
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, list]]:
+def whole_groups(
+    batches: Iterable[pa.RecordBatch], keys: list[str], most: int | None = None, always: Callable[[pa.RecordBatch, int], bool] = lambda rows, start: False
+) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Batches of rows sorted by ``keys``, cut so that groups are whole: ``(batch, [(start, end, whole)])``.
 
     The last group of a batch is held back until its end is seen. With ``most``, a group of more rows
-    is given out in pieces as it comes, and ``whole`` is false for all of them.
+    is given out in pieces as it comes, and ``whole`` is false for all of them, unless ``always`` says of its first row that it is kept whole.
     """
     held, begun = None, None
     for batch in chain(batches, [None]):
@@ -112,7 +114,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], most: int |
         first = tuple(column[0] for column in columns)
         goes_on = begun is not None and begun == first
         ends = [*starts[1:], rows.num_rows]
-        bounds = [[s, e, most is None or e - s <= most] for s, e in zip(starts, ends)]
+        bounds = [[s, e, most is None or e - s <= most or always(rows, s)] for s, e in zip(starts, ends)]
         if goes_on:
             bounds[0][2] = False
         held = None

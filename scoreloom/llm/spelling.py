@@ -9,8 +9,8 @@ The vocabulary is cut into lists by pigeonhole: a word is split in three parts,
 So each word goes into a list for each pair of parts (and once more as the longer
 word of its pair, by the parts that a word with one letter less would have), and only the
 third part, one edit apart, is compared along the list. A list of more than ``LIST_WORDS``
-words is cut again in the same way, by the parts of its third parts, until it is short enough or its
-parts have at most three letters. No word is left out and no list is spelled out as pairs.
+words is cut again in the same way, by the parts of its third parts, until it is short enough or the shorter of its
+parts have one letter: with 90 different letters such a list has at most 90 + 90 * 90 words. No word is left out and no list is spelled out as pairs.
 
 Words are counted per task before they are shuffled. Forms are followed to their
 last by pointer doubling; every form is at least ``RATIO`` times as frequent, so this ends.
@@ -34,8 +34,9 @@ from scoreloom.llm.common import stored, text_bytes, whole_groups
 
 RUNS = re.compile("[a-zÀ-ÿ]+")
 DAMAGE, LETTERS, OCCURRENCES, RATIO = 199, 6, 5, 5
-# Words of a list that is scanned at once.
+# Words of a list that is scanned at once, and letters of the shorter parts from which on it is not cut again.
 LIST_WORDS = 4096
+LAST_PART = 1
 # Different words that a task counts before it hands them on.
 COUNTED = 200_000
 _FAR = 2
@@ -170,7 +171,7 @@ def _scan(limit: int):
     )
 
     def body(batches):
-        for batch, bounds in whole_groups(batches, ["list"], limit):
+        for batch, bounds in whole_groups(batches, ["list"], limit, lambda rows, start: rows.column("m")[start].as_py() <= LAST_PART):
             out = {c: [] for c in schema.names}
             every = {c: batch.column(c).to_pylist() for c in ("list", "m", "rest", "word", "n")}
             for start, end, whole in bounds:
@@ -209,7 +210,6 @@ def near_pairs(words: DataFrame, limit: int = LIST_WORDS) -> DataFrame:
     schema = "word string, other string, n long, list string, m int, rest string"
     found = None
     while True:
-        # Lists of one word, or without any word of the lesser length, have no pair; parts of three letters are few, whatever the words.
         scanned = now.repartition("list").sortWithinPartitions("list", "rest").mapInArrow(_scan(limit), schema)
         scanned = stored(scanned, "near_words")
         pairs = scanned.where("other IS NOT NULL").select("word", "other", "n")
