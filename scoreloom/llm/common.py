@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.sources.scratch import scratch_path
@@ -86,6 +86,18 @@ def only_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     return docs.join(wanted, same_id(docs[key], wanted["_wanted"]), "left_semi")
 
 
+def one_row(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of the rows of ``docs`` whose ``key`` is among the distinct ``ids[key]`` one each, the one with the least text; of rows with a null key all, if null is among them.
+
+    Rows move once, to be joined by the key, and are numbered where they then lie.
+    """
+    found = only_rows(docs, ids, key)
+    named = found.where(F.col(key).isNotNull())
+    place = F.row_number().over(Window.partitionBy(key).orderBy(text)).alias("_place")
+    first = named.select(place, F.struct(*[named[c] for c in named.columns]).alias("_row")).where("_place = 1").select("_row.*")
+    return first.unionByName(found.where(F.col(key).isNull()))
+
+
 def whole_groups(
     batches: Iterable[pa.RecordBatch], keys: list[str], most: int | None = None, always: Callable[[pa.RecordBatch, int], bool] = lambda rows, start: False
 ) -> Iterator[tuple[pa.RecordBatch, list]]:

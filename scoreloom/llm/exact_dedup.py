@@ -12,7 +12,7 @@ gets more than its range, and its bytes meet in map-side partial aggregates.
 
 Defined cases: a null text counts as empty, and empty texts are equal to each
 other. A null ``doc_id`` is an id like any other, the last to be kept. Rows that
-repeat a ``doc_id`` count as rows of the group and share the mark of their id.
+repeat a ``doc_id`` count as rows of the group and share the mark of their id; only one of them stays in a table that drops the others.
 Other columns are not read.
 """
 
@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.common import only_rows, same_id, stored, text_bytes
@@ -200,5 +200,15 @@ def exact_duplicates(docs: DataFrame, run_rows: int = RUN_ROWS, owners: int | No
 
 
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay."""
-    return only_rows(docs, exact_duplicates(docs, **options).where("kept").select("doc_id"))
+    """The rows of ``docs``, all columns, that stay: one of each group of equal texts.
+
+    The row that stays has the group's id and digest and the most code points; of rows alike in
+    all three one stays, whichever comes first.
+    """
+    found = exact_duplicates(docs, **options).where("kept").select("doc_id", "text_sha256").distinct()
+    keep = found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).hint("merge")
+    squeezed = F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), SPACE, ""), 256)
+    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), squeezed.alias("_squeezed"), F.coalesce(F.length(docs["text"]), F.lit(0)).alias("_size"))
+    kept = named.join(keep, same_id(named["_doc"], keep["_id"]) & (named["_squeezed"] == keep["_sha"]), "left_semi")
+    place = F.row_number().over(Window.partitionBy("_squeezed", "_doc").orderBy(F.desc("_size")))
+    return kept.withColumn("_place", place).where("_place = 1").select("_row.*")

@@ -9,17 +9,19 @@ is left out in turn and the rest of the chunk is a key, so such documents have a
 key in common. With the values below all pairs within distance 23 of 60 are
 found; of pairs just at the similarity 0.8 one in ten million is not.
 
-Documents with the same set are one class. In a bucket (the classes with one key)
+Documents with the same set are one class, named by a 128-bit hash of the set, whatever
+their ids. The sorted shingle hashes of the classes that share a bucket with another are stored once. In a bucket (the classes with one key)
 no pairs are formed: each class is compared with the least and the greatest of
 the bucket, on full sets. What these links join is one component. Buckets whose
 classes are then still in several components are compared once more, in blocks of bounded size within tasks: each
-class against those of other components, on full sets. Only links come out, so
+class against those of other components that have one of its first shingles (a prefix filter: linked sets share one of
+their least fifth) and a size that allows a link, on full sets. Only links come out, so
 no link is lost and no bucket is ever spelled out as pairs.
 
 Defined cases: a text that is null or has no words has an empty set, is linked
 with nothing and is kept. Fewer words than a shingle are one shingle. Documents
 with a null id are kept, each a component of its own without an id. Rows that repeat an id are one
-document if their texts are equal, and linked to each other otherwise. Other columns are not read.
+document: all their sets are of one component, and one of the rows stays where the id does. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import gram_hashes, map_rows, only_rows, same_id, stored, text_bytes, word_hashes
+from scoreloom.llm.common import gram_hashes, map_rows, one_row, same_id, stored, text_bytes, word_hashes
 from scoreloom.llm.components import components
 
 CHUNKS, CHUNK, ERRORS, BITS = 12, 5, 1, 16
@@ -54,6 +56,15 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(words), min(size, len(words))))
 
 
+def set_name(hashes: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
+def sets_of(column: pa.Array) -> list[np.ndarray]:
+    """Stored shingle hashes as they were."""
+    return [x.values.to_numpy().view(np.uint64) for x in column]
+
+
 def linked(one: np.ndarray, other: np.ndarray, similarity: int = SIMILARITY) -> bool:
     """Is the Jaccard similarity at least ``similarity`` percent."""
     few, many = sorted((len(one), len(other)))
@@ -99,68 +110,76 @@ def _signed(size: int):
         for text in text_bytes(batch.column("text")):
             hashes = shingles(text, size)
             out["n_shingles"].append(len(hashes))
-            out["set_hash"].append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+            out["set_hash"].append(set_name(hashes))
             out["keys"].append(signer[0].keys(signer[0].signature(hashes)) if len(hashes) else [])
         return out
 
     return map_rows(sign, schema)
 
 
-def _verified(size: int, similarity: int):
-    """Keeps ``(u, v)`` of the rows ``(u, v, one, other)`` whose texts are linked."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _sets(size: int):
+    """``(set_hash, shingles)`` of the rows ``(text, set_hash)`` whose text has that set: an id may have other texts too."""
+    schema = pa.schema([("set_hash", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+
+    def body(batch):
+        out = {"set_hash": [], "shingles": []}
+        for text, wanted in zip(text_bytes(batch.column("text")), batch.column("set_hash").to_pylist()):
+            hashes = shingles(text, size)
+            if set_name(hashes) == wanted:
+                out["set_hash"].append(wanted)
+                out["shingles"].append(hashes.view(np.int64))
+        return out
+
+    return map_rows(body, schema, rows=200)
+
+
+def _verified(similarity: int):
+    """Keeps ``(u, v)`` of the rows ``(u, v, one, other)`` whose sets are linked."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def verify(batch):
-        keep, known, hashes = [], None, None
-        for one, other in zip(text_bytes(batch.column("one")), text_bytes(batch.column("other"))):
-            if other != known:
-                known, hashes = other, shingles(other, size)
-            keep.append(linked(shingles(one, size), hashes, similarity))
-        mask = pa.array(keep, pa.bool_())
+        pairs = zip(sets_of(batch.column("one")), sets_of(batch.column("other")))
+        mask = pa.array([linked(one, other, similarity) for one, other in pairs], pa.bool_())
         return {"u": batch.column("u").filter(mask), "v": batch.column("v").filter(mask)}
 
     return map_rows(verify, schema)
 
 
-def _block_links(size: int, similarity: int):
+def _block_links(similarity: int):
     """Links between the rows of a pair of blocks that are in different components, enough to join what is linked.
 
-    Overlaps are counted along the shingles that rows share, one row against all others at a time.
+    Linked sets of sizes x and y share at least similarity percent of the greater, so one of the least
+    x - ceil(similarity * x) + 1 hashes of the one is among those of the other.
     """
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        ids, parts, sides = rows.column("rep").to_numpy(), rows.column("component_id").to_numpy(), rows.column("side").to_numpy()
-        sets = [shingles(text.as_py(), size) for text in rows.column("text").cast(pa.binary())]
+        rows = rows.combine_chunks()
+        ids, sides = rows.column("cls").to_pylist(), rows.column("side").to_pylist()
+        parts = np.unique(rows.column("part").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        sets = sets_of(rows.column("shingles").chunk(0))
         sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        every = np.concatenate(sets)
+        firsts = sizes - -(-similarity * sizes // 100) + 1
+        owner = np.repeat(np.arange(len(sets)), firsts)
+        every = np.concatenate([s[:k] for s, k in zip(sets, firsts.tolist())])
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
-        # Where the rows of each shingle begin and end.
-        firsts = np.flatnonzero(np.diff(every, prepend=every[:1] + np.uint64(1)))
-        ends = np.append(firsts[1:], len(every))
-        # Queries: all rows of one side but those of the component with most rows, which need no comparing with each other.
-        names, counts = np.unique(parts, return_counts=True)
-        most = names[np.argmax(counts)]
         same = key[1].as_py() == key[2].as_py()
-        links = set()
-        group = parts.copy()
-        for q in np.flatnonzero((parts != most) & (sides == 0)) if same else np.flatnonzero(sides == 0):
-            at = np.searchsorted(every[firsts], sets[q])
-            begin, end = firsts[at], ends[at]
-            wide = end - begin > 1
-            if not wide.any():
+        # Queries: all rows of one side but those of the component with most rows, which need no comparing with each other.
+        most = np.bincount(parts).argmax()
+        group, links = parts.copy(), []
+        for q in range(len(sets)):
+            if (parts[q] == most) if same else sides[q]:
                 continue
-            spans = [owner[b:e] for b, e in zip(begin[wide].tolist(), end[wide].tolist())]
-            shared = np.bincount(np.concatenate(spans), minlength=len(sets))
-            close = (100 * shared >= similarity * (sizes + sizes[q] - shared)) & (group != group[q])
-            if not same:
-                close &= sides == 1
-            for other in np.flatnonzero(close).tolist():
-                if group[other] != group[q]:
-                    links.add((int(ids[q]), int(ids[other])))
+            prefix = sets[q][: firsts[q]]
+            begin, end = np.searchsorted(every, prefix, "left"), np.searchsorted(every, prefix, "right")
+            wide = np.flatnonzero(end > begin)
+            near = np.unique(np.concatenate([owner[begin[k] : end[k]] for k in wide])) if len(wide) else ()
+            for other in near:
+                other = int(other)
+                if group[other] != group[q] and (same or sides[other]) and linked(sets[q], sets[other], similarity):
+                    links.append((ids[q], ids[other]))
                     group[group == group[other]] = group[q]
-        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+        return pa.table({"u": pa.array([u for u, _ in links], pa.binary()), "v": pa.array([v for _, v in links], pa.binary())})
 
     return compare
 
@@ -173,67 +192,59 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(slim.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, set_hash binary, keys array<long>"), "signatures")
-    usable = signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    members = stored(usable.join(classes, "set_hash").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "classes")
-    keys = (
-        members.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "rep", "n_shingles")
-    )
-    buckets = keys.groupBy("key").agg(
-        F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")
-    ).where("low < high")
+    members = signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_hash")
+    least = members.groupBy("set_hash").agg(F.min("doc_id").alias("least"))
+    # The keys of one row of each class: rows of one set have the same, so of rows that repeat its id any will do.
+    named = signed.join(least, "set_hash").where("doc_id = least").select("set_hash", "least", "n_shingles", "keys")
+    classes = stored(named.dropDuplicates(["set_hash"]), "classes")
+    keys = classes.select(F.explode("keys").alias("key"), F.col("set_hash").alias("cls"), "n_shingles")
+    buckets = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n")).where("low < high")
     filled = stored(keys.join(buckets, "key"), "buckets")
 
-    # Texts of the classes that share a bucket with another.
-    texts = stored(only_rows(slim, filled.select(F.col("rep").alias("doc_id")).distinct()), "texts")
-    texts = texts.groupBy("doc_id").agg(F.first("text").alias("text"))
-    sized = filled.select(F.col("rep"), F.explode(F.array("low", "high")).alias("hub")).where("rep != hub").distinct()
-    named = lambda id_, text: texts.select(F.col("doc_id").alias(id_), F.col("text").alias(text)).hint("merge")
-    pairs = sized.select(F.col("rep").alias("u"), F.col("hub").alias("v")).join(named("u", "one"), "u").join(named("v", "other"), "v")
-    star = stored(pairs.mapInArrow(_verified(shingle, similarity), "u long, v long"), "links")
+    # Sets of the classes that share a bucket with another.
+    wanted = filled.select(F.col("cls").alias("set_hash")).distinct().join(classes.select("set_hash", "least"), "set_hash")
+    texts = slim.join(wanted.hint("merge"), slim["doc_id"] == wanted["least"]).select("text", "set_hash")
+    sets = stored(texts.mapInArrow(_sets(shingle), "set_hash binary, shingles array<long>").dropDuplicates(["set_hash"]), "sets")
+    hubs = filled.select("cls", F.explode(F.array("low", "high")).alias("hub")).where("cls != hub").distinct()
+    set_of = lambda cls, shingles_: sets.select(F.col("set_hash").alias(cls), F.col("shingles").alias(shingles_)).hint("merge")
+    pairs = hubs.select(F.col("cls").alias("u"), F.col("hub").alias("v")).join(set_of("u", "one"), "u").join(set_of("v", "other"), "v")
+    star = stored(pairs.mapInArrow(_verified(similarity), "u binary, v binary"), "links")
     # Rows that repeat an id with different texts.
-    repeats = members.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u != v").select("u", "v")
+    several = members.groupBy("doc_id").agg(F.min("set_hash").alias("v"), F.max("set_hash").alias("w")).where("v < w")
+    repeats = members.join(several, "doc_id").where("set_hash != v").select(F.col("set_hash").alias("u"), "v").distinct()
     first = components(star.unionByName(repeats))
 
     # Buckets of four and more: in smaller ones every pair has been compared.
-    part = first.withColumnRenamed("id", "rep")
+    part = first.select(F.col("id").alias("cls"), F.col("component_id").alias("part"))
     placed = stored(
-        filled.where("n > 3").join(part, "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")),
-        "buckets",
+        filled.where("n > 3").join(part, "cls", "left").select("key", "cls", "n_shingles", F.coalesce("part", "cls").alias("part")), "buckets"
     )
     split = (
         placed.groupBy("key")
-        .agg(F.min("component_id").alias("a"), F.max("component_id").alias("b"), F.ceil(F.sum("n_shingles") / BLOCK_HASHES).alias("blocks"))
+        .agg(F.min("part").alias("a"), F.max("part").alias("b"), F.ceil(F.sum("n_shingles") / BLOCK_HASHES).alias("blocks"))
         .where("a < b")
         .select("key", "blocks")
     )
-    dealt = placed.join(split, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
+    dealt = placed.join(split, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("long"))
     # Each pair of blocks of a bucket is one group: the rows of the first as queries, those of the second besides.
-    twice = dealt.select(
-        "*",
-        F.inline(
-            F.expr(
-                "transform(sequence(0L, blocks - 1), o -> named_struct('low', least(o, block), 'high', greatest(o, block), "
-                "'side', if(o < block, 1, 0)))"
-            )
-        ),
-    )
+    both = "transform(sequence(0L, blocks - 1), o -> named_struct('low', least(o, block), 'high', greatest(o, block), 'side', o < block))"
     compared = (
-        twice.select("key", "low", "high", "side", "rep", "component_id")
-        .join(named("rep", "text"), "rep")
+        dealt.select("key", "cls", "part", F.inline(F.expr(both)))
+        .join(set_of("cls", "shingles"), "cls")
         .groupBy("key", "low", "high")
-        .applyInArrow(_block_links(shingle, similarity), "u long, v long")
+        .applyInArrow(_block_links(similarity), "u binary, v binary")
     )
     rest = stored(compared.distinct(), "links")
     last = components(first.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(rest))
-    component = F.coalesce("component_id", "rep", "doc_id")
-    of_class = members.select("doc_id", "rep").distinct().join(last.withColumnRenamed("id", "rep"), "rep", "left")
-    of_doc = of_class.groupBy("doc_id").agg(F.min(component).alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
+    of_class = classes.select("set_hash", "least").join(last.withColumnRenamed("id", "set_hash"), "set_hash", "left")
+    of_class = of_class.select("set_hash", "least", F.coalesce("component_id", "set_hash").alias("part"))
+    ids = of_class.groupBy("part").agg(F.min("least").alias("component_id"))
+    of_class = of_class.join(ids, "part").select("set_hash", "component_id")
+    out = signed.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), same_id(F.col("doc_id"), component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document stays: one of each component."""
-    return only_rows(docs, near_duplicates(docs, **options).where("kept").select("doc_id"))
+    """The rows of ``docs``, all columns, that stay: one row of each component, and every row without an id."""
+    return one_row(docs, near_duplicates(docs, **options).where("kept").select("doc_id").distinct())

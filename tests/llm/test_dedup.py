@@ -134,3 +134,47 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(chain, "u long, v long")).collect()))
     assert all(got[i] == 0 for i in [*range(41), 100]) and all(got[i] == 200 for i in (200, 201, 202))
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_an_id_with_several_texts(make_docs, flip):
+    """Every text of an id takes part in links, in whatever order its rows come."""
+    one, other = ([f"{c}{i}" for i in range(50)] for c in "ab")
+    rows = [(5, " ".join(one)), (5, " ".join(other)), (7, " ".join([*other, "z"])), (9, " ".join([*one, "z"])), (11, "quite another text of some words")]
+    docs = make_docs(rows[::-1] if flip else rows)
+    got = sorted({(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()})
+    assert got == [(5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True)]
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()) == [5, 11]
+
+
+def test_repeated_ids_leave_one_row(make_docs):
+    rows = [(1, "x y"), (1, "x y"), (1, "x  y"), (0, "q"), (1, "q"), (2, None), (2, ""), (None, "x y"), (None, "w"), (None, "w")]
+    kept = exact_dedup.drop_exact_duplicates(make_docs(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(0, "q"), (1, "x  y"), (2, kept_text(kept, 2)), (None, "w")], key=repr)
+    near = near_dedup.drop_near_duplicates(make_docs(rows)).collect()
+    # Rows without an id are left alone, as are texts that are no near-copies.
+    assert sorted((r.doc_id for r in near), key=repr) == sorted([0, 2, None, None, None], key=repr)
+
+
+def kept_text(rows, doc_id):
+    return next(r.text for r in rows if r.doc_id == doc_id)
+
+
+def test_recall_near_the_threshold(make_docs):
+    """Thousands of pairs of a similarity of 0.80 to 0.85, every one of them found."""
+    source = random.Random(11)
+    rows, want = [], 0
+    for k in range(2500):
+        words = [f"k{k}w{i}" for i in range(80)]
+        changed = list(words)
+        at = source.randrange(4, 70)
+        for i in range(source.choice([2, 3, 4])):
+            changed[at + i] = f"new{k}x{i}"
+        one, other = ({tuple(w[i : i + 5]) for i in range(76)} for w in (words, changed))
+        similarity = len(one & other) / len(one | other)
+        assert 0.8 <= similarity <= 0.86, similarity
+        want += 1
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    got = near_dedup.near_duplicates(make_docs(rows))
+    assert got.where("component_id = doc_id - 1 AND doc_id % 2 = 1").count() == want
+    assert got.where("kept").count() == want
