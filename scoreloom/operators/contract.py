@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import dataclasses
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions import forward
+from scoreloom.functions.samples import vector_to_array
 from scoreloom.sources.labels import dictionary_of, number_classes
 
 
@@ -47,6 +52,51 @@ def fit_scaler(df: DataFrame, columns: list[str]) -> Scaler:
     )
 
 
+@dataclasses.dataclass(frozen=True)
+class VectorScaler:
+    """Mean and sample standard deviation of each element of a vector column."""
+
+    means: np.ndarray
+    stddevs: np.ndarray
+
+    def scaled(self, vectors: Column) -> Column:
+        """The vectors, arrays of floats, scaled as ``array<double>``; null stays null, another width is an error, an element that never changes becomes 0."""
+        means, factors = self.means, np.divide(1.0, self.stddevs, out=np.zeros_like(self.stddevs), where=self.stddevs > 0)
+
+        @F.arrow_udf("array<double>")
+        def scale(x: pa.Array) -> pa.Array:
+            valid = x.drop_null() if x.null_count else x
+            parts = [(part - means) * factors for _, part in forward.feature_chunks(valid, len(means))] if len(valid) else []
+            rows = forward.list_column(np.concatenate(parts)) if parts else pa.array([], pa.list_(pa.float64()))
+            if not x.null_count:
+                return rows
+            place = np.cumsum(np.asarray(x.is_valid())) - 1
+            return rows.take(pa.array(place, pa.int64(), mask=np.asarray(x.is_null())))
+
+        return scale(vectors)
+
+
+def fit_vector_scaler(df: DataFrame, column: str = "features") -> VectorScaler:
+    """One aggregation whose partial results, two vectors each, are merged in a tree; null vectors are left out, vectors of unequal widths are an error.
+
+    ``column`` is a vector or an array of floats.
+    """
+    kind = df.schema[column].dataType
+    vector = F.col(column) if isinstance(kind, VectorUDT) else array_to_vector(F.col(column).cast("array<double>"))
+    found = df.where(F.col(column).isNotNull()).select(vector.alias("x"))
+    # Grouped by a constant, so that no vectors give no row.
+    row = found.groupBy(F.lit(0)).agg(Summarizer.metrics("mean", "std").summary(F.col("x")).alias("s")).select("s.mean", "s.std").first()
+    if row is None:
+        raise ValueError("no vector to fit a scaler to")
+    return VectorScaler(row["mean"].toArray(), row["std"].toArray())
+
+
+def scale_vectors(df: DataFrame, column: str = "features", scaler: VectorScaler | None = None) -> DataFrame:
+    """``df`` with its vector column, any width, scaled to ``array<double>``: one plan whatever the width."""
+    scaler = scaler or fit_vector_scaler(df, column)
+    return vector_to_array(df, column).withColumn(column, scaler.scaled(F.col(column)))
+
+
 @dataclasses.dataclass(frozen=True)
 class Contract:
     """What one aggregation by class gives: the scaler and the dictionary ``(label, class_name, n)``."""

@@ -10,6 +10,8 @@ HISTORY_SCHEMA = (
     "val_loss double, val_acc double, train_s double, val_s double"
 )
 SERIES = ("train_loss", "train_acc", "val_loss", "val_acc")
+# The names of the series in a stored history.
+STORED_SERIES = ("train_losses", "train_accuracies", "val_losses", "val_accuracies")
 
 
 def mark_improvements(history: DataFrame) -> DataFrame:
@@ -52,3 +54,8 @@ def history_report(history: DataFrame) -> DataFrame:
         .agg(rows.alias("_rows"))
         .select("run_id", *[F.col(f"_rows.{s}").alias(s) for s in SERIES], F.size("_rows").alias("epochs"))
     )
+
+
+def stored_history(report: DataFrame) -> DataFrame:
+    """A history report under the names it is stored with."""
+    return report.withColumnsRenamed(dict(zip(SERIES, STORED_SERIES)))

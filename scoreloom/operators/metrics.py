@@ -1,6 +1,6 @@
 """Classification metrics, all derived from one small tally of the scored rows.
 
-A tally is ``(label, pred, n, loss_sum)``, at most classes^2 rows however large
+A tally is ``(label, pred, n, loss_sum)``, a row for each pair that occurs however large
 the table, optionally repeated per value of ``by`` columns (such as the model).
 Absent classes are kept by adding rows of zeros before the final sum, so no
 dictionary join is needed to fill gaps.
@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the name under which reports list the harmonic mean of precision and recall.
+F1_FIELD = "f1-score"
+
 
 def tally(scored: DataFrame, by: tuple[str, ...] = (), loss: str | None = "loss") -> DataFrame:
     """Count rows per (label, pred). The map side combines, so hot classes stay cheap."""
@@ -78,6 +81,27 @@ def confusion_counts(
     return cells.groupBy(*by, "label", "pred").agg(F.sum("n").alias("n"))
 
 
+def confusion_pairs(tallies: DataFrame, classes: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The confusion matrix as the pairs that occur: ``(label, pred, n, label_total, pred_total, pct)``.
+
+    The totals are the margins of the matrix, ``pct`` the share of the true class. With ``classes(label,
+    class_name)`` the names of both are added; a class outside it is an error. There are no more rows than
+    the table has different pairs, however many classes there are.
+    """
+    seen = tallies.groupBy(*by, "label", "pred").agg(F.sum("n").alias("n"))
+    margin = lambda column: F.sum("n").over(Window.partitionBy(*by, column))
+    pairs = seen.withColumns({"label_total": margin("label"), "pred_total": margin("pred")})
+    pairs = pairs.withColumn("pct", F.lit(100.0) * F.col("n") / F.col("label_total"))
+    if classes is None:
+        return pairs
+    for column in ("label", "pred"):
+        names = classes.select(F.col("label").alias("_class"), F.col("class_name").alias(f"{column}_name"))
+        unknown = F.raise_error(F.concat(F.lit(f"{column} outside the dictionary: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+        pairs = pairs.join(names, F.col(column) == F.col("_class"), "left").drop("_class")
+        pairs = pairs.withColumn(f"{column}_name", F.coalesce(F.col(f"{column}_name"), unknown.cast("string")))
+    return pairs.select(*by, "label", "label_name", "pred", "pred_name", "n", "label_total", "pred_total", "pct")
+
+
 def confusion_wide(confusion: DataFrame, num_classes: int) -> DataFrame:
     """One row per true class, one column per predicted class."""
     wide = confusion.groupBy("label").pivot("pred", list(range(num_classes))).agg(F.first("n"))
@@ -97,7 +121,11 @@ def class_report(
     by: tuple[str, ...] = (),
     values: list[str] | None = None,
 ) -> DataFrame:
-    """``(label, class_name, precision, recall, f1, support)`` for every class of the dictionary."""
+    """``(label, class_name, precision, recall, f1, support)`` for every class of the dictionary.
+
+    A dictionary that has the ``by`` column itself has the classes of each group.
+    """
+    own = bool(by) and by[0] in classes.columns
     n, zero = F.col("n"), F.lit(0).cast("bigint")
     hit = F.when(F.col("label") == F.col("pred"), n).otherwise(zero)
     as_truth = F.struct(
@@ -108,7 +136,8 @@ def class_report(
     )
     seen = tallies.select(*by, _known("label", num_classes), _known("pred", num_classes), "n")
     pieces = seen.select(*by, F.inline(F.array(as_truth, as_guess)))
-    blank = _group_rows(tallies.sparkSession, num_classes, by, values).select(
+    slots = classes.select(*by, F.col("label").alias("_cell")) if own else _group_rows(tallies.sparkSession, num_classes, by, values)
+    blank = slots.select(
         *by,
         F.col("_cell").cast("int").alias("label"),
         zero.alias("support"),
@@ -120,7 +149,7 @@ def class_report(
         .groupBy(*by, "label")
         .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
     )
-    return sums.join(classes, "label").select(
+    return sums.join(classes, [*by, "label"] if own else "label").select(
         *by,
         "label",
         "class_name",
@@ -163,44 +192,28 @@ def report_averages(report: DataFrame, tallies: DataFrame, by: tuple[str, ...] =
 def report_full(report: DataFrame, averages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Class rows and average rows in one table, with the totals on every row."""
     columns = [*by, "class_name", "precision", "recall", "f1", "support"]
-    rows = report.select(*columns, F.lit(1).alias("_class")).unionByName(
-        averages.select(*columns, F.lit(0).alias("_class"))
-    )
-    group = Window.partitionBy(*by)  # one row per class
-    return rows.select(
-        *columns,
-        F.sum(F.col("support") * F.col("_class")).over(group).alias("total_samples"),
-        F.sum("_class").over(group).cast("int").alias("num_classes"),
+    totals = report.groupBy(*by).agg(F.sum("support").alias("total_samples"), F.count("*").cast("int").alias("num_classes"))
+    rows = report.select(*columns).unionByName(averages.select(*columns))
+    # One row per group.
+    return (rows.join(F.broadcast(totals), list(by)) if by else rows.join(F.broadcast(totals), how="cross")).select(
+        *columns, "total_samples", "num_classes"
     )
 
 
-def report_row(report: DataFrame, averages: DataFrame) -> DataFrame:
-    """The full report as one nested row, the form written to JSON."""
-    entry = F.struct("precision", "recall", "f1", "support")
-    rows = report.select("class_name", entry.alias("entry"), "support", F.lit(True).alias("is_class")).unionByName(
-        averages.select("class_name", entry.alias("entry"), "support", F.lit(False).alias("is_class"))
-    )
-    pair = F.struct("class_name", "entry")
-    per_class = F.filter(F.collect_list(F.when(F.col("is_class"), pair)), lambda x: x.isNotNull())
-    average = F.filter(F.collect_list(F.when(~F.col("is_class"), pair)), lambda x: x.isNotNull())
-    counts = F.collect_list(F.when(F.col("is_class"), F.struct("class_name", "support")))
-    return rows.agg(  # one row per class
-        F.map_from_entries(F.array_sort(per_class)).alias("classes"),
-        F.map_from_entries(F.array_sort(average)).alias("averages"),
-        F.sum(F.when(F.col("is_class"), F.col("support"))).alias("total_samples"),
-        F.count_if("is_class").alias("num_classes"),
-        F.map_from_entries(F.array_sort(counts)).alias("class_distribution"),
-    )
+def report_rows(report: DataFrame, averages: DataFrame) -> DataFrame:
+    """The full report in the form in which it is stored: a row per class and per average, in order, names as reports list them."""
+    totals = report.agg(F.sum("support").alias("total_samples"), F.count("*").cast("int").alias("num_classes"))
+    shown = lambda kind, at: [F.lit(kind).alias("kind"), at.alias("label"), F.col("class_name"), F.col("precision"), F.col("recall"), F.col("f1").alias(F1_FIELD), F.col("support")]
+    rows = report.select(*shown("class", F.col("label"))).unionByName(averages.select(*shown("average", F.lit(None).cast("int"))))
+    return rows.join(F.broadcast(totals), how="cross").orderBy(F.desc("kind"), "label", "class_name")
 
 
 def data_statistics(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``(total_samples, label_distribution, num_classes)``, observed classes only."""
+    """``(label, n, total_samples, num_classes)``: a row per observed class, with the totals on every row."""
     counts = samples.groupBy(*by, "label").agg(F.count("*").alias("n"))
-    return counts.groupBy(*by).agg(  # one row per observed class
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_samples"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_distribution"),
-        F.count("*").alias("num_classes"),
-    )
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("total_samples"), F.count("*").alias("num_classes"))
+    # One row per group.
+    return (counts.join(totals, list(by)) if by else counts.join(F.broadcast(totals), how="cross")).select(*by, "label", "n", "total_samples", "num_classes")
 
 
 def class_distribution(samples: DataFrame, classes: DataFrame) -> DataFrame:
@@ -226,8 +239,7 @@ def comparison(report: DataFrame, tallies: DataFrame, model_column: str, models:
             )
         ),
     )
-    # Metric names as the comparison report lists them.
-    names = (("precision", "precision"), ("recall", "recall"), ("f1-score", "f1"))
+    names = (("precision", "precision"), ("recall", "recall"), (F1_FIELD, "f1"))
     averaged = report_averages(report, tallies, by).where(F.col("class_name") != "accuracy").select(
         model_column,
         F.inline(

@@ -13,7 +13,7 @@ from scoreloom.functions.scoring import tally_scores
 from scoreloom.functions.updates import TrainState
 from scoreloom.model import Model, ModelShape, init_model
 from scoreloom.operators import metrics
-from scoreloom.operators.history import HISTORY_SCHEMA, history_report
+from scoreloom.operators.history import HISTORY_SCHEMA, history_report, stored_history
 from scoreloom.operators.sharding import shard_manifest
 from scoreloom.operators.status import run_status
 from scoreloom.operators.training import StoredBlocks, store_blocks, train_epoch
@@ -100,7 +100,7 @@ def train_model(
             if model_path:
                 write_model(spark, model, model_path, run_id, epoch)
         if history_path and (epoch % SNAPSHOT_EVERY == 0 or epoch == config.epochs):
-            write_report(history_report(spark.createDataFrame(rows, HISTORY_SCHEMA)), history_path)
+            write_report(stored_history(history_report(spark.createDataFrame(rows, HISTORY_SCHEMA))), history_path)
     return TrainResult(
         run_id,
         spark.createDataFrame(rows, HISTORY_SCHEMA),

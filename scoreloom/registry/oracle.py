@@ -12,7 +12,7 @@ from scoreloom.functions import updates
 from scoreloom.model import WEIGHT_NAMES
 from scoreloom.operators.sharding import ROWS_PER_SHARD
 from scoreloom.operators import training
-from scoreloom.registry.spark_queries import BATCH, BATCH_SHARDS, EPOCH_STEPS, EPOCHS, MANY_SHARDS, RATE, SHARDS, SHUFFLED_EPOCHS
+from scoreloom.registry.spark_queries import BATCH, BATCH_SHARDS, CLASS_LISTS, EPOCH_STEPS, EPOCHS, MANY_SHARDS, RATE, SHARDS, SHUFFLED_EPOCHS
 
 
 def _count(table: str, at_least: int, rows_per_shard: int = ROWS_PER_SHARD) -> str:
@@ -306,7 +306,7 @@ every AS (
   UNION ALL SELECT 'overall', 'all', 'loss', avg(loss) FROM scored
   UNION ALL SELECT 'overall', 'all', 'total_samples', count(*)::DOUBLE FROM scored
   UNION ALL {values}
-  UNION ALL SELECT 'confusion', label::VARCHAR, pred::VARCHAR, n::DOUBLE FROM cells)
+  UNION ALL SELECT 'confusion', label::VARCHAR, pred::VARCHAR, n::DOUBLE FROM cells WHERE n > 0)
 SELECT section, name, metric, round(value, 6) AS value FROM every"""
 
 
@@ -332,6 +332,47 @@ every AS (
 SELECT metric, {columns} FROM every GROUP BY metric"""
 
 
+def _listed() -> str:
+    """CTEs to ``report`` of two results over ``lineitem``, each over the names of its own list."""
+    known = ", ".join(f"('{model}', '{name}')" for model, names in CLASS_LISTS.items() for name in names)
+    return f"""stacked AS (SELECT 'flags' AS model, l_returnflag AS truth, {CLASS_LISTS['flags']}[l_linenumber % 3 + 1] AS guess, l_tax AS loss FROM lineitem
+  UNION ALL SELECT 'mixed', CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE l_linestatus END,
+    CASE WHEN l_quantity < 25 THEN l_linestatus ELSE l_returnflag END, l_discount FROM lineitem WHERE l_linenumber < 6),
+known AS (SELECT * FROM (VALUES {known}) v(model, class_name)),
+sums AS (SELECT k.model, class_name, count(truth) FILTER (truth = class_name) AS support, count(truth) FILTER (guess = class_name) AS predicted,
+    count(truth) FILTER (truth = class_name AND guess = class_name) AS tp
+  FROM known k LEFT JOIN stacked s ON s.model = k.model AND (truth = class_name OR guess = class_name) GROUP BY 1, 2),
+report AS (SELECT model, class_name, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+    CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+    CASE WHEN predicted + support > 0 THEN 2.0 * tp / (predicted + support) ELSE 0.0 END AS f1, support FROM sums)"""
+
+
+def _class_lists() -> str:
+    columns = ", ".join(f"round(max(value) FILTER (model = '{m}'), 6) AS {m}" for m in CLASS_LISTS)
+    averaged = " UNION ALL ".join(
+        f"SELECT model, class_name || '_{shown}' AS metric, {c} AS value FROM averages WHERE class_name <> 'accuracy'"
+        for shown, c in (("precision", "precision"), ("recall", "recall"), ("f1-score", "f1"))
+    )
+    return f"""WITH {_listed()},{_averages(by='model')},
+every AS (SELECT model, 'accuracy' AS metric, avg((truth = guess)::INTEGER)::DOUBLE AS value FROM stacked GROUP BY model
+  UNION ALL SELECT model, 'loss', avg(loss) FROM stacked GROUP BY model UNION ALL {averaged})
+SELECT metric, {columns} FROM every GROUP BY metric"""
+
+
+def _classes() -> str:
+    union = list(dict.fromkeys(name for names in CLASS_LISTS.values() for name in names))
+    columns = ", ".join(f"round(max(value) FILTER (model = '{m}'), 6) AS {m}" for m in CLASS_LISTS)
+    parts = " UNION ALL ".join(
+        f"SELECT model, class_name, '{shown}' AS metric, {c}::DOUBLE AS value FROM report"
+        for shown, c in (("precision", "precision"), ("recall", "recall"), ("f1-score", "f1"), ("support", "support"))
+    )
+    return f"""WITH {_listed()} SELECT (list_position({union}, class_name) - 1)::INTEGER AS label, class_name, metric, {columns}
+FROM ({parts}) GROUP BY class_name, metric"""
+
+
+_MOMENTS = "SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM (SELECT unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY i"
+
+
 _DATA_SHAPE = """shape AS (SELECT max(len(embedding)) AS f, count(DISTINCT label) AS c, 16 AS h FROM embeddings)"""
 _CLASS_REPORT = f"""WITH {EMB_SCORED}, {EMB_CLASSES},{_report('scored', 'classes')}
 SELECT label, class_name, {R6_REPORT} FROM report"""
@@ -392,6 +433,13 @@ SELECT a.label, b.label AS pred, count(s.label) AS n FROM classes a CROSS JOIN c
 LEFT JOIN scored s ON s.label = a.label AND s.pred = b.label GROUP BY 1, 2""",
     "confusion_wide": f"""WITH {LINE_SCORED} SELECT f.label, {', '.join(
         f'count(*) FILTER (pred = {k}) AS pred_{k}' for k in range(3))} FROM flags f LEFT JOIN scored s USING (label) GROUP BY 1""",
+    "confusion_pairs": f"""WITH {EMB_SCORED}, seen AS (SELECT label, pred, count(*) AS n FROM scored GROUP BY 1, 2)
+SELECT label, 'class_' || label AS label_name, pred, 'class_' || pred AS pred_name, n, (sum(n) OVER (PARTITION BY label))::BIGINT AS label_total,
+  (sum(n) OVER (PARTITION BY pred))::BIGINT AS pred_total, round(100.0 * n / sum(n) OVER (PARTITION BY label), 6)::DOUBLE AS pct FROM seen""",
+    "compare_class_lists": _class_lists(),
+    "compare_classes": _classes(),
+    "scale_vectors": f"""WITH moments AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM ({_MOMENTS}))
+SELECT vec_id, {', '.join(f"round((embedding[{i + 1}]::DOUBLE - m[{i + 1}]) / s[{i + 1}], 6) AS z{i}" for i in range(64))} FROM embeddings, moments""",
     "confusion_percent": """WITH cells AS (SELECT a.i::INTEGER AS label, b.i::INTEGER AS pred, count(quality) AS n
   FROM range(3) a(i) CROSS JOIN range(3) b(i) LEFT JOIN labels ON quality = a.i AND toxic = b.i GROUP BY 1, 2)
 SELECT label, pred, n, round(100.0 * n / nullif(sum(n) OVER (PARTITION BY label), 0), 6)::DOUBLE AS pct FROM cells""",

@@ -14,8 +14,9 @@ from scoreloom.functions.text import format_metric, run_stamp, stamped_output
 from scoreloom.functions.updates import TrainState
 from scoreloom.model import ModelShape, init_model
 from scoreloom.operators import batches, clean, contract, history, metrics, sharding, status, training
-from scoreloom.plans.evaluate import compare_models, compare_results, evaluate_performance, evaluate_test
+from scoreloom.plans.evaluate import compare_classes, compare_models, compare_results, evaluate_performance, evaluate_test
 from scoreloom.plans.prepare import prepare_shards
+from scoreloom.plans.settle import settle
 from scoreloom.plans.train import train_model
 from scoreloom.registry import datasets as D
 from scoreloom.registry.patterns import pattern_model
@@ -130,12 +131,13 @@ def read_shard(spark, sf):
     return whole.select("shard", F.col("key").alias("vec_id"), "label", *_spell("features", 4, "f"))
 
 
-REPORT_SCHEMA = "label int, class_name string, precision double, recall double, f1 double, support bigint"
-
-
 def report_sink(spark, sf):
-    path = outputs.write_report(class_report(spark, sf), scratch_path(spark, "report"))
-    return outputs.read_report(spark, path, REPORT_SCHEMA)
+    """The class rows of a stored report, a row per class, written in order."""
+    tallies, classes = settle(_embedding_tallies(spark, sf)), labels.class_table(spark, D.EMBEDDING_CLASSES)
+    report = metrics.class_report(tallies, classes, 10)
+    rows = metrics.report_rows(report, metrics.report_averages(report, tallies))
+    stored = outputs.read_report(spark, outputs.write_rows(rows, scratch_path(spark, "report")), outputs.REPORT_SCHEMA)
+    return _rounded_report(stored.where("kind = 'class'").withColumnRenamed(metrics.F1_FIELD, "f1"), "label", "class_name")
 
 
 def _embedding_classes(spark, sf) -> DataFrame:
@@ -320,8 +322,7 @@ def shard_totals(spark, sf):
 def data_statistics(spark, sf):
     events = D.table(spark, sf, "events")
     indexed = contract.index_labels(events, "event_type", labels.fit_dictionary(events, "event_type"))
-    stats = metrics.data_statistics(indexed.select(F.col("label").cast("int").alias("label")))
-    return stats.select("total_samples", "num_classes", F.explode("label_distribution").alias("label", "n"))
+    return metrics.data_statistics(indexed.select(F.col("label").cast("int").alias("label")))
 
 
 def class_distribution(spark, sf):
@@ -366,6 +367,19 @@ def confusion_percent(spark, sf):
     return shares.select("label", "pred", "n", _r6(F.col("pct")).alias("pct"))
 
 
+def confusion_pairs(spark, sf):
+    """The pairs of classes that occur, with names, margins and shares, stored and read back."""
+    classes = labels.class_table(spark, D.EMBEDDING_CLASSES)
+    pairs = metrics.confusion_pairs(_embedding_tallies(spark, sf), classes).orderBy("label", "pred")
+    stored = outputs.read_report(spark, outputs.write_rows(pairs, scratch_path(spark, "confusion")), CONFUSION_SCHEMA)
+    return stored.withColumn("pct", _r6(F.col("pct")))
+
+
+CONFUSION_SCHEMA = (
+    "label int, label_name string, pred int, pred_name string, n bigint, label_total bigint, pred_total bigint, pct double"
+)
+
+
 def _rounded_report(report: DataFrame, *keep: str) -> DataFrame:
     return report.select(*keep, *[_r6(F.col(m)).alias(m) for m in ("precision", "recall", "f1")], "support")
 
@@ -411,6 +425,35 @@ def compare_results_query(spark, sf):
     return out.select("metric", *[_r6(F.col(name)).alias(name) for name in stored])
 
 
+# Class lists of two results over ``lineitem`` that share some names, under other ids.
+CLASS_LISTS = {"flags": ["A", "N", "R"], "mixed": ["O", "R", "F", "N", "A"]}
+
+
+def _listed_results(spark, sf) -> dict[str, DataFrame]:
+    """Two results with class lists of their own: guesses taken from other columns of a line."""
+    line = D.table(spark, sf, "lineitem")
+    ids = {model: F.create_map(*[x for k, name in enumerate(names) for x in (F.lit(name), F.lit(k))]) for model, names in CLASS_LISTS.items()}
+    flag, status_, three = F.col("l_returnflag"), F.col("l_linestatus"), F.element_at(F.array(*map(F.lit, CLASS_LISTS["flags"])), F.col("l_linenumber") % 3 + 1)
+    mixed = F.when(F.col("l_linenumber") % 2 == 0, flag).otherwise(status_)
+    guess = F.when(F.col("l_quantity") < 25, status_).otherwise(flag)
+    return {
+        "flags": line.select(ids["flags"][flag].alias("label"), ids["flags"][three].alias("pred"), F.col("l_tax").alias("loss")),
+        "mixed": line.where("l_linenumber < 6").select(ids["mixed"][mixed].alias("label"), ids["mixed"][guess].alias("pred"), F.col("l_discount").alias("loss")),
+    }
+
+
+def compare_class_lists(spark, sf):
+    """The comparison of a result of three classes and one of five."""
+    out = compare_results(_listed_results(spark, sf), CLASS_LISTS)
+    return out.select("metric", *[_r6(F.col(name)).alias(name) for name in CLASS_LISTS])
+
+
+def compare_classes_query(spark, sf):
+    """Class by class, over the names of both."""
+    out = compare_classes(_listed_results(spark, sf), CLASS_LISTS)
+    return out.select("label", "class_name", "metric", *[_r6(F.col(name)).alias(name) for name in CLASS_LISTS])
+
+
 def experiment_summary(spark, sf):
     """Runs named by order status; only those that also occur as line status were evaluated."""
     trained = D.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("run_id")).agg(
@@ -527,7 +570,7 @@ def model_info(spark, sf):
     """A model for the table's width and classes, stored, and described from the stored weights."""
     shape, path = _data_shape(spark, sf), scratch_path(spark, "model")
     models.write_model(spark, init_model(shape), path, "run", 1)
-    return models.model_info(spark.read.schema(models.MODEL_SCHEMA).parquet(path), shape).drop("epoch")
+    return models.model_info(models.saved_models(spark, path), shape).drop("epoch")
 
 
 # --- input contract ----------------------------------------------------------
@@ -540,6 +583,12 @@ def scale_features(spark, sf):
     return scaled.select("l_orderkey", "l_linenumber", *_spell("z", 4, "z"))
 
 
+def scale_vectors(spark, sf):
+    """A stored vector column, scaled by the moments of its elements."""
+    scaled = contract.scale_vectors(D.table(spark, sf, "embeddings"), "embedding")
+    return scaled.select("vec_id", *_spell("embedding", 64, "z"))
+
+
 def index_labels(spark, sf):
     events = D.table(spark, sf, "events")
     out = contract.index_labels(events, "event_type", labels.fit_dictionary(events, "event_type"))
@@ -589,6 +638,7 @@ QUERIES = {
     "accuracy": accuracy,
     "confusion_counts": confusion_counts,
     "confusion_wide": confusion_wide,
+    "confusion_pairs": confusion_pairs,
     "confusion_percent": confusion_percent,
     "class_report": class_report,
     "report_averages": report_averages,
@@ -596,6 +646,8 @@ QUERIES = {
     "evaluate_performance": evaluate_performance_query,
     "compare_models": compare_models_query,
     "compare_results": compare_results_query,
+    "compare_class_lists": compare_class_lists,
+    "compare_classes": compare_classes_query,
     "experiment_summary": experiment_summary,
     "epoch_history": epoch_history,
     "best_epoch": best_epoch,
@@ -612,6 +664,7 @@ QUERIES = {
     "run_status": run_status,
     "model_info": model_info,
     "scale_features": scale_features,
+    "scale_vectors": scale_vectors,
     "index_labels": index_labels,
     "class_weights": class_weights,
     "split_rows": split_rows,

@@ -1,5 +1,6 @@
 """Scans, sample form and rejects on hand-made edge rows."""
 
+import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
@@ -203,3 +204,34 @@ def test_scratch_folder_comes_from_the_settings_alone(spark):
     assert shared_folder(Plain) == "hdfs://x/warehouse/_scratch"
     Plain.conf.known["spark.checkpoint.dir"] = "hdfs://x/shared/"
     assert shared_folder(Plain) == "hdfs://x/shared"
+
+
+@pytest.mark.parametrize("width", [3, 4096])
+def test_vectors_are_scaled_whatever_their_width(spark, width):
+    """By mean and sample deviation of each element; one plan for any width."""
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(40, width)) * 3 + 10
+    x[:, 1] = 2.5  # never changes
+    rows = [(i, v.tolist() if i != 7 else None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, features array<double>").repartition(3)
+    known = np.delete(x.astype(np.float32).astype(float), 7, axis=0)
+    want = (known - known.mean(axis=0)) / np.where(known.std(axis=0, ddof=1) > 0, known.std(axis=0, ddof=1), 1)
+    scaled = contract.scale_vectors(df.withColumn("features", F.col("features").cast("array<float>")))
+    got = {r["id"]: r["features"] for r in scaled.collect()}
+    assert got.pop(7) is None and len(got) == 39
+    assert np.allclose(np.array([got[i] for i in sorted(got)]), want, atol=1e-5)
+    assert all(v[1] == 0 for v in got.values())
+    assert len(scaled._jdf.queryExecution().optimizedPlan().toString()) < 3000
+
+
+def test_stored_vector_columns_are_scaled(spark):
+    df = spark.createDataFrame([(Vectors.dense([1.0, 5.0]),), (Vectors.sparse(2, [0], [3.0]),), (None,)], ["features"])
+    got = [r["features"] for r in contract.scale_vectors(df).collect()]
+    assert got[2] is None and np.allclose(got[:2], [[-(0.5**0.5), 0.5**0.5], [0.5**0.5, -(0.5**0.5)]])
+
+
+def test_unequal_widths_and_no_vectors_are_errors(spark):
+    with pytest.raises(Exception):
+        contract.scale_vectors(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "features array<double>")).collect()
+    with pytest.raises(ValueError):
+        contract.fit_vector_scaler(spark.createDataFrame([(None,)], "features array<double>"))
