@@ -85,7 +85,7 @@ def fit_vector_scaler(df: DataFrame, column: str = "features") -> VectorScaler:
     vector = F.col(column) if isinstance(kind, VectorUDT) else array_to_vector(F.col(column).cast("array<double>"))
     found = df.where(F.col(column).isNotNull()).select(vector.alias("x"))
     # Grouped by a constant, so that no vectors give no row.
-    row = found.groupBy(F.lit(0)).agg(Summarizer.metrics("mean", "std").summary(F.col("x")).alias("s")).select("s.mean", "s.std").first()
+    row = found.groupBy(F.lit(True).alias("all")).agg(Summarizer.metrics("mean", "std").summary(F.col("x")).alias("s")).select("s.mean", "s.std").first()
     if row is None:
         raise ValueError("no vector to fit a scaler to")
     return VectorScaler(row["mean"].toArray(), row["std"].toArray())
