@@ -31,10 +31,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import stored
+from scoreloom.llm.common import let, stored
 
 _MARK = r"^(\s*>)+ ?"
-_PASSAGE = "struct<level:int,body:string>"
 # Fixed value: passages of fewer words link as whole lines only.
 EXCERPT_WORDS = 4
 
@@ -49,15 +48,19 @@ def passages(text: Column) -> Column:
         ),
     )
 
-    def join(done, line):
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.struct(line["level"].alias("level"), F.concat(last["body"], F.lit("\n"), line["body"]).alias("body"))
-        same = F.coalesce(last["level"] == line["level"], F.lit(False))
-        return F.when(same, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(
-            F.concat(done, F.array(line))
-        )
+    def runs(lines):
+        # Where the level changes; a run goes on to the next such place.
+        first = lambda i: (i == 1) | (F.element_at(lines, i)["level"] != F.element_at(lines, F.greatest(i - 1, F.lit(1)))["level"])
+        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), first)
+
+        def cut(starts):
+            ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines) + 1))
+            body = lambda start, end: F.array_join(F.transform(F.slice(lines, start, end - start), lambda line: line["body"]), "\n")
+            return F.zip_with(starts, ends, lambda start, end: F.struct(F.element_at(lines, start)["level"].alias("level"), body(start, end).alias("body")))
+
+        return let(starts, cut)
 
-    return F.aggregate(lines, F.array().cast(f"array<{_PASSAGE}>"), join)
+    return let(lines, runs)
 
 
 def normalised(passage: Column) -> Column:

@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.sources.scratch import scratch_path
@@ -72,6 +72,39 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def with_running(df: DataFrame, totals: dict[str, Column], start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """``df`` with the running totals of arrays, by an associative ``step`` with the neutral element ``start``.
+
+    An array is cut into about as many blocks as a block has values. Totals are taken within blocks, then over
+    blocks, so that no array grows by one value at a time beyond a block: n values cost n to the power of 1.5 copies.
+    One projection for each of these, as lambda functions within each other are slow to resolve.
+    """
+
+    def within(block):
+        return F.aggregate(block, F.array(start), lambda done, x: F.concat(done, F.array(step(F.element_at(done, -1), x))))
+
+    def cut(values):
+        size = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
+        firsts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(firsts, lambda b: F.slice(values, b * size + 1, size))
+
+    def moved(name):
+        after = lambda part, offset: F.transform(F.slice(part, 2, F.size(part)), lambda x: step(offset, x))
+        return F.flatten(F.zip_with(F.col(f"{name} parts"), F.slice(F.col(f"{name} before"), 1, F.size(F.col(f"{name} parts"))), after))
+
+    columns = df.columns
+    df = df.withColumns({f"{name} values": values for name, values in totals.items()})
+    df = df.withColumns({f"{name} cut": cut(F.col(f"{name} values")) for name in totals})
+    df = df.withColumns({f"{name} parts": F.transform(F.col(f"{name} cut"), within) for name in totals})
+    df = df.withColumns({f"{name} before": within(F.transform(F.col(f"{name} parts"), lambda part: F.element_at(part, -1))) for name in totals})
+    return df.select(*[F.col(f"`{c}`") for c in columns], *[moved(name).alias(name) for name in totals])
+
+
 def same_id(left, right):
     """Join condition on ids that also pairs nulls."""
     return left.eqNullSafe(right)

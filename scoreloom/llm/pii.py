@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import stored
+from scoreloom.llm.common import stored, with_running
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -80,21 +80,59 @@ ACCEPT = 0.9
 FAILED = BASE | {"card": r"[0-9](?:[\x20-]?[0-9]){12,}+"}
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """``array<struct<start, end, span>>`` of the leftmost non-overlapping matches, in code points."""
-    between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,span:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
+def with_spans(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` with an ``array<struct<start, end, span, before>>`` for each named ``(pattern, needed)``: its leftmost non-overlapping matches, in code points, where ``needed``.
 
-    def step(state, pair):
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("span"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+    Places are running totals of the lengths of matches and of the text between them; ``before``, the characters before
+    a span, is put together from the pieces before it. Nothing counts characters from the beginning of the text again.
+    """
+    columns, chars, of = df.columns, F.lit(CONTEXT_CHARS), lambda name, what: F.col(f"{name} {what}")
+    none = F.array().cast("array<string>")
+    found = {f"{n} found": F.when(needed, F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).otherwise(none) for n, (p, needed) in patterns.items()}
+    df = df.withColumns(found)
+    between = lambda n, p: F.when(F.size(of(n, "found")) > 0, F.slice(F.split(F.col(text), p, -1), 1, F.size(of(n, "found")))).otherwise(none)
+    df = df.withColumns({f"{n} gaps": between(n, p) for n, (p, _) in patterns.items()})
+    sizes = {f"{n} ends": F.zip_with(of(n, "gaps"), of(n, "found"), lambda g, m: F.length(g) + F.length(m)) for n in patterns}
+    df = with_running(df, sizes, F.lit(0), lambda done, x: done + x)
+    # A piece has a character at least, so as many of the pieces before as characters are asked for will do.
+    tail = lambda g, m: F.right(F.concat(F.right(g, chars), m), chars)
+    df = df.withColumns({f"{n} tails": F.zip_with(of(n, "gaps"), of(n, "found"), tail) for n in patterns})
+
+    def span(n):
+        def build(m, i):
+            earlier = F.array_join(F.slice(of(n, "tails"), F.greatest(i - chars, F.lit(0)) + 1, F.least(i, chars)), "")
+            before = F.right(F.concat(earlier, F.right(of(n, "gaps")[i], chars)), chars)
+            return F.struct((of(n, "ends")[i] - F.length(m)).alias("start"), of(n, "ends")[i].alias("end"), m.alias("span"), before.alias("before"))
+
+        return F.transform(of(n, "found"), build)
+
+    return df.select(*columns, *[span(n).alias(n) for n in patterns])
+
+
+def only_apart(df: DataFrame, pairs: dict[str, Column]) -> DataFrame:
+    """``df`` whose named columns keep the spans, none of which overlap each other, that none of the paired others overlaps.
+
+    All are put in one order, a span by its end and another by its start. A span is apart if, of the
+    others that start before its end, none ends after its start: a running maximum tells.
+    """
+    columns = df.columns
+    event = lambda key, last, end, s: F.struct(key.alias("key"), last.alias("last"), end.alias("end"), s.alias("span"))
+
+    def events(name, others):
+        nothing = F.when(F.lit(False), F.element_at(F.col(name), 1))
+        asked = F.transform(F.col(name), lambda s: event(s["end"], F.lit(0), F.lit(-1), s))
+        given = F.transform(others, lambda o: event(o["start"], F.lit(1), o["end"], nothing))
+        some = (F.size(F.col(name)) > 0) & (F.size(others) > 0)
+        return F.when(some, F.array_sort(F.concat(asked, given))).otherwise(asked)
+
+    df = df.withColumns({f"{name} events": events(name, others) for name, others in pairs.items()})
+    df = with_running(df, {f"{name} latest": F.transform(F.col(f"{name} events"), lambda e: e["end"]) for name in pairs}, F.lit(-1), F.greatest)
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, zero, step, lambda state: state["found"])
+    def kept(name):
+        marked = F.zip_with(F.col(f"{name} events"), F.col(f"{name} latest"), lambda e, end: F.struct(e["span"].alias("span"), end.alias("end")))
+        return F.transform(F.filter(marked, lambda m: m["span"].isNotNull() & (m["end"] <= m["span"]["start"])), lambda m: m["span"])
+
+    return df.select(*[kept(c).alias(c) if c in pairs else F.col(f"`{c}`") for c in columns])
 
 
 def _digits(span: Column) -> Column:
@@ -125,10 +163,12 @@ def valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    found = F.filter(spans_of(text, BASE[kind]), lambda s: valid(kind, s["span"]))
-    needed = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]")
-    return F.when(needed, found).otherwise(F.array().cast("array<struct<start:int,end:int,span:string>>"))
+def with_base_spans(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with a column of base spans for each kind."""
+    may = {kind: F.contains(F.col(text), F.lit(_NEEDS[kind])) if kind in _NEEDS else F.col(text).rlike("[0-9]") for kind in KINDS}
+    df = with_spans(df, text, {kind: (BASE[kind], may[kind]) for kind in KINDS})
+    passing = lambda kind: F.filter(F.col(kind), lambda s: valid(kind, s["span"]))
+    return df.withColumns({kind: passing(kind) for kind in KINDS})
 
 
 def _plausible(kind: str, span: Column) -> Column:
@@ -152,34 +192,38 @@ def strict(kind: str, span: Column) -> Column:
     return canonical(kind, span).rlike(f"^(?:{BASE[kind]})$") & valid(kind, canonical(kind, span))
 
 
-def before_of(text: Column, start: Column) -> Column:
-    return F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-
+def with_loose_spans(df: DataFrame, text: str) -> DataFrame:
+    """``df``, with its base spans, and for each kind a column of looser spans that no base span overlaps, with ``open`` for those that a labeler had to propose."""
+    columns = df.columns
+    may = {"email": r"[\[(] ?at ?[\])]| at [A-Za-z0-9-]+ dot ", "ip": r"[0-9][^0-9]{1,9}[0-9]", "card": "[0-9]{2}", "phone": "[0-9]{2}"}
+    needed = {kind: F.col(text).rlike(pattern) for kind, pattern in may.items()}
+    numbers = [kind for kind in KINDS if kind != "email"]
+    patterns = {f"loose_{kind}": (LOOSE[kind], needed[kind]) for kind in KINDS} | {f"open_{kind}": (OPEN[kind], needed[kind]) for kind in KINDS}
+    # Matches that fail their check.
+    patterns |= {f"failed_{kind}": (FAILED[kind], needed[kind]) for kind in numbers}
+    df = with_spans(df, text, patterns)
 
-def _loose_spans(text: Column, kind: str) -> Column:
-    """Looser spans that no base span overlaps, with ``open`` for those that a labeler had to propose."""
-    apart = lambda s, others: ~F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    as_found = lambda is_open: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["span"].alias("span"), F.lit(is_open).alias("open"))
-    none = F.array().cast("array<struct<start:int,end:int,span:string,open:boolean>>")
-    base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    loose = F.filter(spans_of(text, LOOSE[kind]), lambda s: _plausible(kind, s["span"]))
-    loose = F.transform(loose, as_found(False))
-    if kind != "email":
-        # Matches that fail their check.
-        failed = F.filter(spans_of(text, FAILED[kind]), lambda s: _plausible(kind, s["span"]) & ~valid(kind, s["span"]))
-        loose = F.aggregate(F.transform(failed, as_found(False)), loose, lambda done, s: F.when(apart(s, done), F.concat(done, F.array(s))).otherwise(done))
-
-    def proposed(s):
-        by = {"gazetteer": canonical(kind, s["span"]).rlike(GAZETTEER[kind]), "context": before_of(text, s["start"]).rlike(CONTEXT[kind])}
+    def proposed(kind, s):
+        by = {"gazetteer": lambda: canonical(kind, s["span"]).rlike(GAZETTEER[kind]), "context": lambda: s["before"].rlike(CONTEXT[kind])}
         out = F.lit(False)
         for name in PROPOSERS[kind]:
-            out = out | by[name]
-        return out & _plausible(kind, s["span"])
+            out = out | by[name]()
+        return out
+
+    def candidates(name, kind):
+        wanted = {"loose": lambda s: F.lit(True), "failed": lambda s: ~valid(kind, s["span"]), "open": lambda s: proposed(kind, s)}[name]
+        kept = F.filter(F.col(f"{name}_{kind}"), lambda s: _plausible(kind, s["span"]) & wanted(s))
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["span"].alias("span"), s["before"].alias("before"), F.lit(name == "open").alias("open")))
 
-    more = F.transform(F.filter(spans_of(text, OPEN[kind]), proposed), as_found(True))
-    found = F.aggregate(more, loose, lambda done, s: F.when(apart(s, done), F.concat(done, F.array(s))).otherwise(done))
-    needed = text.rlike(r"[\[(] ?at ?[\])]| at [A-Za-z0-9-]+ dot ") if kind == "email" else text.rlike({"ip": r"[0-9][^0-9]{1,9}[0-9]", "card": "[0-9]{2}", "phone": "[0-9]{2}"}[kind])
-    return F.when(needed, F.filter(found, lambda s: apart(s, base))).otherwise(none)
+    df = df.withColumns({f"{name}_{kind}": candidates(name, kind) for name in ("loose", "open") for kind in KINDS})
+    df = df.withColumns({f"failed_{kind}": candidates("failed", kind) for kind in numbers})
+    # Matches of one pattern do not overlap each other, so each is held against those of the others only.
+    df = only_apart(df, {f"failed_{kind}": F.col(f"loose_{kind}") for kind in numbers})
+    df = df.withColumns({f"loose_{kind}": F.concat(f"loose_{kind}", f"failed_{kind}") for kind in numbers})
+    df = only_apart(df, {f"open_{kind}": F.col(f"loose_{kind}") for kind in KINDS})
+    df = df.withColumns({f"loose_{kind}": F.concat(f"loose_{kind}", f"open_{kind}") for kind in KINDS})
+    df = only_apart(df, {f"loose_{kind}": F.concat(*KINDS) for kind in KINDS})
+    return df.select(*columns, *[f"loose_{kind}" for kind in KINDS])
 
 
 def _votes(kind: str, span: Column, before: Column, certain: Column) -> list[Column]:
@@ -282,13 +326,12 @@ def _joined(spans: Column) -> Column:
 
 def find_personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` for each row of ``docs(doc_id, text)``."""
-    text = F.col("_text")
 
     def judged(kind, base):
         """A span with its votes and features; the text of the span itself is not kept."""
 
         def build(s):
-            before = before_of(text, s["start"])
+            before = s["before"]
             votes = [F.lit(1).alias("v_regex"), *_votes(kind, s["span"], before, F.lit(True))[1:]] if base else _votes(kind, s["span"], before, ~s["open"])
             return F.struct(
                 F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("strict"),
@@ -298,14 +341,13 @@ def find_personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
         return build
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = rows.select("*", *[base_spans(text, kind).alias(f"_{kind}") for kind in KINDS])
-    rows = rows.select("*", *[_loose_spans(text, kind).alias(f"_loose_{kind}") for kind in LOOSE])
+    rows = with_loose_spans(with_base_spans(rows, "_text"), "_text")
     found = stored(
         rows.select(
             "doc_id",
             F.concat(
-                *[F.transform(f"_{kind}", judged(kind, True)) for kind in KINDS],
-                *[F.transform(f"_loose_{kind}", judged(kind, False)) for kind in LOOSE],
+                *[F.transform(kind, judged(kind, True)) for kind in KINDS],
+                *[F.transform(f"loose_{kind}", judged(kind, False)) for kind in KINDS],
             ).alias("found"),
         ),
         "spans",

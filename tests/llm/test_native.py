@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import pytest
@@ -283,3 +284,31 @@ def test_quotes_of_parts(spark):
     linked = {(1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 7): 6, (1, 8): 6, (1, 13): 12, (None, 1): 0}
     assert got == {(c, t): (linked.get((c, t)), int((c, t) in linked)) for c, t, _ in rows}
     assert native_only(df)
+
+
+def test_a_hundred_thousand_spans_in_one_text(make_docs):
+    """Work grows with a text about as its length does, whatever it holds."""
+    many = 100_000
+    text = "".join(f"{i % 250}.{i % 13}.{i % 7}.9 é" for i in range(many))
+    mixed = "host 10.0.0.1, call 555-010-1234 card 4111 1111 1111 1112; " * 3000
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in pii.find_personal_data(make_docs([(1, text), (2, mixed), (3, "10.0.0.1")])).collect()}
+    assert time.perf_counter() - began < 60
+    assert rows[1].n_ip == many and rows[2].n_ip == 3000 and rows[3].spans == "ip:0:8"
+    at, want = 0, []
+    for i in range(many):
+        size = len(f"{i % 250}.{i % 13}.{i % 7}.9")
+        want.append(f"ip:{at}:{at + size}")
+        at += size + 2
+    assert rows[1].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
+def test_a_hundred_thousand_lines_in_one_message(spark):
+    lines = [("> " if i % 2 else "") + f"line number {i}" for i in range(100_000)]
+    schema = "conv_id long, turn long, role string, text string"
+    began = time.perf_counter()
+    rows = chat.format_conversations(spark.createDataFrame([(1, 0, "user", "line number 1"), (1, 1, "user", "\n".join(lines))], schema)).collect()
+    assert time.perf_counter() - began < 60
+    last = next(r for r in rows if r.turn == 1)
+    assert last.n_quotes == 50_000 and last.n_linked == 1 and last.parent_turn == 0
+    assert last.text.split("\n")[:2] == ["line number 0", "line number 2"] and last.text.count("\n") == 49_999
