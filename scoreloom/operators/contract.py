@@ -11,10 +11,10 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scoreloom.functions import forward
 from scoreloom.functions.samples import vector_to_array
-from scoreloom.sources.labels import dictionary_of, number_classes
 
 
 @dataclasses.dataclass(frozen=True)
@@ -99,37 +99,39 @@ def scale_vectors(df: DataFrame, column: str = "features", scaler: VectorScaler
 
 @dataclasses.dataclass(frozen=True)
 class Contract:
-    """What one aggregation by class gives: the scaler and the dictionary ``(label, class_name, n)``."""
+    """What one aggregation by class gives: the scaler, and the names and row counts of the classes by class id.
+
+    Both lists are as long as a model of these classes has rows of weights, which the driver holds.
+    """
 
     scaler: Scaler
+    names: list[str]
+    counts: list[int]
     dictionary: DataFrame
 
 
 def fit_contract(df: DataFrame, columns: list[str], label_column: str) -> Contract:
-    """Scaler, dictionary and class counts from one scan.
+    """Scaler, dictionary ``(label, class_name, n)`` and class counts from one scan, for a model of these classes.
 
-    Means and sums of squared deviations are taken per class and put together for
-    the scaler; a null name counts for the scaler only.
+    Means and sums of squared deviations are taken per class; a row per class comes back, and they are put together for
+    the scaler. A null name counts for the scaler only. Classes are numbered as in :func:`fit_dictionary`, which
+    serves where there is no model to hold them.
     """
-    k = range(len(columns))
-    per_class = number_classes(
-        df.groupBy(F.col(label_column).alias("class_name")).agg(
-            F.count("*").alias("n"),
-            *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)],
-            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-            *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
-        )
-    )
-    total = per_class.agg(
-        *[(F.sum(F.col(f"c{i}") * F.col(f"m{i}")) / F.sum(f"c{i}")).alias(f"mean{i}") for i in k],
-        *[F.sum(f"c{i}").alias(f"count{i}") for i in k],
-    )  # one row
-    within = lambda i: F.col(f"c{i}") * (F.col(f"v{i}") + F.pow(F.col(f"m{i}") - F.col(f"mean{i}"), 2))
-    row = per_class.join(F.broadcast(total), how="cross").groupBy(*total.columns).agg(*[F.sum(within(i)).alias(f"s{i}") for i in k]).first()
-    value = lambda name: float((row[name] if row else None) or 0.0)
-    stddev = lambda i: (value(f"s{i}") / (value(f"count{i}") - 1)) ** 0.5 if value(f"count{i}") > 1 else 0.0
-    scaler = Scaler(tuple(columns), tuple(value(f"mean{i}") for i in k), tuple(stddev(i) for i in k))
-    return Contract(scaler, dictionary_of(per_class))
+    kind = to_arrow_type(df.schema[label_column].dataType)
+    rows = df.groupBy(F.col(label_column).alias("class_name")).agg(
+        F.count("*").alias("n"),
+        *[part(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, part in (("c", F.count), ("m", F.avg), ("v", F.var_pop))],
+    ).collect()
+    part = lambda name: np.array([[r[f"{name}{i}"] or 0.0 for i in range(len(columns))] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    count, mean, variance = part("c"), part("m"), part("v")
+    total = count.sum(axis=0)
+    means = np.divide((count * mean).sum(axis=0), total, out=np.zeros(len(columns)), where=total > 0)
+    squares = (count * (variance + (mean - means) ** 2)).sum(axis=0)
+    stddevs = np.sqrt(np.divide(squares, total - 1, out=np.zeros(len(columns)), where=total > 1))
+    named = sorted((-r["n"], r["class_name"]) for r in rows if r["class_name"] is not None)
+    names, counts = [name for _, name in named], [-n for n, _ in named]
+    table = pa.table({"label": pa.array(range(len(names)), pa.int32()), "class_name": pa.array(names, kind), "n": pa.array(counts, pa.int64())})
+    return Contract(Scaler(tuple(columns), tuple(means.tolist()), tuple(stddevs.tolist())), names, counts, df.sparkSession.createDataFrame(table))
 
 
 def _unknown(what: str, column: Column) -> Column:
@@ -155,15 +157,17 @@ def weights_of(counts: DataFrame, num_classes: int) -> DataFrame:
     return counts.join(total, how="cross").select("label", "n", weight.alias("weight"))
 
 
-def with_class_weights(df: DataFrame, num_classes: int, counts: DataFrame | None = None) -> DataFrame:
-    """Add ``weight`` by class, from ``counts(label, n)`` if at hand, else counted here.
+def with_class_weights(df: DataFrame, num_classes: int, counts: list[int] | None = None) -> DataFrame:
+    """Add ``weight`` by class, from the counts by class id if at hand, else counted here.
 
     A label outside the dictionary, or none, is an error, at any number of classes.
     """
-    if counts is None:
-        counts = df.groupBy("label").agg(F.count("*").alias("n"))
     # At most a row for each class of the model; the planner knows the size of such a list.
-    inside = {r["label"]: r["n"] for r in counts.where(F.col("label").between(0, num_classes - 1)).select("label", "n").collect()}
+    if counts is None:
+        found = df.where(F.col("label").between(0, num_classes - 1)).groupBy("label").agg(F.count("*").alias("n"))
+        inside = {r["label"]: r["n"] for r in found.collect()}
+    else:
+        inside = dict(enumerate(counts))
     total = sum(inside.values())
     weights = pa.table({"_label": pa.array(inside, pa.int64()), "_weight": pa.array([total / (num_classes * n) for n in inside.values()], pa.float64())})
     known = df.sparkSession.createDataFrame(weights)

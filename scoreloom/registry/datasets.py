@@ -14,8 +14,7 @@ from scoreloom.model import ModelShape
 from scoreloom.operators.contract import fit_contract, index_labels, with_class_weights
 from scoreloom.plans.prepare import load_samples
 from scoreloom.registry.patterns import pattern_model
-from scoreloom.sources.features import read_numbered
-from scoreloom.sources.labels import class_names
+from scoreloom.sources.features import FileOffsets, read_numbered
 
 EMBEDDING_SHAPE = ModelShape(num_features=64, num_classes=10, hidden_size=4)
 EMBEDDING_MODEL = pattern_model(EMBEDDING_SHAPE)
@@ -42,21 +41,20 @@ def lineitem_contract(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str
     df = table(spark, sf, "lineitem")
     fitted = fit_contract(df, LINEITEM_COLUMNS, "l_returnflag")
     labelled = index_labels(df, "l_returnflag", fitted.dictionary)
-    return labelled.select(fitted.scaler.as_vector().alias("scaled_features"), "label"), class_names(fitted.dictionary)
+    return labelled.select(fitted.scaler.as_vector().alias("scaled_features"), "label"), fitted.names
 
 
 def lineitem_samples(
-    spark: SparkSession, sf: str, weighted: bool = False, numbered: bool = False
+    spark: SparkSession, sf: str, weighted: bool = False, numbered: bool = False, offsets: FileOffsets | None = None
 ) -> tuple[DataFrame, list[str]]:
     """``([row_id,] features array<float>, label int, weight double)`` without going through vectors."""
-    df = read_numbered(spark, f"{sf}/lineitem.parquet") if numbered else table(spark, sf, "lineitem")
+    df = read_numbered(spark, f"{sf}/lineitem.parquet", offsets) if numbered else table(spark, sf, "lineitem")
     fitted = fit_contract(df, LINEITEM_COLUMNS, "l_returnflag")
     labelled = index_labels(df, "l_returnflag", fitted.dictionary)
     samples = to_sample(
         labelled.select(*(["row_id"] if numbered else []), fitted.scaler.as_array().alias("features"), "label", F.lit(1.0).alias("weight"))
     )
-    names = class_names(fitted.dictionary)
-    return (with_class_weights(samples, len(names), fitted.dictionary.select("label", "n")) if weighted else samples), names
+    return (with_class_weights(samples, len(fitted.names), fitted.counts) if weighted else samples), fitted.names
 
 
 def flag_history(spark: SparkSession, sf: str) -> DataFrame:

@@ -539,10 +539,10 @@ def evaluate_test_query(spark, sf):
 
 def train_epoch(spark, sf):
     """Two epochs over all of ``lineitem``, each in two steps of its own batches: the weights after them."""
-    samples, _ = D.lineitem_samples(spark, sf, weighted=True, numbered=True)
-    rows = D.table(spark, sf, "lineitem").count()
-    n = sharding.shard_count(rows, EPOCH_SHARDS)
-    stored = training.store_blocks(samples, scratch_path(spark, "training"), n, num_batches=EPOCH_STEPS, source_rows=rows)
+    offsets = features.file_offsets(spark, f"{sf}/lineitem.parquet")
+    samples, _ = D.lineitem_samples(spark, sf, weighted=True, numbered=True, offsets=offsets)
+    n = sharding.shard_count(offsets.rows, EPOCH_SHARDS)
+    stored = training.store_blocks(samples, scratch_path(spark, "training"), n, num_batches=EPOCH_STEPS, source_rows=offsets.rows)
     shape = dataclasses.replace(D.LINEITEM_SHAPE, dropout=0.0)
     state = TrainState.start(D.LINEITEM_MODEL)
     for epoch in range(1, SHUFFLED_EPOCHS + 1):

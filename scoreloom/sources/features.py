@@ -25,7 +25,11 @@ def file_offsets(spark: SparkSession, path: str) -> FileOffsets:
 
     One row per file comes back; the driver holds that list anyway, to plan the scan.
     """
-    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"), F.xxhash64(F.col("path")).alias("file"))
+    return _offsets_of(spark.read.parquet(path))
+
+
+def _offsets_of(df: DataFrame) -> FileOffsets:
+    counts = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"), F.xxhash64(F.col("path")).alias("file"))
     files = sorted(counts.collect(), key=lambda r: r["path"])
     # Two paths with one hash would share an offset: still one row each, only numbered less evenly.
     starts, rows = {}, 0
@@ -43,7 +47,7 @@ def read_numbered(spark: SparkSession, path: str, offsets: FileOffsets | None =
     shuffle of rows is needed. The planner knows the size of the list of offsets and chooses the join.
     """
     df = spark.read.parquet(path)
-    starts = spark.createDataFrame((offsets or file_offsets(spark, path)).table)
+    starts = spark.createDataFrame((offsets or _offsets_of(df)).table)
     return (
         df.select("*", F.col("_metadata.row_index").alias("row_id"), F.xxhash64("_metadata.file_path").alias("_file"))
         .join(starts, "_file")
