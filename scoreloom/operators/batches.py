@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions import ranks
+from scoreloom.operators.sharding import SPREAD_FACTOR, SPREAD_MODULUS
+
+# What epoch, seed and shard add to the key of a permutation.
+EPOCH_KEY, SEED_KEY, SHARD_KEY = 2_654_435_761, 40_503, 2_246_822_519
+
 
 def batch_order(epoch: int, seed: int) -> Column:
     """Shuffle order of an epoch: a hash of the row number, so a retried task repeats it.
@@ -15,16 +23,44 @@ def batch_order(epoch: int, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(epoch), F.col("row_id"))
 
 
-def minibatches(df: DataFrame, batch_size: int, shuffle: tuple[int, int] | None = None, slices: int = 1) -> DataFrame:
-    """Add ``batch_id`` per shard: every batch full but the last.
+def numbered_minibatches(
+    df: DataFrame, batch_size: int, num_shards: int, shuffle: tuple[int, int] | None = None, rows: int | None = None
+) -> DataFrame:
+    """Add ``batch_id`` per shard to rows with ``shard = spread(row_id, num_shards)``, without moving or sorting them.
+
+    A row's place in its shard follows from its number: every batch is full but the last of a shard, and
+    a row that was left out makes its own batch shorter and no other. With ``shuffle=(epoch, seed)`` the places of a shard are permuted,
+    for which the number of ``rows`` of the whole table (footers tell) has to be given.
+    """
+    if shuffle is not None and rows is None:
+        raise ValueError("a shuffled order needs the number of rows")
+
+    @F.arrow_udf("bigint")
+    def batch_of(row_id: pa.Array, shard: pa.Array) -> pa.Array:
+        number, k = row_id.to_numpy(zero_copy_only=False), shard.to_numpy(zero_copy_only=False).astype(np.int64)
+        low, high = (-(-(k + step) * SPREAD_MODULUS // num_shards) for step in (0, 1))
+        rank = ranks.multiples_within(number, low, high, SPREAD_MODULUS, SPREAD_FACTOR)
+        if shuffle is not None:
+            size = ranks.multiples_within(np.full(len(k), rows), low, high, SPREAD_MODULUS, SPREAD_FACTOR)
+            key = np.array([shuffle[0] * EPOCH_KEY + shuffle[1] * SEED_KEY], dtype=np.int64).astype(np.uint64) + k.astype(np.uint64) * np.uint64(SHARD_KEY)
+            rank = ranks.permuted(rank, size, key)
+        return pa.array(rank // batch_size)
+
+    return df.withColumn("batch_id", batch_of("row_id", "shard"))
+
+
+def minibatches(
+    df: DataFrame, batch_size: int, shuffle: tuple[int, int] | None = None, slices: int = 1, rows: int | None = None
+) -> DataFrame:
+    """Add ``batch_id`` per shard by sorting: every batch full but the last, whatever row numbers are missing.
 
     Rows keep ``row_id`` order, or with ``shuffle=(epoch, seed)`` that epoch's
     random order. ``slices`` cuts each shard into that many ranges of the order,
     numbered by separate tasks and joined up by the count of earlier ranges, so a
-    shard of any size needs no single task.
+    shard of any size needs no single task. ``rows``, more than any row number, saves looking for the greatest.
     """
     if shuffle is None:
-        span = df.agg(F.max("row_id")).first()[0] if slices > 1 else None
+        span = rows if slices == 1 or rows is not None else df.agg(F.max("row_id")).first()[0]
         order = F.col("row_id")
         part = F.floor(F.col("row_id") / (((span or 0) + slices) // slices)) if slices > 1 else F.lit(0)
     else:

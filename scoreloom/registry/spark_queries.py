@@ -15,7 +15,7 @@ from scoreloom.functions.updates import TrainState
 from scoreloom.model import ModelShape, init_model
 from scoreloom.operators import batches, clean, contract, history, metrics, sharding, status, training
 from scoreloom.plans.evaluate import compare_classes, compare_models, compare_results, evaluate_performance, evaluate_test
-from scoreloom.plans.prepare import prepare_shards
+from scoreloom.plans.prepare import load_samples, prepare_shards
 from scoreloom.plans.settle import settle
 from scoreloom.plans.train import train_model
 from scoreloom.registry import datasets as D
@@ -287,26 +287,35 @@ def shard_manifest(spark, sf):
     return manifest.select("shard", "n_rows")
 
 
-def _batched(spark, sf, **options):
-    n = _shards(spark, sf, "embeddings", BATCH_SHARDS)
-    df = sharding.assign_shards(D.embedding_samples(spark, sf, weighted=True, numbered=True), n)
-    return batches.minibatches(df, BATCH, **options)
+def _numbered_embeddings(spark, sf) -> tuple[DataFrame, int, int]:
+    """Weighted rows with their shards, how many shards, and how many rows."""
+    path = f"{sf}/embeddings.parquet"
+    offsets = features.file_offsets(spark, path)
+    n = sharding.shard_count(offsets.rows, BATCH_SHARDS)
+    samples = load_samples(spark, path, features="embedding", weight=None, key="vec_id", offsets=offsets)
+    weighted = contract.with_class_weights(samples, D.EMBEDDING_SHAPE.num_classes)
+    return sharding.assign_shards(weighted, n), n, offsets.rows
+
+
+_BATCH_ENDS = (F.count, "*", "n_rows"), (F.min, "key", "first_key"), (F.max, "key", "last_key")
 
 
 def minibatches(spark, sf):
-    return _batched(spark, sf).groupBy("shard", "batch_id").agg(
-        F.count("*").alias("n_rows"), F.min("key").alias("first_key"), F.max("key").alias("last_key")
-    )
+    df, n, _ = _numbered_embeddings(spark, sf)
+    batched = batches.numbered_minibatches(df, BATCH, n)
+    return batched.groupBy("shard", "batch_id").agg(*[f(c).alias(name) for f, c, name in _BATCH_ENDS])
 
 
 def minibatches_sliced(spark, sf):
-    return _batched(spark, sf, slices=4).groupBy("shard", "batch_id").agg(
-        F.count("*").alias("n_rows"), F.min("key").alias("first_key"), F.max("key").alias("last_key")
-    )
+    """The same by sorting, as tables with missing row numbers need it."""
+    df, _, rows = _numbered_embeddings(spark, sf)
+    batched = batches.minibatches(df, BATCH, slices=4, rows=rows)
+    return batched.groupBy("shard", "batch_id").agg(*[f(c).alias(name) for f, c, name in _BATCH_ENDS])
 
 
 def minibatches_shuffled(spark, sf):
-    return batches.batch_sizes(_batched(spark, sf, shuffle=(1, 7), slices=2))
+    df, n, rows = _numbered_embeddings(spark, sf)
+    return batches.batch_sizes(batches.numbered_minibatches(df, BATCH, n, shuffle=(1, 7), rows=rows))
 
 
 # --- aggregations ------------------------------------------------------------
@@ -337,11 +346,10 @@ def mean_loss(spark, sf):
 
 
 def weighted_loss(spark, sf):
-    """Rows are scored where they lie; only their losses and weights move to be batched."""
-    n = _shards(spark, sf, "embeddings", BATCH_SHARDS)
-    df = sharding.assign_shards(D.embedding_samples(spark, sf, weighted=True, numbered=True), n)
+    """Rows are scored and batched where they lie; only a sum for each batch moves."""
+    df, n, _ = _numbered_embeddings(spark, sf)
     scored = scoring.score_rows(df, D.EMBEDDING_MODEL).select("shard", "row_id", "loss", "weight")
-    out = batches.weighted_batch_loss(batches.minibatches(scored, BATCH))
+    out = batches.weighted_batch_loss(batches.numbered_minibatches(scored, BATCH, n))
     return out.select("shard", "batch_id", _r6(F.col("weighted_loss")).alias("weighted_loss"))
 
 

@@ -156,3 +156,38 @@ def test_preparing_a_table_without_usable_rows(spark):
     prepared = prepare_shards(spark, source, 3, scratch_path(spark, "out"))
     assert prepared.samples.count() == 0 and tuple(prepared.totals.first()) == (0, 0, 3)
     assert list(map(tuple, prepared.rejects.collect())) == [("null_label", 5)]
+
+
+@pytest.mark.parametrize("num_shards", [1, 3, 7])
+def test_batches_by_arithmetic_equal_those_by_sorting(spark, num_shards):
+    """Also beyond 2^31 rows, where the places of rows repeat."""
+    df = sharding.assign_shards(numbered(spark, 3001), num_shards)
+    want = sorted(map(tuple, batches.minibatches(df, 16).collect()))
+    batched = batches.numbered_minibatches(df.repartition(5), 16, num_shards)
+    assert sorted(map(tuple, batched.collect())) == want
+    plan = batched._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    far = 2 * sharding.SPREAD_MODULUS
+    moved = sharding.assign_shards(df.select((F.col("row_id") + far).alias("row_id")), num_shards)
+    size = [-(-(k + 1) * far // num_shards) - -(-k * far // num_shards) for k in range(num_shards)]
+    first = batches.numbered_minibatches(moved, 1, num_shards).groupBy("shard").agg(F.min("batch_id")).collect()
+    assert all(abs(at - size[k]) <= 2 for k, at in first)
+
+
+def test_a_missing_row_shortens_its_own_batch_only(spark):
+    df = sharding.assign_shards(numbered(spark, 1000), 3)
+    whole = {r["row_id"]: r["batch_id"] for r in batches.numbered_minibatches(df, 10, 3).collect()}
+    part = {r["row_id"]: r["batch_id"] for r in batches.numbered_minibatches(df.where("row_id % 7 != 2"), 10, 3).collect()}
+    assert all(whole[i] == b for i, b in part.items()) and len(part) < len(whole)
+
+
+def test_shuffled_batches_by_arithmetic(spark):
+    df = sharding.assign_shards(numbered(spark, 5000), 4)
+    take = lambda *key: {r["row_id"]: (r["shard"], r["batch_id"]) for r in batches.numbered_minibatches(df.repartition(3), 32, 4, key, rows=5000).collect()}
+    one, again, other, seed = take(1, 5), take(1, 5), take(2, 5), take(1, 6)
+    assert one == again and sum(one[i] == other[i] for i in one) < 500 and one != seed
+    sizes = batches.batch_sizes(batches.numbered_minibatches(df, 32, 4, (1, 5), rows=5000)).collect()
+    last = {r["shard"]: max(x["batch_id"] for x in sizes if x["shard"] == r["shard"]) for r in sizes}
+    assert all(r["n_rows"] == 32 for r in sizes if r["batch_id"] < last[r["shard"]])
+    with pytest.raises(ValueError):
+        batches.numbered_minibatches(df, 32, 4, (1, 5))
