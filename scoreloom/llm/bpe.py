@@ -8,9 +8,10 @@ splits; words met before come from the task's table, new ones are split by the
 pattern and merged by the library. Token lengths give byte offsets, and byte
 offsets give character offsets.
 
-Decoding joins the bytes of the tokens. ``decode_text`` keeps the bytes of a
+Decoding spells the tokens in the characters of the vocabulary and turns each back into its byte by the
+reversed table. ``decode_text`` keeps the bytes of a
 character whose end is in a later token until it is complete; bytes that are no
-UTF-8 become U+FFFD.
+UTF-8 become U+FFFD. A token that ends within a character is counted as split.
 
 Defined cases: a null text is encoded as the empty text, which has no tokens.
 Very long texts are encoded whole, piece by piece. Repeated rows are encoded
@@ -82,10 +83,12 @@ class ByteBpe:
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        self.token_bytes = tokens
         self.lengths = np.array([len(token) for token in tokens], dtype=np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        self.all_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        # The vocabulary's spelling of all tokens, and the byte that each of its characters stands for.
+        self.spelled = np.array([ord(shown[b]) for b in b"".join(tokens)], dtype=np.uint16)
+        self.byte_of = np.zeros(0x200, dtype=np.uint8)
+        self.byte_of[[ord(c) for c in shown]] = np.arange(256)
         self.table: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -127,18 +130,25 @@ class ByteBpe:
         starts = ends - self.lengths[ids]
         return np.stack([character[starts], character[ends - 1] + 1], axis=1)
 
+    def split_count(self, text: str, ids: np.ndarray) -> int:
+        """How many tokens end within a character."""
+        if text.isascii():
+            return 0
+        raw = np.frombuffer(text.encode() + b" ", dtype=np.uint8)
+        return int(np.count_nonzero((raw[np.cumsum(self.lengths[ids])] & 0xC0) == 0x80))
+
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
         if not len(ids):
             return b""
-        # Byte k of a token lies k places after the token's first byte, in the text as in the table.
+        # Character k of a token lies k places after the token's first one, in the text as in the table.
         shift = np.repeat(self.begins[ids] - (np.cumsum(lengths) - lengths), lengths)
-        return self.all_bytes[shift + np.arange(len(shift))].tobytes()
+        return self.byte_of[self.spelled[shift + np.arange(len(shift))]].tobytes()
 
     def decode_text(self, ids: list[int]) -> list[str]:
         """What each token adds to the text; a character appears with the token that completes it."""
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        added = [decoder.decode(self.token_bytes[i]) for i in ids]
+        added = [decoder.decode(self.decode(np.array([i]))) for i in ids]
         rest = decoder.decode(b"", final=True)
         if rest:
             added[-1] += rest
@@ -148,7 +158,7 @@ class ByteBpe:
 def _coder(shared, pattern: str, extra: list[str]):
     kinds = {
         "ids": pa.binary(), "offsets": pa.list_(pa.list_(pa.int32())), "decoded": pa.binary(),
-        "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(),
+        "n_tokens": pa.int64(), "n_split": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(),
     }
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *extra]
     schema = pa.schema([("doc_id", pa.int64()), *((n, kinds[n]) for n in names)])
@@ -164,7 +174,7 @@ def _coder(shared, pattern: str, extra: list[str]):
             decoded = coder.decode(ids)
             row = {
                 "ids": ids.tobytes, "decoded": lambda: decoded, "n_tokens": lambda: len(ids),
-                "offsets": lambda: coder.offsets(text, ids).tolist(),
+                "offsets": lambda: coder.offsets(text, ids).tolist(), "n_split": lambda: coder.split_count(text, ids),
                 "ids_sha256": lambda: hashlib.sha256(ids.tobytes()).hexdigest(),
                 "decoded_sha256": lambda: hashlib.sha256(decoded).hexdigest(),
             }
@@ -179,11 +189,11 @@ def encode_and_decode(docs: DataFrame, rank_file: str, pattern: str, extra: tupl
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` and ``extra`` columns for each row of ``docs(doc_id, text)``.
 
     ``ids`` is binary, little-endian 32-bit integers; ``decoded`` the bytes decoded
-    from the ids; ``offsets`` start and end of every token in characters.
+    from the ids; ``offsets`` start and end of every token in characters; ``n_split`` the tokens that end within a character.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(rank_file))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sql = {"ids": "binary", "decoded": "binary", "offsets": "array<array<int>>"}
+    sql = {"ids": "binary", "decoded": "binary", "offsets": "array<array<int>>", "n_split": "long"}
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return slim.mapInArrow(_coder(shared, pattern, list(extra)), ", ".join([columns, *(f"{n} {sql[n]}" for n in extra)]))

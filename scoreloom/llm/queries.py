@@ -36,7 +36,7 @@ def op3_exact_dedup(spark, sf):
 
 def op4_byte_bpe(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode_and_decode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN, extra=())
+    return bpe.encode_and_decode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN, extra=("n_split",))
 
 
 def op5_license_scan(spark, sf):

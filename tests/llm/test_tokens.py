@@ -50,6 +50,25 @@ def test_offsets_and_split_characters(coder):
     assert coder.offsets("aé😀x", ids).tolist() == [[0, 1], [1, 2], [2, 3], [2, 3], [3, 4]]
     assert coder.decode_text(ids.tolist()) == ["a", "é", "", "😀", "x"]
     assert coder.decode_text(ids.tolist()[:3]) == ["a", "é", "�"]
+    assert coder.split_count("aé😀x", ids) == 1 and coder.split_count("", ids[:0]) == 0
+
+
+def test_offsets_and_splits_of_whole_texts(coder):
+    """Offsets follow each other, and tokens between which a character is split share it."""
+    for text in random_texts(500, 5):
+        ids = coder.encode(text)
+        offsets, split = coder.offsets(text, ids), 0
+        for (_, end), (start, _) in zip(offsets.tolist(), offsets.tolist()[1:]):
+            assert start in (end, end - 1)
+            split += start < end
+        assert coder.split_count(text, ids) == split
+        assert not len(ids) or (offsets[0, 0], offsets[-1, 1]) == (0, len(text))
+
+
+def test_every_byte_is_read_back(coder):
+    every = bytes(range(256))
+    ids = np.array([rank for token, rank in bpe.read_ranks(RANKS).items() if len(token) == 1])
+    assert sorted(coder.decode(ids)) == list(every)
 
 
 def test_bpe_edges(edge, library):
