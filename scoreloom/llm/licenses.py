@@ -101,6 +101,25 @@ MORE_SENTENCES = [
     ("unlicense-released", "This is free and unencumbered software released into the public domain."),
     ("unlicense-anyone", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
+# Titles of licences, and statements that name them.
+TITLES = {
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "ISC": ["ISC License"],
+    "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "Unlicense": ["Unlicense"],
+}
+STATEMENTS = (
+    "Released under the {}.", "Licensed under the {}.", "Distributed under the {}.", "This file is released under the {}.", "This software is released under the {}.",
+    "This project is released under the {}.", "This file is licensed under the {}.", "This software is licensed under the {}.", "This project is licensed under the {}.",
+)
+_SAID = [(name, statement.format(title)) for name, titles in TITLES.items() for title in titles for statement in STATEMENTS]
+_SAID = [pair for pair in _SAID if pair[1] not in SENTENCES.values()]
+SENTENCES |= {f"says-{name}-{k}": sentence for k, (name, sentence) in enumerate(_SAID)}
+RULES = RULES | {name: [*RULES.get(name, []), *([f"says-{of}-{k}"] for k, (of, _) in enumerate(_SAID) if of == name)] for name in TITLES if name in RULES}
+_UNRULED = {name: [[f"says-{of}-{k}"] for k, (of, _) in enumerate(_SAID) if of == name] for name in TITLES if name not in RULES}
 MORE_RULES = {
     "AGPL-3.0": [["agpl-3-only"]],
     "AGPL-3.0-or-later": [["agpl-3"]],
@@ -119,7 +138,18 @@ MORE_RULES = {
     "LGPL-3.0-or-later": [["lgpl-3"]],
     "Unlicense": [["unlicense-released", "unlicense-anyone"]],
 }
-ALL_RULES = RULES | MORE_RULES
+ALL_RULES = RULES | {name: [*rule, *_UNRULED.get(name, [])] for name, rule in MORE_RULES.items()}
+# A machine-readable mark names any of the licences, those without "or later" also as "only".
+_MARK = "SPDX-License-Identifier: "
+_ONLY_NAMES = [name for name in ALL_RULES if "GPL" in name and not name.endswith("later")]
+MORE_SENTENCES += [(f"spdx-{name}", _MARK + name) for name in ALL_RULES] + [(f"spdx-{name}", f"{_MARK}{name}-only") for name in _ONLY_NAMES]
+ALL_RULES = {name: [*rule, [f"spdx-{name}"]] for name, rule in ALL_RULES.items()}
+# Every name of a mark's expression is made a mark of its own; a plus is "or later"; what a statement refers to in brackets is left out.
+_MARKS = [
+    (r"(?i)(?:SPDX-License-Identifier:[ \t]*|(?!\A)\G[ \t]+(?:OR|AND)[ \t]+)\(?([A-Za-z0-9][A-Za-z0-9.+-]*)\)?", f"|{_MARK}$1|"),
+    (r"(?<=SPDX-License-Identifier: [A-Za-z0-9.-]{1,40})\+\|", "-or-later|"),
+    (r"(?i)[ \t]*\(see [^()\n|]{1,80}\)", ""),
+]
 # A rule does not hold by sentences that belong to one of these longer ones.
 LONGER = {"BSD-2-Clause": ["BSD-4-Clause", "BSD-3-Clause"], "BSD-3-Clause": ["BSD-4-Clause"]}
 # Every known sentence has one of these in it; other texts are not cut up.
@@ -163,7 +193,7 @@ def _pattern(sentence: str) -> str:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences, in order."""
     marked = F.translate(text, "|", " ")
-    for pattern, mark in [_EMPTY, *_CUTS]:
+    for pattern, mark in [*_MARKS, _EMPTY, *_CUTS]:
         marked = F.regexp_replace(marked, pattern, mark.replace("\\1", "$1"))
     marked = F.regexp_replace(F.lower(marked), "[^a-z0-9|]+", " ")
     marked = F.regexp_replace(F.concat(F.lit("|"), marked, F.lit("|")), r" ?\|[ |]*", "|")

@@ -211,6 +211,11 @@ def test_more_licenses(make_docs):
         ("# This program and the accompanying materials are made\n# available under the terms of the Eclipse Public License 2.0\n# which is available at https://www.eclipse.org/legal/epl-2.0/\n#\n# SPDX", "EPL-2.0"),
         ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n", "Unlicense"),
         ("This is free and unencumbered software released into the public domain.", ""),
+        ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0\n#include <a.h>", "Apache-2.0"), ("/* spdx-license-identifier: GPL-2.0-only */", "GPL-2.0"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport x", "Apache-2.0,MIT"), ("SPDX-License-Identifier: LGPL-2.1+", "LGPL-2.1-or-later"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later AND BSD-3-Clause AND ISC", "BSD-3-Clause,GPL-3.0-or-later,ISC"), ("SPDX-License-Identifier: LicenseRef-own", ""), (" OR MIT license", ""),
+        ("This file is released under the MIT license.", "MIT"), ("Released under the MIT License (see LICENSE).", "MIT"), ("This project is licensed under the BSD 3-Clause License", "BSD-3-Clause"),
+        ("We once released under the MIT License.", ""), ("This software is licensed under the Unlicense.", "Unlicense"),
     ]
     got = {r.doc_id: r.licenses for r in licenses.scan_licenses(make_docs([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
     assert got == {i: name for i, (_, name) in enumerate(cases)}
