@@ -1,6 +1,6 @@
 """Sharding over fixed virtual slots, with a versioned slot-to-shard map.
 
-A row's slot is the hash of its id, one of ``SLOTS``; the number of slots never
+A row's slot is the hash of its id, size and checksum, one of ``SLOTS``; the number of slots never
 changes. Bytes and rows are added up per slot. Version 0 of the map deals slots
 to shards in turn. Rebalancing edits it: every shard keeps its largest slots up
 to the mean load and gives up the rest, which go one by one, largest first, to
@@ -11,9 +11,9 @@ The law that holds is ``bytes``: shard sizes are near equal, a shard differing
 from another by no more than the slots that were given up last, unless one slot
 alone is larger than the mean.
 
-Defined cases: a null text has no bytes and the CRC of the empty text. Rows with
-the same id, null included, are in the same slot; rows that repeat an id get
-places of their own, in order of checksum and size. An empty table has no rows and an even map.
+Defined cases: a null text has no bytes and the CRC of the empty text. Rows that share an id, null included,
+lie in slots by their texts, so one id fills no shard; rows that repeat id and text are in the same slot and get
+places of their own. An empty table has no rows and an even map.
 Other columns are not read.
 """
 
@@ -30,8 +30,8 @@ SHARDS = 24
 ROW_BYTES = 8
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(*key: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
 def slot_loads(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -100,7 +100,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(F.coalesce("text", F.lit(""))) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumn("virtual_slot", slot_of(F.col("doc_id"), slots))
+    ).withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"), slots=slots))
     rows = stored(rows, "slots")
     first = stored(first_map(slot_loads(rows, slots), shards), "slot_map")
     both = stored(first.unionByName(rebalance(first, shards)), "slot_map")

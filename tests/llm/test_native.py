@@ -134,6 +134,18 @@ def test_shards(make_docs, small):
     assert versions == {0: sharding.SLOTS, 1: sharding.SLOTS}
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_one_id_for_most_rows_fills_no_shard(make_docs, hot):
+    """Sizes of the rows themselves are near equal, also where an id, or none, is shared by two thirds of them."""
+    source = random.Random(3)
+    rows = [(hot if i % 3 else i, f"text {i} " + "x" * source.randrange(200)) for i in range(30_000)]
+    total = collections.Counter()
+    for r in sharding.shard_documents(make_docs(rows))[0].collect():
+        total[r.shard] += r["size"]
+    mean = sum(total.values()) / sharding.SHARDS
+    assert len(total) == sharding.SHARDS and max(total.values()) < 1.02 * mean and min(total.values()) > 0.98 * mean
+
+
 def test_even_and_few_moves(spark):
     loads = sharding.slot_loads(spark.range(50_000).select(sharding.slot_of(sharding.F.col("id")).alias("virtual_slot"), (sharding.F.col("id") % 97 + 1).alias("size")))
     first = sharding.first_map(loads, 24)
