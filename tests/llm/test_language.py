@@ -3,6 +3,7 @@
 import zlib
 
 import pytest
+import zstandard
 
 from rows import EDGE
 from scoreloom.llm import language, queries
@@ -74,3 +75,29 @@ def test_query_without_labels(spark, make_docs, tmp_path):
     make_docs([(1, "short title", None), (2, "another one", None)]).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op2_language_id(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.lang_pred, r.score) for r in got) == [(1, "und", 0.0), (2, "und", 0.0)]
+
+
+def test_predictions_by_plain_library_calls(small):
+    """The smallest size of every text, by a new compressor for each block, gives the query's answer."""
+    content = language.learn(small)
+    rows = language.identify(small, content).select("row.text", "lang_found.*").collect()
+    assert len(content) > 1
+
+    def size(text, lang):
+        sample, total = language.letters_of(content[lang]), 0
+        for at in range(0, len(text), language.BLOCK):
+            words = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            settings = zstandard.ZstdCompressionParameters.from_level(
+                language.LEVEL, dict_size=len(sample), source_size=language.BLOCK, min_match=4, write_content_size=False, write_checksum=False,
+                write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+            )
+            total += len(zstandard.ZstdCompressor(dict_data=words, compression_params=settings).compress(text[at : at + language.BLOCK]))
+        return total
+
+    for r in rows[:80]:
+        text = (r.text or "").encode()
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        (least, lang), (second, _) = sorted((size(language.letters_of(text), lang), lang) for lang in content)[:2]
+        assert r.lang_pred == lang and r.score == pytest.approx(1 - least / second)
