@@ -119,16 +119,23 @@ def only_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     return docs.join(wanted, same_id(docs[key], wanted["_wanted"]), "left_semi")
 
 
+def first_of_key(rows: DataFrame, key: str, best: Column) -> DataFrame:
+    """Of rows that lie sorted by ``key``, as a sort-merge join leaves them, the one with the least ``best`` of each key, without moving or sorting them again."""
+    numbered = rows.withColumn("_number", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("_best", F.struct(best.alias("best"), F.col("_number").alias("number")))
+    least = F.min("_best").over(Window.partitionBy(key)).alias("_least")
+    return numbered.select("*", least).where("_best = _least").drop("_number", "_best", "_least")
+
+
 def one_row(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of the rows of ``docs`` whose ``key`` is among the distinct ``ids[key]`` one each, the one with the least text; of rows with a null key all, if null is among them.
+    """Of the rows of ``docs`` whose ``key`` is among the distinct ``ids[key]`` one each, the one with the least text, and all rows whose key is null.
 
-    Rows move once, to be joined by the key, and are numbered where they then lie.
+    Rows move once, to be joined by the key.
     """
-    found = only_rows(docs, ids, key)
-    named = found.where(F.col(key).isNotNull())
-    place = F.row_number().over(Window.partitionBy(key).orderBy(text)).alias("_place")
-    first = named.select(place, F.struct(*[named[c] for c in named.columns]).alias("_row")).where("_place = 1").select("_row.*")
-    return first.unionByName(found.where(F.col(key).isNull()))
+    wanted = ids.where(F.col(key).isNotNull()).select(F.col(key).alias("_wanted")).hint("merge")
+    named = docs.select(docs[key].alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    found = named.join(wanted, named["_key"] == wanted["_wanted"], "left_semi")
+    return first_of_key(found, "_key", F.col(f"_row.{text}")).select("_row.*").unionByName(docs.where(docs[key].isNull()))
 
 
 def whole_groups(

@@ -23,10 +23,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import only_rows, same_id, stored, text_bytes
+from scoreloom.llm.common import first_of_key, only_rows, same_id, stored, text_bytes
 
 # Fixed value: ASCII white space, ignored by the comparison.
 SPACE = " \t\n\x0b\x0c\r"
@@ -205,10 +205,14 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     The row that stays has the group's id and digest and the most code points; of rows alike in
     all three one stays, whichever comes first.
     """
-    found = exact_duplicates(docs, **options).where("kept").select("doc_id", "text_sha256").distinct()
-    keep = found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).hint("merge")
+    # One key of id and digest, by which rows are joined and then lie sorted.
+    name = lambda doc_id, digest: F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), digest), 256)
+    found = exact_duplicates(docs, **options).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("_wanted"))
     squeezed = F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), SPACE, ""), 256)
-    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), squeezed.alias("_squeezed"), F.coalesce(F.length(docs["text"]), F.lit(0)).alias("_size"))
-    kept = named.join(keep, same_id(named["_doc"], keep["_id"]) & (named["_squeezed"] == keep["_sha"]), "left_semi")
-    place = F.row_number().over(Window.partitionBy("_squeezed", "_doc").orderBy(F.desc("_size")))
-    return kept.withColumn("_place", place).where("_place = 1").select("_row.*")
+    rows = docs.select(
+        name(docs["doc_id"].cast("long"), squeezed).alias("_key"),
+        F.coalesce(F.length(docs["text"]), F.lit(0)).alias("_size"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+    )
+    kept = rows.join(found.distinct().hint("merge"), F.col("_key") == F.col("_wanted"), "left_semi")
+    return first_of_key(kept, "_key", -F.col("_size")).select("_row.*")

@@ -9,8 +9,8 @@ is left out in turn and the rest of the chunk is a key, so such documents have a
 key in common. With the values below all pairs within distance 23 of 60 are
 found; of pairs just at the similarity 0.8 one in ten million is not.
 
-Documents with the same set are one class, named by a 128-bit hash of the set, whatever
-their ids. The sorted shingle hashes of the classes that share a bucket with another are stored once. In a bucket (the classes with one key)
+Documents with the same set are one class, known by a 128-bit hash of the set, whatever
+their ids, and numbered when the classes are stored. The sorted shingle hashes of the classes that share a bucket with another are stored once. In a bucket (the classes with one key)
 no pairs are formed: each class is compared with the least and the greatest of
 the bucket, on full sets. What these links join is one component. Buckets whose
 classes are then still in several components are compared once more, in blocks of bounded size within tasks: each
@@ -118,15 +118,15 @@ def _signed(size: int):
 
 
 def _sets(size: int):
-    """``(set_hash, shingles)`` of the rows ``(text, set_hash)`` whose text has that set: an id may have other texts too."""
-    schema = pa.schema([("set_hash", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    """``(cls, shingles)`` of the rows ``(text, set_hash, cls)`` whose text has that set: an id may have other texts too."""
+    schema = pa.schema([("cls", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def body(batch):
-        out = {"set_hash": [], "shingles": []}
-        for text, wanted in zip(text_bytes(batch.column("text")), batch.column("set_hash").to_pylist()):
+        out = {"cls": [], "shingles": []}
+        for text, wanted, cls in zip(text_bytes(batch.column("text")), batch.column("set_hash").to_pylist(), batch.column("cls").to_pylist()):
             hashes = shingles(text, size)
             if set_name(hashes) == wanted:
-                out["set_hash"].append(wanted)
+                out["cls"].append(cls)
                 out["shingles"].append(hashes.view(np.int64))
         return out
 
@@ -135,7 +135,7 @@ def _sets(size: int):
 
 def _verified(similarity: int):
     """Keeps ``(u, v)`` of the rows ``(u, v, one, other)`` whose sets are linked."""
-    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def verify(batch):
         pairs = zip(sets_of(batch.column("one")), sets_of(batch.column("other")))
@@ -179,7 +179,7 @@ def _block_links(similarity: int):
                 if group[other] != group[q] and (same or sides[other]) and linked(sets[q], sets[other], similarity):
                     links.append((ids[q], ids[other]))
                     group[group == group[other]] = group[q]
-        return pa.table({"u": pa.array([u for u, _ in links], pa.binary()), "v": pa.array([v for _, v in links], pa.binary())})
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
     return compare
 
@@ -196,22 +196,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     least = members.groupBy("set_hash").agg(F.min("doc_id").alias("least"))
     # The keys of one row of each class: rows of one set have the same, so of rows that repeat its id any will do.
     named = signed.join(least, "set_hash").where("doc_id = least").select("set_hash", "least", "n_shingles", "keys")
-    classes = stored(named.dropDuplicates(["set_hash"]), "classes")
-    keys = classes.select(F.explode("keys").alias("key"), F.col("set_hash").alias("cls"), "n_shingles")
+    # Numbers that last, as they are stored.
+    classes = stored(named.dropDuplicates(["set_hash"]).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    keys = classes.select(F.explode("keys").alias("key"), "cls", "n_shingles")
     buckets = keys.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n")).where("low < high")
     filled = stored(keys.join(buckets, "key"), "buckets")
 
     # Sets of the classes that share a bucket with another.
-    wanted = filled.select(F.col("cls").alias("set_hash")).distinct().join(classes.select("set_hash", "least"), "set_hash")
-    texts = slim.join(wanted.hint("merge"), slim["doc_id"] == wanted["least"]).select("text", "set_hash")
-    sets = stored(texts.mapInArrow(_sets(shingle), "set_hash binary, shingles array<long>").dropDuplicates(["set_hash"]), "sets")
+    wanted = filled.select("cls").distinct().join(classes.select("cls", "set_hash", "least"), "cls")
+    texts = slim.join(wanted.hint("merge"), slim["doc_id"] == wanted["least"]).select("text", "set_hash", "cls")
+    sets = stored(texts.mapInArrow(_sets(shingle), "cls long, shingles array<long>").dropDuplicates(["cls"]), "sets")
     hubs = filled.select("cls", F.explode(F.array("low", "high")).alias("hub")).where("cls != hub").distinct()
-    set_of = lambda cls, shingles_: sets.select(F.col("set_hash").alias(cls), F.col("shingles").alias(shingles_)).hint("merge")
+    set_of = lambda cls, shingles_: sets.select(F.col("cls").alias(cls), F.col("shingles").alias(shingles_)).hint("merge")
     pairs = hubs.select(F.col("cls").alias("u"), F.col("hub").alias("v")).join(set_of("u", "one"), "u").join(set_of("v", "other"), "v")
-    star = stored(pairs.mapInArrow(_verified(similarity), "u binary, v binary"), "links")
+    star = stored(pairs.mapInArrow(_verified(similarity), "u long, v long"), "links")
     # Rows that repeat an id with different texts.
     several = members.groupBy("doc_id").agg(F.min("set_hash").alias("v"), F.max("set_hash").alias("w")).where("v < w")
+    number = lambda name: classes.select(F.col("set_hash").alias(name), F.col("cls").alias(f"{name}_cls"))
     repeats = members.join(several, "doc_id").where("set_hash != v").select(F.col("set_hash").alias("u"), "v").distinct()
+    repeats = repeats.join(number("u"), "u").join(number("v"), "v").select(F.col("u_cls").alias("u"), F.col("v_cls").alias("v"))
     first = components(star.unionByName(repeats))
 
     # Buckets of four and more: in smaller ones every pair has been compared.
@@ -232,12 +235,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         dealt.select("key", "cls", "part", F.inline(F.expr(both)))
         .join(set_of("cls", "shingles"), "cls")
         .groupBy("key", "low", "high")
-        .applyInArrow(_block_links(similarity), "u binary, v binary")
+        .applyInArrow(_block_links(similarity), "u long, v long")
     )
     rest = stored(compared.distinct(), "links")
     last = components(first.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(rest))
-    of_class = classes.select("set_hash", "least").join(last.withColumnRenamed("id", "set_hash"), "set_hash", "left")
-    of_class = of_class.select("set_hash", "least", F.coalesce("component_id", "set_hash").alias("part"))
+    of_class = classes.select("set_hash", "cls", "least").join(last.withColumnRenamed("id", "cls"), "cls", "left")
+    of_class = of_class.select("set_hash", "least", F.coalesce("component_id", "cls").alias("part"))
     ids = of_class.groupBy("part").agg(F.min("least").alias("component_id"))
     of_class = of_class.join(ids, "part").select("set_hash", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
