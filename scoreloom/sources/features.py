@@ -44,10 +44,11 @@ def read_numbered(spark: SparkSession, path: str, offsets: FileOffsets | None =
 
     Unlike a key column, the position is unique even for rows that are copies of
     each other, and a retried task sees the same value; no sort and no
-    shuffle of rows is needed. The planner knows the size of the list of offsets and chooses the join.
+    shuffle of rows is needed.
     """
     df = spark.read.parquet(path)
-    starts = spark.createDataFrame((offsets or _offsets_of(df)).table)
+    # Sixteen bytes a file, of a list that the driver holds: small whatever the files hold, and no reason to move their rows.
+    starts = F.broadcast(spark.createDataFrame((offsets or _offsets_of(df)).table))
     return (
         df.select("*", F.col("_metadata.row_index").alias("row_id"), F.xxhash64("_metadata.file_path").alias("_file"))
         .join(starts, "_file")
