@@ -49,7 +49,8 @@ def shard_manifest(df: DataFrame, num_shards: int, path: str | None = None) -> D
 def _filled(counts: DataFrame, num_shards: int, path: str | None) -> DataFrame:
     every = counts.sparkSession.range(num_shards).select(F.col("id").cast("int").alias("shard"))
     location = F.concat(F.lit(f"{path or ''}/shard="), F.col("shard"))
-    return every.join(counts, "shard", "left").select(
+    # At most one row for each shard.
+    return every.join(F.broadcast(counts), "shard", "left").select(
         "shard",
         F.when(F.col("n_rows") > 0, location if path else F.lit(None)).cast("string").alias("path"),
         F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
