@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.common import map_rows
 
-# A task's table of words starts anew at this size.
-TABLE_WORDS = 600_000
+# A task's table of words and pieces starts anew beyond this size, of which longer ones are not kept.
+TABLE_WORDS = 300_000
+WORD_LENGTH = 40
 # Lone blanks next to other white space are no place to cut.
 _MORE_SPACE = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -95,13 +96,18 @@ class ByteBpe:
     def _encode_word(self, word: str) -> bytes:
         """``word`` is what lies between two cuts, its leading blank included."""
         letters = word[1:].isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isascii() and word[0].isalpha())
-        return b"".join([self._encode_piece(piece) for piece in ([word] if letters else self.pieces_of(word))])
+        return self._encode_piece(word) if letters else b"".join([self._encode_piece(piece) for piece in self.pieces_of(word)])
 
     def _encode_piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        # A piece of letters after a blank is a word, and is kept as such.
+        word = piece[1:]
+        table, key = (self.table, word) if piece[0] == " " and word.isascii() and word.isalpha() else (self.pieces, piece)
+        found = table.get(key)
         if found is None:
             tokens = self.model.tokenize("".join([self.shown[b] for b in piece.encode()]))
-            found = self.pieces[piece] = array.array("I", [token.id for token in tokens]).tobytes()
+            found = array.array("I", [token.id for token in tokens]).tobytes()
+            if len(key) <= WORD_LENGTH:
+                table[key] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -111,15 +117,17 @@ class ByteBpe:
             words = [word[1:] for word in words]
         else:
             first, *words = text.split(" ")
-        if len(self.table) > TABLE_WORDS:
-            self.table, self.pieces = {}, {}
         parts = list(map(self.table.get, words))
         if None in parts:
             for i, word in enumerate(words):
                 if parts[i] is None:
                     parts[i] = self.table.get(word)
                     if parts[i] is None:
-                        parts[i] = self.table[word] = self._encode_word(" " + word)
+                        parts[i] = self._encode_word(" " + word)
+                        if len(word) <= WORD_LENGTH:
+                            self.table[word] = parts[i]
+                        if len(self.table) + len(self.pieces) > TABLE_WORDS:
+                            self.table, self.pieces = {}, {}
         return np.frombuffer(self._encode_word(first) + b"".join(parts), dtype="<u4")
 
     def offsets(self, text: str, ids: np.ndarray) -> np.ndarray:

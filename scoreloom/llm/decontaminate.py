@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import gram_hashes, stored, text_bytes, word_hashes
+from scoreloom.llm.common import gram_hashes, release, stored, text_bytes, word_hashes
 
 WINDOW = 10
 GRAM = 6
@@ -142,6 +142,7 @@ def _matcher(shared):
                     named = sorted(set(old_names) | {str(i) for i in names if i is not None})
                     found.append({"n_words": len(words), "hit": union_runs(old_runs, runs), "items": named})
             yield pa.array(found, kind)
+            release()
 
     return match
 

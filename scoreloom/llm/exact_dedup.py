@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import first_of_key, only_rows, same_id, stored, text_bytes
+from scoreloom.llm.common import first_of_key, only_rows, release, same_id, stored, text_bytes
 
 # Fixed value: ASCII white space, ignored by the comparison.
 SPACE = " \t\n\x0b\x0c\r"
@@ -125,6 +125,7 @@ def _sender(owners: int, run_rows: int):
                 yield from flush(base + runs, prints[:run_rows], ids[:run_rows], digests[:run_rows], lengths[:run_rows])
                 prints, ids, digests, lengths = (x[run_rows:] for x in (prints, ids, digests, lengths))
                 runs += 1
+            release()
         if prints:
             yield from flush(base + runs, prints, ids, digests, lengths)
 

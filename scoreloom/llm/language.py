@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import text_bytes
+from scoreloom.llm.common import release, text_bytes
 
 UNDETERMINED = "und"
 # What is learned from: texts a language, and bytes of such a text; their product bounds a language's bytes.
@@ -140,6 +140,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], min_margin: float = MIN
         for batch in texts:
             found = [made[0].classify(text) for text in text_bytes(batch)]
             yield pa.array([{"lang_pred": lang, "score": m, "rejected": lang == UNDETERMINED or m < min_margin} for lang, m in found], arrow)
+            release()
 
     # Only texts go to Python; the rows stay where they are.
     return docs.select(F.struct("*").alias("row"), classify(F.col("text").cast("string")).alias("lang_found"))

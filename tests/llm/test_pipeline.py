@@ -2,17 +2,32 @@
 
 import hashlib
 
+import pyarrow as pa
 import tiktoken
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scoreloom.llm import bpe, language
+from scoreloom.llm import bpe, common, language
 from test_decontaminate import by_hand
 from test_dedup import exact_by_hand, near_by_hand
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_batches_are_bounded(spark):
+    """Ten thousand texts of 4 kB are one batch of 40 MB by Spark's default."""
+    docs = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"), F.lit("en").alias("lang"))
+    schema = "rows long, bytes long"
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs.limit(1), SF)
+        spark.catalog.clearCache()
+        seen = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches), schema).collect()
+        assert sum(r.rows for r in seen) == 10_000
+        assert max(r["bytes"] for r in seen) <= 1.5 * common.BATCH_BYTES
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns

@@ -45,6 +45,19 @@ def test_bpe_as_library(coder, library):
         assert "".join(coder.decode_text(ids.tolist())) == text
 
 
+def test_table_is_bounded(coder, library, monkeypatch):
+    """Words and pieces together stay within the bound, also within one text; long words are not kept."""
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 1000)
+    monkeypatch.setattr(coder, "table", {})
+    monkeypatch.setattr(coder, "pieces", {})
+    long = "y" * 3000
+    texts = [" ".join(f"w{i}, v{chr(97 + i % 26) * (i % 30)}.{i}" for i in range(n, n + 2000)) + f" {long} {long}é-{long}" for n in (0, 700)]
+    for text in texts:
+        assert coder.encode(text).tolist() == library.encode_ordinary(text)
+        assert len(coder.table) + len(coder.pieces) <= 1000
+        assert max(map(len, [*coder.table, *coder.pieces])) <= bpe.WORD_LENGTH
+
+
 def test_offsets_and_split_characters(coder):
     ids = coder.encode("aé😀x")
     assert coder.offsets("aé😀x", ids).tolist() == [[0, 1], [1, 2], [2, 3], [2, 3], [3, 4]]
